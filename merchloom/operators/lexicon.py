@@ -9,7 +9,6 @@ Two ways with the same results:
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +19,7 @@ from merchloom.functions.text import normalize_text
 
 # one sign that no text word can equal; it keeps phrases from matching across punctuation
 BARRIER = "\u0001"
+MAX_GRAM = 4
 
 
 def boundary_words(value: ColumnLike) -> Column:
@@ -127,38 +127,42 @@ class Lexicon:
         return chain.otherwise("")
 
 
-def ngram_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame, max_words: int = 5) -> DataFrame:
+def ngram_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame) -> DataFrame:
     """Distinct (keys, term) pairs where the term's words stand in the text, for a table of any size.
 
-    Each text yields its distinct n-grams of the lengths that occur; they meet the terms by hash join.
+    Each text yields its distinct n-grams up to the longest term; they meet the terms by equi-join.
     """
+    # the distinct term lengths are a handful of small numbers whatever the size of the table
+    lengths = sorted(r[0] for r in terms.select(F.size(boundary_words("term"))).distinct().collect())
     words = texts.select(*keys, boundary_words(column).alias("_w"))
-    lengths = F.sequence(F.lit(1), F.lit(max_words))
 
     def grams_of(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w))
-        return F.array_distinct(F.flatten(F.transform(
-            lengths, lambda n: F.transform(F.filter(starts, lambda i: i + n - 1 <= F.size(w)),
-                                           lambda i: F.array_join(F.slice(w, i, n), " ")))))
+        none = F.array().cast("array<string>")
+
+        def run(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
+            return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+
+        runs = [run(n) if n > 1 else w for n in lengths]
+        return F.array_distinct(F.concat(*runs) if runs else none)
 
     grams = words.select(*keys, F.explode(grams_of(F.col("_w"))).alias("_gram"))
     wanted = terms.select("term", F.array_join(boundary_words("term"), " ").alias("_gram")).distinct()
     return grams.join(wanted, "_gram").select(*keys, "term").distinct()
 
 
-def substring_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame, gram: int = 4) -> DataFrame:
+def substring_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame) -> DataFrame:
     """Distinct (keys, term, extra columns) where the term is contained in the text, anywhere.
 
-    A term can only be inside a text that has the term's first ``gram`` characters, so both sides
-    meet on that gram and only then are compared in full. Terms shorter than ``gram`` never match here.
+    A term can only be inside a text that has the term's first few characters, so both sides meet on
+    that gram and only then are compared in full. The gram is four characters, or as long as the
+    shortest term when that is shorter.
     """
-    starts = F.sequence(F.lit(1), F.length(column) - gram + 1)
-    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(column), i, F.lit(gram))))
-    left = texts.where(F.length(column) >= gram).select(*keys, column, F.explode(pieces).alias("_gram"))
+    gram = min(MAX_GRAM, terms.where(F.length("term") > 0).agg(F.min(F.length("term"))).first()[0] or MAX_GRAM)
+    longest = terms.agg(F.max(F.length("term"))).first()[0] or MAX_GRAM
+    # overlapping windows as long as the longest term; the text itself is not carried along
+    windows = F.regexp_extract_all(F.col(column), F.lit(rf"(?s)(?=(.{{{gram},{longest}}}))"), 1)
+    left = texts.select(*keys, F.explode(F.array_distinct(windows)).alias("_window"))
+    left = left.withColumn("_gram", F.substring("_window", 1, gram))
     right = terms.where(F.length("term") >= gram).withColumn("_gram", F.substring("term", 1, gram))
-    return left.join(right, "_gram").where(F.contains(F.col(column), F.col("term"))).drop("_gram", column).distinct()
-
-
-def lexicon_table(df_session, terms: Iterable[str]) -> DataFrame:
-    """A term list as a one-column table."""
-    return df_session.createDataFrame([(t,) for t in terms], "term string")
+    return left.join(right, "_gram").where(F.startswith(F.col("_window"), F.col("term"))).drop("_gram", "_window").distinct()

@@ -129,6 +129,16 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """The table in at least as many splits as there are cores.
+
+        Text work is bound by the processor. A table kept as one small file has one split and would
+        leave the other cores idle; a table of many files is passed on as it is.
+        """
+        df = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     def sql(self, sql: str) -> DataFrame:
         """Run SQL whose ``{name}`` placeholders are tables or views."""
         names = set(re.findall(r"\{(\w+)\}", sql))

@@ -32,22 +32,22 @@ _NOW = "timestamp '2024-01-05 12:00:00'"
 
 
 @query("reuse_eligible", f"""
-SELECT url, category FROM v_reuse WHERE status NOT IN ('disabled', 'deleted') AND NOT last_used_at + INTERVAL 30 DAY > timestamp '2024-02-25 00:00:00' AND use_count < 85
+SELECT url, category FROM v_reuse WHERE status NOT IN ('disabled', 'deleted') AND NOT last_used_at + INTERVAL 30 DAY > timestamp '2024-03-20 00:00:00' AND use_count < 68
 """)
 def _(t):
     pool = P.pool_from_usage(t.v_reuse)
-    now = F.lit("2024-02-25 00:00:00").cast("timestamp_ntz")
-    return pool.where(P.eligible(now, max_use=85)).select("url", "category")
+    now = F.lit("2024-03-20 00:00:00").cast("timestamp_ntz")
+    return pool.where(P.eligible(now, max_use=68)).select("url", "category")
 
 
 @query("reuse_pool_summary", """
 SELECT category, count(*) AS total, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'cooldown') AS cooldown, count(*) FILTER (status = 'new') AS new,
        count(*) FILTER (use_count % 2 = 0) AS matched, count(*) FILTER (use_count % 2 = 1) AS unmatched,
-       count(*) FILTER (status <> 'disabled' AND NOT last_used_at + INTERVAL 30 DAY > timestamp '2024-02-25 00:00:00') AS reusable FROM v_reuse GROUP BY 1
+       count(*) FILTER (status <> 'disabled' AND NOT last_used_at + INTERVAL 30 DAY > timestamp '2024-03-20 00:00:00') AS reusable FROM v_reuse GROUP BY 1
 """)
 def _(t):
     pool = P.pool_from_usage(t.v_reuse.withColumn("last_matched", F.col("use_count") % 2 == 0))
-    return P.pool_summary(pool, F.lit("2024-02-25 00:00:00").cast("timestamp_ntz"))
+    return P.pool_summary(pool, F.lit("2024-03-20 00:00:00").cast("timestamp_ntz"))
 
 
 @query("reuse_release_limit", """
