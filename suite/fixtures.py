@@ -145,6 +145,8 @@ class Tables:
         return self.spark.sql(sql, **{name: getattr(self, name) for name in names})
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in ("documents", "pages"):
+            return self.spread(name)
         if name in BASE_TABLES:
             return self.table(name)
         if name in VIEWS:
