@@ -12,6 +12,7 @@ from merchloom.functions.text import squeeze_words
 from merchloom.operators.fuzzy import similar_pairs
 from merchloom.operators.lexicon import substring_hits
 from merchloom.operators.ranking import first_per_key
+from merchloom.session import cut_lineage
 
 SMALL_CATEGORY = 30
 WORD_SCORE_MIN, CLOSE_MIN = 0.40, 62.0
@@ -53,7 +54,9 @@ def best_category(small: DataFrame, large: DataFrame) -> DataFrame:
         "_sc", key_text("_sk")).withColumn("_sw", F.array_distinct(squeeze_words("_sc")))
     g = large.select(F.col("category").alias("target")).distinct().withColumn("_lk", category_key("target")).withColumn(
         "_lc", key_text("_lk")).withColumn("_lw", F.array_distinct(squeeze_words("_lc")))
-    g = g.where("_lc <> ''")
+    # distinct categories feed every tier: worked out once, not once per tier
+    g = cut_lineage(g.where("_lc <> ''"))
+    s = cut_lineage(s)
     usable = s.where("_sk <> ''")
     equal = usable.join(g, usable["_sk"] == g["_lk"]).select("category", "target", F.lit(1).alias("_tier"), F.lit(0.0).alias("_score"))
     inside = substring_hits(g.select("target", "_lk"), ["target"], "_lk", usable.select("category", F.col("_sk").alias("term")))
@@ -70,7 +73,7 @@ def best_category(small: DataFrame, large: DataFrame) -> DataFrame:
     sizes = F.least(F.size("_sw"), F.size("_lw")) / F.greatest(F.size("_sw"), F.size("_lw"))
     worded = shared.withColumn("_score", jaccard(F.col("_sw"), F.col("_lw")) * (0.75 + 0.25 * sizes)).where(
         F.col("_score") >= WORD_SCORE_MIN).select("category", "target", F.lit(3).alias("_tier"), "_score")
-    found = equal.unionByName(contained).unionByName(worded)
+    found = cut_lineage(equal.unionByName(contained).unionByName(worded))
     left = usable.join(found.select("category").distinct(), "category", "left_anti")
     pairs = similar_pairs(left, "_sc", g, "_lc", CLOSE_MIN / 100)
     close = left.join(pairs, "_sc").join(g.select("target", "_lc"), "_lc").select(
@@ -83,6 +86,7 @@ def best_category(small: DataFrame, large: DataFrame) -> DataFrame:
 
 def merge_map(counts: DataFrame, threshold: int = SMALL_CATEGORY) -> DataFrame:
     """(cat_key, target) for small categories that fit a large one."""
+    counts = cut_lineage(counts)
     large = counts.where((F.col("rows") >= threshold) & (F.col("representative") != OTHER))
     small = counts.where((F.col("rows") < threshold) & (F.col("representative") != OTHER))
     matched = best_category(small.select(F.col("representative").alias("category")), large.select(F.col("representative").alias("category")))

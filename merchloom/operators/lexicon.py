@@ -9,6 +9,7 @@ Two ways with the same results:
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -127,14 +128,15 @@ class Lexicon:
         return chain.otherwise("")
 
 
-def ngram_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame) -> DataFrame:
-    """Distinct (keys, term) pairs where the term's words stand in the text, for a table of any size.
+def ngram_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame,
+               words_of: Callable[[ColumnLike], Column] = boundary_words) -> DataFrame:
+    """Distinct (keys, term columns) rows where the term's words stand in the text, for a table of any size.
 
     Each text yields its distinct n-grams up to the longest term; they meet the terms by equi-join.
     """
     # the distinct term lengths are a handful of small numbers whatever the size of the table
-    lengths = sorted(r[0] for r in terms.select(F.size(boundary_words("term"))).distinct().collect())
-    words = texts.select(*keys, boundary_words(column).alias("_w"))
+    lengths = sorted(r[0] for r in terms.select(F.size(words_of("term"))).distinct().collect())
+    words = texts.select(*keys, words_of(column).alias("_w"))
 
     def grams_of(w: Column) -> Column:
         none = F.array().cast("array<string>")
@@ -147,22 +149,22 @@ def ngram_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame)
         return F.array_distinct(F.concat(*runs) if runs else none)
 
     grams = words.select(*keys, F.explode(grams_of(F.col("_w"))).alias("_gram"))
-    wanted = terms.select("term", F.array_join(boundary_words("term"), " ").alias("_gram")).distinct()
-    return grams.join(wanted, "_gram").select(*keys, "term").distinct()
+    wanted = terms.withColumn("_gram", F.array_join(words_of("term"), " ")).distinct()
+    return grams.join(wanted, "_gram").drop("_gram").distinct()
 
 
-def substring_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame) -> DataFrame:
+def substring_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """Distinct (keys, term, extra columns) where the term is contained in the text, anywhere.
 
     A term can only be inside a text that has the term's first few characters, so both sides meet on
     that gram and only then are compared in full. The gram is four characters, or as long as the
-    shortest term when that is shorter.
+    shortest term when that is shorter. Columns named in ``on`` must be equal on both sides as well.
     """
-    gram = min(MAX_GRAM, terms.where(F.length("term") > 0).agg(F.min(F.length("term"))).first()[0] or MAX_GRAM)
-    longest = terms.agg(F.max(F.length("term"))).first()[0] or MAX_GRAM
+    sizes = terms.where(F.length("term") > 0).agg(F.min(F.length("term")).alias("low"), F.max(F.length("term")).alias("high")).first()
+    gram, longest = min(MAX_GRAM, sizes["low"] or MAX_GRAM), sizes["high"] or MAX_GRAM
     # overlapping windows as long as the longest term; the text itself is not carried along
     windows = F.regexp_extract_all(F.col(column), F.lit(rf"(?s)(?=(.{{{gram},{longest}}}))"), 1)
     left = texts.select(*keys, F.explode(F.array_distinct(windows)).alias("_window"))
     left = left.withColumn("_gram", F.substring("_window", 1, gram))
     right = terms.where(F.length("term") >= gram).withColumn("_gram", F.substring("term", 1, gram))
-    return left.join(right, "_gram").where(F.startswith(F.col("_window"), F.col("term"))).drop("_gram", "_window").distinct()
+    return left.join(right, ["_gram", *on]).where(F.startswith(F.col("_window"), F.col("term"))).drop("_gram", "_window").distinct()
