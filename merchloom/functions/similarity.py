@@ -40,17 +40,24 @@ def token_set(a: ColumnLike, b: ColumnLike) -> Column:
         both = F.array_sort(F.array_intersect(pair["a"], pair["b"]))
         only_a = F.array_sort(F.array_except(pair["a"], pair["b"]))
         only_b = F.array_sort(F.array_except(pair["b"], pair["a"]))
-        common = F.array_join(both, " ")
-        left = F.array_join(F.concat(both, only_a), " ")
-        right = F.array_join(F.concat(both, only_b), " ")
-        contained = (F.size(both) > 0) & ((F.size(only_a) == 0) | (F.size(only_b) == 0))
-        best = F.greatest(
-            F.when(F.size(both) > 0, F.greatest(ratio(common, left), ratio(common, right))).otherwise(0.0),
-            ratio(left, right),
-        )
-        return F.when((F.size(pair["a"]) == 0) | (F.size(pair["b"]) == 0), 0.0).when(contained, 100.0).otherwise(best)
+        return let(F.struct(both.alias("both"), only_a.alias("a"), only_b.alias("b")), parts)
+
+    def parts(sets: Column) -> Column:
+        both = sets["both"]
+        texts = F.struct(F.array_join(both, " ").alias("c"), F.array_join(F.concat(both, sets["a"]), " ").alias("l"),
+                         F.array_join(F.concat(both, sets["b"]), " ").alias("r"))
+        contained = (F.size(both) > 0) & ((F.size(sets["a"]) == 0) | (F.size(sets["b"]) == 0))
+        return F.when(contained, 100.0).otherwise(let(texts, best))
+
+    def best(t: Column) -> Column:
+        # a part without common words has an empty first text and scores 0 against both
+        common = F.when(t["c"] != "", F.greatest(ratio(t["c"], t["l"]), ratio(t["c"], t["r"]))).otherwise(0.0)
+        return F.greatest(common, ratio(t["l"], t["r"]))
+
+    def guarded(pair: Column) -> Column:
+        return F.when((F.size(pair["a"]) == 0) | (F.size(pair["b"]) == 0), 0.0).otherwise(score(pair))
 
-    return let(F.struct(words(a).alias("a"), words(b).alias("b")), score)
+    return let(F.struct(words(a).alias("a"), words(b).alias("b")), guarded)
 
 
 def partial(needle: ColumnLike, text: ColumnLike) -> Column:
@@ -69,15 +76,20 @@ def partial(needle: ColumnLike, text: ColumnLike) -> Column:
 
 def fuzzy_score(target: ColumnLike, source: ColumnLike) -> Column:
     """Token-set, then token-sort, then windowed ratio: the first that reaches its threshold."""
-    by_set, by_sort, by_window = token_set(target, source), token_sort(target, source), partial(target, source)
-    empty = (F.length(col(target)) == 0) | (F.length(col(source)) == 0)
-    return (
-        F.when(F.coalesce(empty, F.lit(True)), 0.0)
-        .when(by_set >= TOKEN_SET_MIN, by_set)
-        .when(by_sort >= TOKEN_SORT_MIN, by_sort)
-        .when((F.length(col(target)) >= PARTIAL_MIN_LEN) & (by_window >= PARTIAL_MIN), by_window)
-        .otherwise(0.0)
-    )
+    empty = F.coalesce((F.length(col(target)) == 0) | (F.length(col(source)) == 0), F.lit(True))
+    long_enough = F.length(col(target)) >= PARTIAL_MIN_LEN
+
+    def by_window(score: Column) -> Column:
+        return F.when(score >= PARTIAL_MIN, score).otherwise(0.0)
+
+    def by_sort(score: Column) -> Column:
+        windowed = F.when(long_enough, let(partial(target, source), by_window)).otherwise(0.0)
+        return F.when(score >= TOKEN_SORT_MIN, score).otherwise(windowed)
+
+    def by_set(score: Column) -> Column:
+        return F.when(score >= TOKEN_SET_MIN, score).otherwise(let(token_sort(target, source), by_sort))
+
+    return F.when(empty, 0.0).otherwise(let(token_set(target, source), by_set))
 
 
 def keyword_overlap(target: ColumnLike, source: ColumnLike) -> Column:
@@ -96,7 +108,8 @@ def match_score(target: ColumnLike, category: ColumnLike, title: ColumnLike) ->
     """Best score of a label against a product's category and its title of ten letters or more."""
     on_title = F.when(F.length(col(title)) >= 10,
                       F.greatest(keyword_overlap(target, title), fuzzy_score(target, title))).otherwise(0.0)
-    return F.greatest(keyword_overlap(target, category), fuzzy_score(target, category), on_title)
+    on_category = F.greatest(keyword_overlap(target, category), fuzzy_score(target, category))
+    return let(on_category, lambda c: F.when(c >= 100.0, c).otherwise(F.greatest(c, on_title)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

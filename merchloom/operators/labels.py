@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import text_or_empty
+from merchloom.functions.base import let, text_or_empty
 from merchloom.functions.similarity import match_score, token_set
 from merchloom.operators.ranking import top_per_group
+from merchloom.session import cut_lineage
 
 PER_LABEL_LIMIT = 2000
 FALLBACK_MIN = 50_000
@@ -34,12 +35,19 @@ def first_label(names: Sequence[str], category: Column, title: Column) -> Column
     The labels are the lines of one request. A product stops at its first hit, so it belongs to one
     label and is never multiplied.
     """
-    chain = None
-    for number, name in enumerate(names):
-        score = match_score(F.lit(name), category, title)
-        hit = F.struct(F.lit(number).alias("label_no"), score.alias("score"))
-        chain = F.when(score > 0, hit) if chain is None else chain.when(score > 0, hit)
-    return chain if chain is not None else F.lit(None).cast("struct<label_no:int,score:double>")
+    none = F.struct(F.lit(None).cast("int").alias("label_no"), F.lit(0.0).alias("score"))
+    entries = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(name).alias("name")) for i, name in enumerate(names)])
+
+    def step(found: Column, entry: Column) -> Column:
+        def hit(score: Column) -> Column:
+            return F.struct(F.when(score > 0, entry["no"]).alias("label_no"), score.alias("score"))
+
+        return F.when(found["score"] > 0, found).otherwise(let(match_score(entry["name"], category, title), hit))
+
+    def settle(found: Column) -> Column:
+        return F.when(found["score"] > 0, found)
+
+    return F.aggregate(entries, none, step, settle) if names else F.lit(None).cast("struct<label_no:int,score:double>")
 
 
 def assign_labels(df: DataFrame, labels: Sequence[Label], key: str, category: str = "category", title: str = "title",
@@ -50,14 +58,17 @@ def assign_labels(df: DataFrame, labels: Sequence[Label], key: str, category: st
     better score; a label keeps at most ``limit`` rows.
     """
     cat, name = text_or_empty(category), text_or_empty(title)
-    first = df.withColumn("_m", first_label([second for _, second in labels], cat, name))
-    taken = first.where("_m IS NOT NULL").select("*", "_m.*", F.lit(1).alias("phase")).drop("_m")
-    per_label = taken.groupBy("label_no").agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("n"))
-    found = per_label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    rows = taken
-    if found < fallback_min:
-        rest = first.where("_m IS NULL").withColumn("_m", first_label([primary for primary, _ in labels], cat, name))
-        rows = taken.unionByName(rest.where("_m IS NOT NULL").select("*", "_m.*", F.lit(2).alias("phase")).drop("_m"))
+
+    def matched(rows: DataFrame, names: Sequence[str], phase: int) -> DataFrame:
+        scored = rows.withColumn("_m", first_label(names, cat, name)).where("_m IS NOT NULL")
+        return scored.select("*", "_m.*", F.lit(phase).alias("phase")).drop("_m")
+
+    # scoring is the costly part: the matched rows are kept, so that counting them does not repeat it
+    rows = cut_lineage(matched(df, [second for _, second in labels], 1))
+    per_label = rows.groupBy("label_no").agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("n"))
+    if per_label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] < fallback_min:
+        rest = df.join(rows.select(key), key, "left_anti")
+        rows = rows.unionByName(matched(rest, [primary for primary, _ in labels], 2))
     return top_per_group(rows, ["label_no"], [F.col("phase"), F.round("score", 9).desc(), F.col(key)], limit, rank="place", salt_by=[key])
 
 

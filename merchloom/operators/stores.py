@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from merchloom.functions.text import normalize_text
 from merchloom.operators.lexicon import substring_hits
 from merchloom.operators.ranking import top_per_group
+from merchloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -49,18 +50,17 @@ def signal_terms(rules: DataFrame) -> DataFrame:
 
     Kinds are ``domain``, ``phrase``, ``strong`` and ``ignored``; strong phrases count as phrases too.
     """
-    ignored = rules.where("kind = 'ignored'").select("category", normalize_text("phrase", "word").alias("_plain")).distinct()
-    out = None
-    for s in SIGNALS:
-        kinds = ["phrase", "strong"] if s.kind == "phrase" else [s.kind]
-        rows = rules.where(F.col("kind").isin(*kinds)).withColumn("_plain", normalize_text("phrase", "word"))
-        if s.kind == "phrase":
-            rows = rows.join(ignored, ["category", "_plain"], "left_anti")
-        term = normalize_text("_plain", "compact") if s.compact else F.col("_plain")
-        part = rows.select(F.lit(s.field).alias("field"), F.lit(s.name).alias("signal"), "category", term.alias("term"), "ord").where(
-            F.length("term") >= s.min_len)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("field", "signal", "category", "term").agg(F.min("ord").alias("ord"))
+    plain = rules.withColumn("_plain", normalize_text("phrase", "word"))
+    ignored = plain.where("kind = 'ignored'").select("category", "_plain", F.lit(True).alias("_ignored")).distinct()
+    signals = F.array(*[F.struct(
+        F.lit(s.field).alias("field"), F.lit(s.name).alias("signal"), F.lit(s.kind).alias("wanted"),
+        F.lit(s.compact).alias("compact"), F.lit(s.min_len).alias("min_len")) for s in SIGNALS])
+    rows = plain.join(ignored, ["category", "_plain"], "left").select("*", F.explode(signals).alias("s")).select("*", "s.*")
+    as_phrase = (F.col("wanted") == "phrase") & F.col("kind").isin("phrase", "strong") & F.col("_ignored").isNull()
+    usable = rows.where(as_phrase | ((F.col("wanted") != "phrase") & (F.col("kind") == F.col("wanted"))))
+    term = F.when(F.col("compact"), normalize_text("_plain", "compact")).otherwise(F.col("_plain"))
+    return usable.withColumn("term", term).where(F.length("term") >= F.col("min_len")).groupBy(
+        "field", "signal", "category", "term").agg(F.min("ord").alias("ord"))
 
 
 def store_texts(stores: DataFrame, key: str) -> DataFrame:
@@ -87,7 +87,11 @@ def _points(s: Signal) -> Column:
 
 def score_stores(stores: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """(store, category, score, matched_signals) for every category with a positive score."""
-    hits = signal_hits(stores, key, rules)
+    return score_hits(stores, key, signal_hits(stores, key, rules))
+
+
+def score_hits(stores: DataFrame, key: str, hits: DataFrame) -> DataFrame:
+    """The scores of :func:`score_stores` out of hits that are already there."""
     # a category has a bounded list of terms, so each collected list is bounded as well
     aggregates = []
     for s in SIGNALS:
@@ -118,7 +122,11 @@ def domain_direct(stores: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     total; a tie between categories gives none."""
     terms = signal_terms(rules).where("signal = 'domain'")
     texts = store_texts(stores, key).where("field = 'domain'")
-    hits = substring_hits(texts, [key, "field"], "text", terms, on=["field"])
+    return direct_hits(key, substring_hits(texts, [key, "field"], "text", terms, on=["field"]))
+
+
+def direct_hits(key: str, hits: DataFrame) -> DataFrame:
+    """The choice of :func:`domain_direct` out of domain hits that are already there."""
     ranked = hits.groupBy(key, "category").agg(
         F.max(F.length("term")).alias("longest"), F.count(F.lit(1)).alias("hits"), F.sum(F.length("term")).alias("total"),
         F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term"))).alias("_terms"))
@@ -145,8 +153,10 @@ def classify_stores(stores: DataFrame, key: str, rules: DataFrame, min_score: in
     Stores carry ``domain_compact``, ``meta_text``, ``titles``, ``handles``, ``collection_count`` and
     the flags ``is_shop``, ``has_arabic`` and ``fetch_failed``.
     """
-    direct = domain_direct(stores, key, rules).select(key, F.col("category").alias("_direct"), F.col("matched").alias("_direct_note"))
-    scores = score_stores(stores, key, rules)
+    # texts are read once; the hits are a small part of them and serve all decisions
+    hits = cut_lineage(signal_hits(stores, key, rules))
+    direct = direct_hits(key, hits.where("signal = 'domain'")).select(key, F.col("category").alias("_direct"), F.col("matched").alias("_direct_note"))
+    scores = score_hits(stores, key, hits)
     order = [F.col("score").desc(), F.col("category")]
     two = best_and_runner_up(scores, [key], order, "score", ["category", "matched_signals"]).select(
         key, F.col("category").alias("_best"), F.col("best_value").alias("_score"), F.col("second_name").alias("_second"),

@@ -149,6 +149,8 @@ class Tables:
             return self.spread(name)
         if name in BASE_TABLES:
             return self.table(name)
+        if name.endswith("_spread"):
+            return self.spread(name.removesuffix("_spread"))
         if name in VIEWS:
             return self.sql(VIEWS[name])
         raise AttributeError(name)

@@ -12,7 +12,7 @@ from merchloom.operators import labels as L
 from merchloom.operators import multilabel as M
 from merchloom.operators import stores as T
 from merchloom.operators import targets as G
-from merchloom.session import scratch_path
+from merchloom.session import cut_lineage, scratch_path
 from merchloom.sources import sinks as K
 from suite import duck, query
 from suite.text import _stem_sql
@@ -46,8 +46,8 @@ def fuzzy_sql(name: str, src: str) -> str:
 
 _PAIRS = """SELECT a.p_partkey AS id, a.p_name || ' ' || lower(a.p_type) AS target, CASE a.p_partkey % 5 WHEN 0 THEN lower(a.p_type) || ' ' || a.p_name WHEN 1 THEN b.p_name || ' ' || a.p_name
             WHEN 2 THEN 'a ' || substring(a.p_name, 2) || ' ' || lower(b.p_type) || ' box' WHEN 3 THEN '' ELSE b.p_name END AS source
-            FROM {part} a JOIN {part} b ON b.p_partkey = (a.p_partkey * 7 + 3) % 200"""
-_PAIRS_D = _PAIRS.replace("{part}", "part")
+            FROM {part_spread} a JOIN {part} b ON b.p_partkey = (a.p_partkey * 7 + 3) % 200"""
+_PAIRS_D = _PAIRS.replace("{part_spread}", "part").replace("{part}", "part")
 
 
 @query("fuzzy_score", f"WITH pairs AS ({_PAIRS_D}), {fuzzy_sql('f', 'pairs')} SELECT id, round(set_score, 4) AS set_score, round(sort_score, 4) AS sort_score, round(part_score, 4) AS part_score, round(fuzzy, 4) AS fuzzy FROM f")
@@ -63,7 +63,7 @@ def _(t):
 
 
 _LABELS = [("Economy goods", "red ring"), ("Large things", "small bolt set"), ("Promo", "blue widget"), ("Brand", "standard gear")]
-_ITEMS = "SELECT p_partkey AS product_id, p_type AS category, p_name || ' ' || p_brand AS title FROM {part}"
+_ITEMS = "SELECT p_partkey AS product_id, p_type AS category, p_name || ' ' || p_brand AS title FROM {part_spread}"
 
 
 def _label_sql(limit: int) -> str:
@@ -71,7 +71,7 @@ def _label_sql(limit: int) -> str:
     pairs = """SELECT product_id, label_no, phase, target, unnest([category, CASE WHEN length(title) >= 10 THEN title ELSE '' END]) AS source
                FROM items, (SELECT label_no, 1 AS phase, second AS target FROM lab UNION ALL SELECT label_no, 2, prim FROM lab)"""
     return f"""
-lab AS (SELECT * FROM (VALUES {values}) AS l(label_no, prim, second)), items AS ({_ITEMS.replace('{part}', 'part')}), lp AS ({pairs}), {fuzzy_sql('lf', 'lp')},
+lab AS (SELECT * FROM (VALUES {values}) AS l(label_no, prim, second)), items AS ({_ITEMS.replace('{part_spread}', 'part')}), lp AS ({pairs}), {fuzzy_sql('lf', 'lp')},
 ls AS (SELECT product_id, label_no, phase, max(greatest(fuzzy, overlap)) AS score FROM lf GROUP BY ALL HAVING max(greatest(fuzzy, overlap)) > 0),
 la AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY phase, label_no) AS pick FROM ls),
 lk AS (SELECT *, row_number() OVER (PARTITION BY label_no ORDER BY phase, round(score, 9) DESC, product_id) AS place FROM la WHERE pick = 1)
@@ -90,7 +90,7 @@ def _(t):
     return t.sql(_ITEMS).select("product_id", hit.alias("m")).where("m IS NOT NULL").select("product_id", "m.label_no")
 
 
-@query("topk_per_label_score", f"WITH {_label_sql(40)}, p1 AS (SELECT *, row_number() OVER (PARTITION BY label_no ORDER BY round(score, 9) DESC, product_id) AS at FROM lk WHERE phase = 1) SELECT product_id, label_no FROM p1 WHERE at <= 150")
+@query("topk_per_label_score", f"WITH {_label_sql(40)}, p1 AS (SELECT *, row_number() OVER (PARTITION BY label_no ORDER BY round(score, 9) DESC, product_id) AS nth FROM lk WHERE phase = 1) SELECT product_id, label_no FROM p1 WHERE nth <= 150")
 def _(t):
     from merchloom.operators.ranking import top_per_group
     hit = L.first_label([second for _, second in _LABELS], F.col("category"), F.col("title"))
@@ -98,7 +98,7 @@ def _(t):
     return top_per_group(taken, ["label_no"], [F.round("score", 9).desc(), F.col("product_id")], 150, salt_by=["product_id"]).select("product_id", "label_no")
 
 
-@query("catalog_phase_filter", f"WITH pairs AS (SELECT product_id, 'red ring brand' AS target, unnest([category, title]) AS source FROM ({_ITEMS.replace('{part}', 'part')})), {fuzzy_sql('f', 'pairs')} SELECT product_id, round(max(set_score), 4) AS score FROM f GROUP BY 1 HAVING max(set_score) >= 75")
+@query("catalog_phase_filter", f"WITH pairs AS (SELECT product_id, 'red ring brand' AS target, unnest([category, title]) AS source FROM ({_ITEMS.replace('{part_spread}', 'part')})), {fuzzy_sql('f', 'pairs')} SELECT product_id, round(max(set_score), 4) AS score FROM f GROUP BY 1 HAVING max(set_score) >= 75")
 def _(t):
     return L.catalog_filter(t.sql(_ITEMS), "red ring brand", "category", "title").select("product_id", F.round("score", 4).alias("score"))
 
@@ -138,7 +138,7 @@ tm AS (SELECT signal, field, category, CASE WHEN compact THEN regexp_replace(phr
    WHERE NOT (sg.kind = 'phrase' AND EXISTS (SELECT 1 FROM rl i WHERE i.kind = 'ignored' AND i.category = rl.category AND i.phrase = rl.phrase)) GROUP BY ALL),
 ht AS (SELECT DISTINCT store_id, signal, category, term, ord, weight, cap FROM tx JOIN tm ON tx.field = tm.field AND contains(tx.x, tm.term) WHERE length(term) >= min_len AND x <> ''),
 hs AS (SELECT store_id, category, signal, count(*) AS n, CASE WHEN signal = 'domain' THEN least(12, 8 + (count(*) - 1) * 2) ELSE least(any_value(cap), least(count(*), 3) * any_value(weight)) END AS points,
-   signal || ':' || array_to_string(list(term ORDER BY ord, term)[:3], ', ') AS note FROM ht GROUP BY ALL),
+   signal || ':' || array_to_string(list(term ORDER BY ord, term)[:3], ', ') AS note FROM ht GROUP BY store_id, category, signal),
 hc AS (SELECT store_id, category, sum(points) AS raw, count(*) FILTER (signal IN ('domain', 'meta', 'strong_meta')) AS anchors, coalesce(sum(n) FILTER (signal LIKE 'strong%'), 0) AS strong,
    list(note ORDER BY list_position(['domain', 'meta', 'title', 'handle', 'strong_meta', 'strong_title', 'strong_handle'], signal)) AS notes FROM hs GROUP BY ALL),
 hp AS (SELECT hc.*, cc, CASE WHEN anchors > 0 THEN 0 WHEN category = 'pet' AND cc >= 120 AND strong < 3 THEN 15 WHEN category = 'bag' AND cc >= 100 AND strong < 2 THEN 10
@@ -284,8 +284,8 @@ SELECT it.id, CASE WHEN mi.id IS NULL THEN source_table WHEN predicted = 'Jewelr
 def _(t):
     items = _expected_items(t)
     found = M.mismatch_scan(items, "id", t.spark.sql(_ALIASES)).select("id", "predicted")
-    marked = items.join(found, "id", "left")
-    tables = items.select(F.col("source_table").alias("name")).distinct()
+    marked = cut_lineage(items.join(found, "id", "left"))
+    tables = marked.select(F.col("source_table").alias("name")).distinct()
     no_preference = t.spark.createDataFrame([], "category string, ord int, name string")
     moves = marked.where("predicted IS NOT NULL").select(F.col("predicted").alias("category"), "source_table")
     targets = G.resolve_targets(moves, tables, t.spark.sql(_ALIASES), no_preference).withColumnRenamed("category", "predicted")
