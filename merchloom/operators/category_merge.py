@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import text_or_empty
 from merchloom.functions.categories import DROP_ROW, OTHER, category_key, clean_category_path, key_text
 from merchloom.functions.similarity import jaccard
 from merchloom.functions.text import squeeze_words
@@ -24,14 +23,10 @@ PUBLIC_LABELS = (
 
 
 def with_clean_category(df: DataFrame, column: str) -> DataFrame:
-    """Add ``clean_category`` and ``cat_key``; each distinct spelling is worked on once."""
-    raw = text_or_empty(column)
-    spellings = df.select(raw.alias("_raw")).distinct()
-    worked = spellings.withColumn("clean_category", clean_category_path("_raw"))
-    keyed = worked.withColumn("cat_key", F.coalesce(F.expr("nullif(clean_category, '')"), F.lit(OTHER)))
-    keyed = keyed.withColumn("cat_key", category_key("cat_key")).withColumn(
-        "cat_key", F.when(F.col("cat_key") == "", "other").otherwise(F.col("cat_key")))
-    return df.withColumn("_raw", raw).join(keyed, "_raw").drop("_raw")
+    """Add ``clean_category`` and its ``cat_key``; a narrow step, so that the input is read once."""
+    cleaned = df.withColumn("clean_category", clean_category_path(column))
+    keyed = cleaned.withColumn("cat_key", category_key("clean_category"))
+    return keyed.withColumn("cat_key", F.when(F.col("cat_key") == "", "other").otherwise(F.col("cat_key")))
 
 
 def representatives(df: DataFrame, key: str = "cat_key", label: str = "clean_category") -> DataFrame:
