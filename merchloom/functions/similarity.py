@@ -104,12 +104,14 @@ def keyword_overlap(target: ColumnLike, source: ColumnLike) -> Column:
     return F.coalesce(let(F.struct(keywords.alias("k"), F.lower(col(source)).alias("s")), score), F.lit(0.0))
 
 
-def match_score(target: ColumnLike, category: ColumnLike, title: ColumnLike) -> Column:
-    """Best score of a label against a product's category and its title of ten letters or more."""
-    on_title = F.when(F.length(col(title)) >= 10,
-                      F.greatest(keyword_overlap(target, title), fuzzy_score(target, title))).otherwise(0.0)
-    on_category = F.greatest(keyword_overlap(target, category), fuzzy_score(target, category))
-    return let(on_category, lambda c: F.when(c >= 100.0, c).otherwise(F.greatest(c, on_title)))
+def text_score(target: ColumnLike, source: ColumnLike) -> Column:
+    """The better of word overlap and fuzzy score; a full overlap needs no second look."""
+    return let(keyword_overlap(target, source), lambda o: F.when(o >= 100.0, o).otherwise(F.greatest(o, fuzzy_score(target, source))))
+
+
+def title_score(target: ColumnLike, title: ColumnLike) -> Column:
+    """Score of a label against a title; titles under ten letters say nothing."""
+    return F.when(F.length(col(title)) >= 10, text_score(target, title)).otherwise(0.0)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -106,6 +106,13 @@ def first_sku(variants: ColumnLike) -> Column:
     return text_or_empty(F.get(col(variants), F.lit(0))["sku"])
 
 
+def first_prices(variants: ColumnLike) -> Column:
+    """Struct of the first variant's compare-at and sale price; NULL where blank or no number."""
+    first = F.get(col(variants), F.lit(0))
+    return F.struct(strip(first["compare_at_price"]).try_cast("double").alias("original_price"),
+                    strip(first["price"]).try_cast("double").alias("discount_price"))
+
+
 def variant_string(options: ColumnLike) -> Column:
     """``name^v1#v2|||…`` over the options, without the placeholder option."""
     real = F.filter(col(options), lambda o: (text_or_empty(o["name"]) != "") & (strip(o["name"]) != "Title"))

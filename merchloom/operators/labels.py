@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchloom.functions.base import let, text_or_empty
-from merchloom.functions.similarity import match_score, token_set
+from merchloom.functions.similarity import text_score, title_score, token_set
 from merchloom.operators.ranking import top_per_group
 from merchloom.session import cut_lineage
 
@@ -29,25 +29,29 @@ def parse_labels(text: str) -> list[Label]:
     return labels
 
 
-def first_label(names: Sequence[str], category: Column, title: Column) -> Column:
-    """Struct (label_no, score) of the first label in the given order that takes the product, else NULL.
+def with_first_label(df: DataFrame, names: Sequence[str], category: Column, title: Column) -> DataFrame:
+    """Rows taken by a label, with ``label_no`` and ``score`` of the first label in the given order that scores.
 
     The labels are the lines of one request. A product stops at its first hit, so it belongs to one
-    label and is never multiplied.
+    label and is never multiplied. Categories repeat, so their scores are worked out per distinct one.
     """
+    if not names:
+        return df.limit(0).withColumn("label_no", F.lit(None).cast("int")).withColumn("score", F.lit(0.0))
+    labels = F.array(*[F.lit(name) for name in names])
+    spellings = df.select(category.alias("_cat")).distinct()
+    scores = spellings.withColumn("_scores", F.transform(labels, lambda name: text_score(name, F.col("_cat"))))
     none = F.struct(F.lit(None).cast("int").alias("label_no"), F.lit(0.0).alias("score"))
-    entries = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(name).alias("name")) for i, name in enumerate(names)])
+    entries = F.transform("_scores", lambda score, i: F.struct(i.alias("no"), F.get(labels, i).alias("name"), score.alias("score")))
 
     def step(found: Column, entry: Column) -> Column:
         def hit(score: Column) -> Column:
             return F.struct(F.when(score > 0, entry["no"]).alias("label_no"), score.alias("score"))
 
-        return F.when(found["score"] > 0, found).otherwise(let(match_score(entry["name"], category, title), hit))
+        best = F.when(entry["score"] >= 100.0, entry["score"]).otherwise(F.greatest(entry["score"], title_score(entry["name"], title)))
+        return F.when(found["score"] > 0, found).otherwise(let(best, hit))
 
-    def settle(found: Column) -> Column:
-        return F.when(found["score"] > 0, found)
-
-    return F.aggregate(entries, none, step, settle) if names else F.lit(None).cast("struct<label_no:int,score:double>")
+    joined = df.withColumn("_cat", category).join(scores, "_cat")
+    return joined.withColumn("_m", F.aggregate(entries, none, step)).where(F.col("_m.score") > 0).select("*", "_m.*").drop("_m", "_cat", "_scores")
 
 
 def assign_labels(df: DataFrame, labels: Sequence[Label], key: str, category: str = "category", title: str = "title",
@@ -60,8 +64,7 @@ def assign_labels(df: DataFrame, labels: Sequence[Label], key: str, category: st
     cat, name = text_or_empty(category), text_or_empty(title)
 
     def matched(rows: DataFrame, names: Sequence[str], phase: int) -> DataFrame:
-        scored = rows.withColumn("_m", first_label(names, cat, name)).where("_m IS NOT NULL")
-        return scored.select("*", "_m.*", F.lit(phase).alias("phase")).drop("_m")
+        return with_first_label(rows, names, cat, name).withColumn("phase", F.lit(phase))
 
     # scoring is the costly part: the matched rows are kept, so that counting them does not repeat it
     rows = cut_lineage(matched(df, [second for _, second in labels], 1))

@@ -21,6 +21,7 @@ from merchloom.functions.text import normalize_text
 # one sign that no text word can equal; it keeps phrases from matching across punctuation
 BARRIER = "\u0001"
 MAX_GRAM = 4
+MAX_FIRST_WORDS = 10_000
 
 
 def boundary_words(value: ColumnLike) -> Column:
@@ -136,17 +137,18 @@ def ngram_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame,
     """
     # the distinct term lengths are a handful of small numbers whatever the size of the table
     lengths = sorted(r[0] for r in terms.select(F.size(words_of("term"))).distinct().collect())
+    firsts = [r[0] for r in terms.select(F.get(words_of("term"), F.lit(0))).distinct().limit(MAX_FIRST_WORDS + 1).collect()]
     words = texts.select(*keys, words_of(column).alias("_w"))
 
     def grams_of(w: Column) -> Column:
-        none = F.array().cast("array<string>")
-
-        def run(n: int) -> Column:
-            starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
-            return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
-
-        runs = [run(n) if n > 1 else w for n in lengths]
-        return F.array_distinct(F.concat(*runs) if runs else none)
+        places = F.sequence(F.lit(1), F.size(w))
+        if len(firsts) <= MAX_FIRST_WORDS:
+            # only places at which some term can begin; a longer list is left to the join alone
+            marked = F.transform(w, lambda word, i: F.when(word.isin(firsts), i + 1))
+            places = F.filter(marked, lambda i: i.isNotNull())
+        sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+        runs = F.transform(places, lambda i: F.transform(sizes, lambda n: F.array_join(F.slice(w, i, n), " ")))
+        return F.array_distinct(F.flatten(runs))
 
     grams = words.select(*keys, F.explode(grams_of(F.col("_w"))).alias("_gram"))
     wanted = terms.withColumn("_gram", F.array_join(words_of("term"), " ")).distinct()

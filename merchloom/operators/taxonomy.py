@@ -15,30 +15,21 @@ COMMON_WORDS = ("all", "the", "and", "for", "with", "new", "sale", "shop", "best
 def normalize_to_taxonomy(df: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
     """Add ``normalized`` (title case when the name or its singular is a node) and ``known``.
 
-    The look-up runs once per distinct name; the node table is joined by size, not by hint.
+    Both look-ups are left joins to the distinct nodes; Spark broadcasts those when they are small
+    enough, and rows then stay where they are.
     """
-    names = (
-        df.select(collapse_ws(column).alias("_name")).distinct()
-        .withColumn("_lower", F.lower("_name"))
-        .withColumn("_singular", singularize_phrase("_name"))
-    )
     known = nodes.select(F.lower(col("node")).alias("_node")).distinct()
-    looked_up = (
-        names.join(known.withColumnRenamed("_node", "_exact"), F.col("_lower") == F.col("_exact"), "left")
-        .join(known.withColumnRenamed("_node", "_stem"), F.col("_singular") == F.col("_stem"), "left")
-        .select(
-            "_name",
-            F.when(F.col("_exact").isNotNull(), F.initcap("_name"))
-            .when(F.col("_stem").isNotNull(), F.initcap("_singular"))
-            .otherwise(F.col("_name")).alias("normalized"),
-            (F.col("_exact").isNotNull() | F.col("_stem").isNotNull()).alias("known"),
-        )
-    )
-    return (
-        df.withColumn("_name", collapse_ws(column)).join(looked_up, "_name", "left")
-        .withColumn("normalized", F.coalesce("normalized", F.lit("")))
-        .withColumn("known", F.coalesce("known", F.lit(False))).drop("_name")
+    named = df.withColumn("_name", F.coalesce(collapse_ws(column), F.lit(""))).withColumns({
+        "_exact": F.lower("_name"), "_stem": singularize_phrase("_name")})
+    exact = known.select(F.col("_node").alias("_exact"), F.lit(True).alias("_is_exact"))
+    stem = known.select(F.col("_node").alias("_stem"), F.lit(True).alias("_is_stem"))
+    joined = named.join(exact, "_exact", "left").join(stem, "_stem", "left")
+    normalized = (
+        F.when(F.col("_is_exact"), F.initcap("_name")).when(F.col("_is_stem"), F.initcap("_stem")).otherwise(F.col("_name"))
     )
+    return joined.select(
+        *df.columns, normalized.alias("normalized"),
+        (F.col("_is_exact").isNotNull() | F.col("_is_stem").isNotNull()).alias("known"))
 
 
 def content_words(value: ColumnLike) -> F.Column:

@@ -20,11 +20,13 @@ PRICES = ("discount_price", "original_price")
 
 def process_all(df: DataFrame, key: str, nodes: DataFrame, image_limit: int = dedup.BULK_IMAGE_LIMIT) -> DataFrame:
     """Clean title, description, tags and category, then drop rows with over-used images."""
-    out = df.withColumn("title", clean_title("title")).withColumn("description", clean_description("description"))
+    # pictures are not changed by the cleaning: over-used ones are found on the narrow raw rows
+    out = dedup.remove_bulk_images(df, key, "images", image_limit)
+    out = out.withColumn("title", clean_title("title")).withColumn("description", clean_description("description"))
     if "tags" in df.columns:
         out = out.withColumn("tags", clean_tags("tags"))
-    out = taxonomy.normalize_to_taxonomy(out, "category", nodes).withColumn("category", F.col("normalized")).drop("normalized", "known")
-    return dedup.remove_bulk_images(out, key, "images", image_limit)
+    named = taxonomy.normalize_to_taxonomy(out, "category", nodes)
+    return named.withColumn("category", F.col("normalized")).drop("normalized", "known")
 
 
 def core_verdicts(df: DataFrame, key: str, nodes: DataFrame, prohibited: tuple[str, ...], image_limit: int = dedup.BULK_IMAGE_LIMIT) -> DataFrame:

@@ -63,7 +63,7 @@ SELECT o_orderkey, concat('<table>',
   '<ul class="subsubsub"><li class="all"><a href="?page=wc-orders">All <span class="count">(', o_orderkey + 3, ')</span></a></li>',
   '<li class="wc-pending"><a href="?status=wc-pending">Pending <span class="count">(', o_orderkey % 11, ')</span></a></li><li class="wc-unknown"><a href="?x">(9)</a></li>',
   '<li><a href="?status=wc-completed">Completed (', o_orderkey % 7, ')</a></li></ul>') AS html
-FROM {orders}
+FROM {orders_spread}
 """
 
 

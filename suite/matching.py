@@ -86,15 +86,13 @@ def _(t):
 
 @query("exclusive_assignment", f"WITH {_label_sql(40)} SELECT product_id, label_no FROM lk WHERE phase = 1")
 def _(t):
-    hit = L.first_label([second for _, second in _LABELS], F.col("category"), F.col("title"))
-    return t.sql(_ITEMS).select("product_id", hit.alias("m")).where("m IS NOT NULL").select("product_id", "m.label_no")
+    return L.with_first_label(t.sql(_ITEMS), [second for _, second in _LABELS], F.col("category"), F.col("title")).select("product_id", "label_no")
 
 
 @query("topk_per_label_score", f"WITH {_label_sql(40)}, p1 AS (SELECT *, row_number() OVER (PARTITION BY label_no ORDER BY round(score, 9) DESC, product_id) AS nth FROM lk WHERE phase = 1) SELECT product_id, label_no FROM p1 WHERE nth <= 150")
 def _(t):
     from merchloom.operators.ranking import top_per_group
-    hit = L.first_label([second for _, second in _LABELS], F.col("category"), F.col("title"))
-    taken = t.sql(_ITEMS).select("product_id", hit.alias("m")).where("m IS NOT NULL").select("product_id", "m.*")
+    taken = L.with_first_label(t.sql(_ITEMS), [second for _, second in _LABELS], F.col("category"), F.col("title"))
     return top_per_group(taken, ["label_no"], [F.round("score", 9).desc(), F.col("product_id")], 150, salt_by=["product_id"]).select("product_id", "label_no")
 
 
@@ -271,7 +269,32 @@ def _(t):
     return M.mismatch_scan(_expected_items(t), "id", t.spark.sql(_ALIASES)).select("id", "expected", "predicted", "top_score", "second_score")
 
 
-@query("mismatch_scan_heavy")
+def judge_sql(name: str, hits: str) -> str:
+    """CTE ``name``: best, second and expected score per row of ``hits(id, f, target)``."""
+    return f"""
+{name}_h AS ({hits}), {name}_p AS (SELECT id, target, sum(CASE f WHEN 't' THEN 2 WHEN 'c' THEN 3 ELSE 1 END) AS s FROM {name}_h GROUP BY ALL),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, target) AS rn FROM {name}_p),
+{name} AS (SELECT it.id, expected, a.target AS predicted, a.s AS top, coalesce(b.s, 0) AS second, coalesce(e.s, 0) AS es,
+   EXISTS (SELECT 1 FROM {name}_h h WHERE h.id = it.id AND f = 't' AND target = expected) AS in_t, EXISTS (SELECT 1 FROM {name}_h h WHERE h.id = it.id AND f = 'c' AND target = expected) AS in_c
+   FROM it JOIN {name}_r a ON a.id = it.id AND a.rn = 1 LEFT JOIN {name}_r b ON b.id = it.id AND b.rn = 2 LEFT JOIN {name}_p e ON e.id = it.id AND e.target = expected)
+"""
+
+
+_PASS = "(predicted = expected OR (in_c AND es >= 3) OR es >= 4 OR (in_t AND es >= greatest(top - 1, 3)) OR (in_c AND es >= top - 1))"
+_HEAVY_SQL = f"""
+{_MISMATCH_SQL},
+hv AS (SELECT id FROM mm WHERE NOT pass AND predicted <> expected AND NOT in_c AND top >= 3 AND top - second >= 1 AND es < top),
+nx AS (SELECT id, f, {_STEMMED('x')} AS norm FROM (SELECT id, 't' AS f, title AS x FROM it UNION ALL SELECT id, 'c', category FROM it UNION ALL SELECT id, 'd', description FROM it) WHERE id IN (SELECT id FROM hv)),
+{multi_sql('hm', 'SELECT norm FROM nx')},
+{judge_sql('pj', "SELECT id, f, hm.category AS target FROM nx JOIN hm USING (norm) WHERE f <> 'd'")},
+rf AS (SELECT id FROM pj WHERE NOT {_PASS} AND predicted <> expected AND top >= 3 AND top - second >= 1 AND es < top AND NOT (in_c AND es >= 3)),
+dn AS (SELECT norm FROM hm GROUP BY 1 HAVING count(*) <= 4),
+{judge_sql('dj', "SELECT id, f, hm.category AS target FROM nx JOIN hm USING (norm) WHERE id IN (SELECT id FROM rf) AND (f <> 'd' OR norm IN (SELECT norm FROM dn))")}
+"""
+
+
+@query("mismatch_scan_heavy", f"""WITH {_HEAVY_SQL}
+SELECT id, expected, predicted, CAST(top AS BIGINT) AS top_score, CAST(second AS BIGINT) AS second_score FROM dj WHERE predicted <> expected AND NOT in_t AND NOT in_c AND top >= 3 AND top - second >= 1 AND es < top - 1""")
 def _(t):
     return M.mismatch_scan(_expected_items(t), "id", t.spark.sql(_ALIASES), t.spark.sql(_KEYWORDS), quick=False).select("id", "expected", "predicted", "top_score", "second_score")
 

@@ -106,6 +106,16 @@ def _(t):
                                   U.variant_titles("variants").alias("titles"))
 
 
+@query("first_prices", """
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice * 2 END AS original_price, CASE WHEN p_partkey % 4 = 1 THEN NULL ELSE p_retailprice END AS discount_price FROM part WHERE p_partkey % 9 <> 5
+UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_partkey % 9 = 5
+""")
+def _(t):
+    rows = t.sql("""SELECT p_partkey, CASE WHEN p_partkey % 9 <> 5 THEN array(named_struct('compare_at_price', CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_retailprice * 2 AS STRING) END,
+        'price', CASE WHEN p_partkey % 4 = 1 THEN '' ELSE CAST(p_retailprice AS STRING) END), named_struct('compare_at_price', '1', 'price', '2')) END AS variants FROM {part}""")
+    return rows.select("p_partkey", U.first_prices("variants").alias("p")).select("p_partkey", "p.*")
+
+
 @query("unique_key", """
 SELECT product_id, CASE WHEN product_id % 3 = 0 THEN domain || '|||fallback|||' || trim(lower(title), ' ' || chr(9) || chr(10) || chr(13)) || '|||' || coalesce(lower(image), '')
                         ELSE domain || '|||id|||' || product_id END AS product_key FROM v_product
