@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -15,6 +16,13 @@ WS_CHARS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# Negated classes spelled out sign by sign: the regex engine tests those by table, which is several
+# times faster than a negated class of ranges.
+ALNUM = string.ascii_lowercase + string.digits
+NOT_ALNUM = f"[^{ALNUM}]"
+NOT_ALNUM_BLANK = f"[^{ALNUM} ]"
+NOT_LATIN_LETTER = f"[^{string.ascii_letters}]"
+
 # The same set as one pattern: the Unicode space property is a single cheap test per character.
 WS_RUN = r"(?U)[\s\x{1c}-\x{1f}]+"
 

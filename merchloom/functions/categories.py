@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import WS_RUN, ColumnLike, let, re_escape, strip, text_or_empty
+from merchloom.functions.base import NOT_ALNUM, WS_RUN, ColumnLike, let, re_escape, strip, text_or_empty
 from merchloom.functions.language import mostly_cjk
 from merchloom.functions.text import singularize
 
@@ -66,7 +66,7 @@ def relabel_part(part: Column, relabel: Sequence[tuple[str, str]]) -> Column:
     """Label of the first term found in the part as a whole word, else the part itself."""
     chain = F.when(F.lit(False), part)
     for term, label in relabel:
-        chain = chain.when(F.lower(part).rlike(rf"(^|[^a-z0-9]){re_escape(term.lower())}([^a-z0-9]|$)"), label)
+        chain = chain.when(F.lower(part).rlike(f"(^|{NOT_ALNUM}){re_escape(term.lower())}({NOT_ALNUM}|$)"), label)
     return chain.otherwise(part)
 
 

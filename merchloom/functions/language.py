@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import ColumnLike, col, first_reason, let, text_or_empty
+from merchloom.functions.base import NOT_LATIN_LETTER, ColumnLike, col, first_reason, let, text_or_empty
 
 # Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, CJK A, CJK, Hangul.
 NON_LATIN = (
@@ -23,11 +23,11 @@ MIN_LATIN_RATIO = 0.6
 
 def letters(value: ColumnLike) -> Column:
     """Number of letters of any script."""
-    return F.length(F.regexp_replace(col(value), r"\P{L}+", ""))
+    return F.length(F.regexp_replace(col(value), r"[^\p{L}]+", ""))
 
 
 def latin_letters(value: ColumnLike) -> Column:
-    return F.length(F.regexp_replace(col(value), r"[^A-Za-z]+", ""))
+    return F.length(F.regexp_replace(col(value), NOT_LATIN_LETTER + "+", ""))
 
 
 def has_non_latin(value: ColumnLike) -> Column:

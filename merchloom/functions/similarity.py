@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import ColumnLike, col, let
+from merchloom.functions.base import NOT_ALNUM, ColumnLike, col, let
 from merchloom.functions.text import title_keywords
 
 TOKEN_SET_MIN = 85.0
@@ -24,12 +24,12 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def words(value: ColumnLike) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(col(value)), r"[^a-z0-9]+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(col(value)), NOT_ALNUM + "+"), lambda w: w != ""))
 
 
 def token_sort(a: ColumnLike, b: ColumnLike) -> Column:
     def flat(value: ColumnLike) -> Column:
-        return F.array_join(F.array_sort(F.filter(F.split(F.lower(col(value)), r"[^a-z0-9]+"), lambda w: w != "")), " ")
+        return F.array_join(F.array_sort(F.filter(F.split(F.lower(col(value)), NOT_ALNUM + "+"), lambda w: w != "")), " ")
 
     return ratio(flat(a), flat(b))
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import (
-    WS_RUN, ColumnLike, col, collapse_ws, let, strip, text_or_empty,
-)
+from merchloom.functions.base import NOT_ALNUM, WS_RUN, ColumnLike, col, collapse_ws, let, strip, text_or_empty
 
 TAG = r"<[^>]+>"
 ENTITY = r"(?i)&[a-z0-9#]+;"
@@ -91,7 +89,7 @@ def normalize_text(value: ColumnLike, mode: str) -> Column:
     if mode == "word":
         return collapse_ws(F.regexp_replace(text, r"[^\p{L}\p{N}_\s&'-]", " "))
     if mode == "compact":
-        return F.regexp_replace(text, r"[^a-z0-9]+", "")
+        return F.regexp_replace(text, NOT_ALNUM + "+", "")
     if mode == "stem":
         text = collapse_ws(F.regexp_replace(text, r"""[&/,;:\-•·()（）\[\]"“”'’`]+""", " "))
         for pattern, replacement in STEM_GROUPS:
@@ -181,7 +179,7 @@ def first_segment(value: ColumnLike) -> Column:
 
 
 def slugify(value: ColumnLike, default: str = "mismatch_target") -> Column:
-    slug = F.btrim(F.regexp_replace(F.lower(text_or_empty(value)), "[^a-z0-9]+", "_"), F.lit("_"))
+    slug = F.btrim(F.regexp_replace(F.lower(text_or_empty(value)), NOT_ALNUM + "+", "_"), F.lit("_"))
     return F.when(slug != "", slug).otherwise(default)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchloom.functions import similarity as S
-from merchloom.functions.base import ColumnLike, col
+from merchloom.functions.base import NOT_ALNUM, ColumnLike, col
 from merchloom.operators.lexicon import substring_hits
 from merchloom.operators.ranking import first_per_key
 
@@ -45,7 +45,7 @@ def similar_pairs(left: DataFrame, left_text: str, right: DataFrame, right_text:
 
 def sorted_words(value: ColumnLike) -> Column:
     """Words in order, as token-sort scores compare them."""
-    return F.array_join(F.array_sort(F.filter(F.split(F.lower(col(value)), r"[^a-z0-9]+"), lambda w: w != "")), " ")
+    return F.array_join(F.array_sort(F.filter(F.split(F.lower(col(value)), NOT_ALNUM + "+"), lambda w: w != "")), " ")
 
 
 def best_line(names: DataFrame, name: str, lines: DataFrame, line: str, min_score: float = 80.0) -> DataFrame:

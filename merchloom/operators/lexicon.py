@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import ColumnLike, col, let, text_or_empty
+from merchloom.functions.base import NOT_ALNUM_BLANK, ColumnLike, col, let, text_or_empty
 from merchloom.functions.text import normalize_text
 
 # one sign that no text word can equal; it keeps phrases from matching across punctuation
@@ -30,15 +30,15 @@ def boundary_words(value: ColumnLike) -> Column:
     Hyphens count as blanks. Any other sign outside [a-z0-9] ends a word and bars a phrase from
     running across it; doubled blanks leave empty words and do the same.
     """
-    text = F.translate(F.lower(text_or_empty(value)), "-", " ")
-    barred = F.regexp_replace(text, "[^a-z0-9 ]+", f" {BARRIER} ")
+    text = F.replace(F.lower(text_or_empty(value)), F.lit("-"), F.lit(" "))
+    barred = F.regexp_replace(text, NOT_ALNUM_BLANK + "+", f" {BARRIER} ")
     return F.split(barred, " ")
 
 
 def boundary_text(value: ColumnLike) -> Column:
     """The words of :func:`boundary_words` as one padded string."""
-    text = F.translate(F.lower(text_or_empty(value)), "-", " ")
-    return F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9 ]+", f" {BARRIER} "), F.lit(" "))
+    text = F.replace(F.lower(text_or_empty(value)), F.lit("-"), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(text, NOT_ALNUM_BLANK + "+", f" {BARRIER} "), F.lit(" "))
 
 
 def _plain_words(term: str) -> str:
@@ -84,7 +84,7 @@ class Lexicon:
             hit = F.filter(F.array(*entries), lambda e: e["at"] > 0)
             return F.transform(F.array_sort(hit), lambda e: e["term"])
 
-        raw = F.translate(F.lower(text_or_empty(value)), "-", " ")
+        raw = F.replace(F.lower(text_or_empty(value)), F.lit("-"), F.lit(" "))
         return let(F.struct(raw.alias("raw"), boundary_text(value).alias("words")), found)
 
     def _safe_phrases(self, term: str) -> tuple[str, ...]:
@@ -123,7 +123,7 @@ class Lexicon:
         """``tag:term`` for the first category term found as a whole word; '' when there is none."""
         chain = F.when(F.lit(False), F.lit(""))
         for value in [category] + ([source_category] if source_category is not None else []):
-            text = F.concat(F.lit(" "), F.regexp_replace(normalize_text(value, "path"), "[^a-z0-9 ]+", f" {BARRIER} "), F.lit(" "))
+            text = F.concat(F.lit(" "), F.regexp_replace(normalize_text(value, "path"), NOT_ALNUM_BLANK + "+", f" {BARRIER} "), F.lit(" "))
             for term in self.category_terms:
                 chain = chain.when(F.contains(text, F.lit(f" {_plain_words(term)} ")), f"{self.category_tag}:{term}")
         return chain.otherwise("")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import ColumnLike, col
+from merchloom.functions.base import ALNUM, ColumnLike, col
 from merchloom.functions.text import normalize_text
 from merchloom.operators.lexicon import ngram_hits, substring_hits
 from merchloom.session import cut_lineage
@@ -234,5 +234,5 @@ def fill_blank_category(df: DataFrame, key: str, rules: DataFrame, number: Colum
 
 
 def _word_runs(value: ColumnLike) -> Column:
-    barred = F.regexp_replace(F.lower(col(value)), r"[^a-z0-9_ ]+", " \u0001 ")
+    barred = F.regexp_replace(F.lower(col(value)), f"[^{ALNUM}_ ]+", " \u0001 ")
     return F.split(barred, " ")

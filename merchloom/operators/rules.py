@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchloom.functions.base import (
-    ColumnLike, all_of, any_of, col, first_reason, join_nonblank, re_escape, text_or_empty,
+    NOT_ALNUM, ColumnLike, all_of, any_of, col, first_reason, join_nonblank, re_escape, text_or_empty,
 )
 from merchloom.functions.language import (
     has_accent, has_non_latin, is_english, latin_letters, letters, non_english_reason,
@@ -138,7 +138,7 @@ def bulk_language_reject(title: ColumnLike, category: ColumnLike, desc: ColumnLi
 def word_pattern(terms: list[str] | tuple[str, ...]) -> str:
     """Pattern for any of the terms as a whole word, longest first."""
     body = "|".join(re_escape(t.lower()) for t in sorted(terms, key=lambda t: (-len(t), t)))
-    return rf"(^|[^a-z0-9])({body})([^a-z0-9]|$)"
+    return f"(^|{NOT_ALNUM})({body})({NOT_ALNUM}|$)"
 
 
 def lexicon_word_match(terms: list[str] | tuple[str, ...], *columns: ColumnLike) -> Column:

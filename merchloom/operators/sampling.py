@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import all_of, any_of, strip
+from merchloom.functions.base import NOT_ALNUM, all_of, any_of, strip
 from merchloom.functions.language import NON_LATIN, is_non_english, latin_letters
 from merchloom.operators.ranking import top_per_group
 
@@ -31,7 +31,7 @@ def store_language_structured(df: DataFrame, store: str, text: str, order: Seque
     joined = plain.groupBy(store).agg(F.lower(F.array_join(F.transform(pairs, lambda p: p["_text"]), " ")).alias("sample"))
     counted = joined.select(
         "*", latin_letters("sample").alias("_latin"),
-        F.length(F.regexp_replace("sample", "[^a-z0-9]+", "")).alias("_plain"),
+        F.length(F.regexp_replace("sample", NOT_ALNUM + "+", "")).alias("_plain"),
         F.length(F.regexp_replace("sample", r"[^\x{e0}-\x{f6}\x{f8}-\x{fe}]+", "")).alias("_accents"))
     foreign = F.col("sample").rlike(NON_LATIN) | ((F.col("_latin") > 0) & (F.col("_accents") > 0.3 * F.col("_latin")))
     bad = (F.col("_plain") >= 30) & (foreign | (F.col("_latin") < 0.6 * F.col("_plain")))

@@ -49,10 +49,10 @@ def read_products_jsonl(spark: SparkSession, path: str, strict: bool = True) ->
     fields = [T.StructField(n, T.StringType()) for n in names] + [T.StructField("_corrupt", T.StringType())]
     reader = spark.read.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", "_corrupt")
     raw = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
-    return rename_product_fields(raw).withColumn("_corrupt", raw["_corrupt"]) if not strict else rename_product_fields(raw)
+    return rename_product_fields(raw, keep=() if strict else ("_corrupt",))
 
 
-def rename_product_fields(df: DataFrame) -> DataFrame:
+def rename_product_fields(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """First alias that is present wins; blank numbers become NULL."""
     present = {f.lower() for f in df.columns}
     out: list[Column] = []
@@ -60,7 +60,7 @@ def rename_product_fields(df: DataFrame) -> DataFrame:
         usable = [F.col(f"`{a}`") for a in aliases if a.lower() in present]
         value = F.coalesce(*usable) if usable else F.lit(None).cast("string")
         out.append((blank_to_null(value).try_cast("double") if name in NUMERIC_FIELDS else value).alias(name))
-    return df.select(*out)
+    return df.select(*out, *keep)
 
 
 def canonical_header(name: str) -> str:
