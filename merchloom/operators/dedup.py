@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import strip, text_or_empty
+from merchloom.functions.base import all_of, text_or_empty
 from merchloom.functions.urls import extract_domain, public_url
-from merchloom.operators.ranking import first_per_key
+from merchloom.operators.ranking import first_per_key, numbered
+from merchloom.session import cut_lineage
 
 BULK_IMAGE_LIMIT = 20
 MAX_LISTED_IMAGES = 10_000
@@ -30,11 +31,13 @@ def by_title_min_id(df: DataFrame, title: str, key: str) -> DataFrame:
 
 def by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keyless: bool = True) -> DataFrame:
     """One row per key in the given order; rows without a key pass through."""
-    has_key = F.lit(True)
-    for name in keys:
-        has_key = has_key & F.col(name).isNotNull() & (F.col(name).cast("string") != "")
-    kept = first_per_key(df.where(has_key), keys, order)
-    return kept.unionByName(df.where(~F.coalesce(has_key, F.lit(False)))) if keyless else kept
+    kept = first_per_key(df.where(has_key(keys)), keys, order)
+    return kept.unionByName(df.where(~has_key(keys))) if keyless else kept
+
+
+def has_key(keys: Sequence[str]) -> Column:
+    """Every key column is filled."""
+    return all_of([F.coalesce(F.col(k).cast("string"), F.lit("")) != "" for k in keys])
 
 
 def by_domain(df: DataFrame, url: str, order: Sequence[str], existing: DataFrame | None = None) -> DataFrame:
@@ -79,12 +82,25 @@ def remove_bulk_images(df: DataFrame, key: str, images: str, limit: int = BULK_I
 def repeated_pages(df: DataFrame, key: str, page: str, signature: Column, limit: int = 2) -> DataFrame:
     """Pages in reading order until an unchanged signature has repeated ``limit`` times in a row.
 
-    Keeps everything before the page at which reading stops; ``repeats`` counts the run so far.
+    Keeps everything before the page at which reading stops; ``repeats`` counts the run so far. A key
+    may own a large share of all pages, so no window is opened per key: pages are numbered over the
+    whole table, a page meets the one before it by number, and as reading stops at ``limit`` it is
+    enough to look that many pages back.
     """
-    window = Window.partitionBy(key).orderBy(page)
-    marked = df.withColumn("_sig", signature).withColumn(
-        "_same", F.coalesce((F.col("_sig") == F.lag("_sig").over(window)) & (F.col("_sig") != ""), F.lit(False)))
-    runs = marked.withColumn("_run", F.sum(F.when(F.col("_same"), 0).otherwise(1)).over(window))
-    counted = runs.withColumn("repeats", F.row_number().over(Window.partitionBy(key, "_run").orderBy(page)) - 1)
-    stopped = F.max(F.when(F.col("repeats") >= limit, 1).otherwise(0)).over(window)
-    return counted.withColumn("_stopped", stopped).where("_stopped = 0").drop("_sig", "_same", "_run", "_stopped")
+    rows = numbered(df.select(key, page, signature.alias("_sig")), [F.col(key), F.col(page)], "_n")
+    before = rows.select(key, (F.col("_n") + 1).alias("_n"), F.col("_sig").alias("_before"))
+    flags = rows.join(before, [key, "_n"], "left").select(
+        key, page, "_n", F.coalesce((F.col("_sig") == F.col("_before")) & (F.col("_sig") != ""), F.lit(False)).alias("_same_0"))
+    flags = cut_lineage(flags)
+    looked = flags
+    for back in range(1, limit):
+        earlier = flags.select(key, (F.col("_n") + back).alias("_n"), F.col("_same_0").alias(f"_same_{back}"))
+        looked = looked.join(earlier, [key, "_n"], "left")
+    run, repeats = F.lit(True), F.lit(0)
+    for back in range(limit):
+        run = run & F.coalesce(f"_same_{back}", F.lit(False))
+        repeats = repeats + F.when(run, 1).otherwise(0)
+    counted = looked.select(key, page, repeats.alias("repeats"))
+    stops = counted.where(F.col("repeats") >= limit).groupBy(key).agg(F.min(page).alias("_stop"))
+    kept = counted.join(stops, key, "left").where(F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop")
+    return df.join(kept, [key, page])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merchloom.functions.base import ColumnLike, blank_to_null, col, text_or_empty
 from merchloom.functions.urls import bare_domain, normalize_url
-from merchloom.operators.dedup import by_key
+from merchloom.operators.dedup import by_key, has_key
 from merchloom.operators.ranking import first_per_key
 
 
@@ -20,7 +20,9 @@ def not_stored(new: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFr
 
 def insertable(batch: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows to append: last per key within the batch, unseen keys only; keyless rows pass through."""
-    return not_stored(by_key(batch, keys, order), stored, keys)
+    # keyless rows stay out of the join, where they would all meet in one task
+    fresh = not_stored(by_key(batch, keys, order, keyless=False), stored, keys)
+    return fresh.select(*batch.columns).unionByName(batch.where(~has_key(keys)))
 
 
 def exclude_blacklisted(urls: DataFrame, url: str, blacklist: DataFrame) -> DataFrame:

@@ -103,6 +103,9 @@ FROM {supplier}
 }
 
 
+SMALL_TABLE_BYTES = 256 << 20
+
+
 def _template(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", sql)
 
@@ -130,14 +133,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """The table in at least as many splits as there are cores.
+        """The table; one that fits into a few splits is dealt out to all cores.
 
-        Text work is bound by the processor. A table kept as one small file has one split and would
-        leave the other cores idle; a table of many files is passed on as it is.
+        Text work is bound by the processor, and a single small file would keep one core busy. Large
+        tables have splits enough and are passed on as they are.
         """
         df = self.table(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return df.repartition(self.spark.sparkContext.defaultParallelism) if size <= SMALL_TABLE_BYTES else df
 
     def sql(self, sql: str) -> DataFrame:
         """Run SQL whose ``{name}`` placeholders are tables or views."""

@@ -165,3 +165,30 @@ def test_cluster_without_shared_folder_is_refused(spark):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Fake())
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3])
+def test_repeated_pages_equal_the_reading_loop(spark, limit):
+    rng = random.Random(limit)
+    rows = [(k, p, rng.choice(["a", "a", "b", ""])) for k, n in (("hot", 120), ("x", 9), ("y", 1), ("z", 30)) for p in range(0, 3 * n, 3)]
+    want = set()
+    for key in {k for k, _, _ in rows}:
+        last, same = None, 0
+        for _, page, sig in sorted(r for r in rows if r[0] == key):
+            same = same + 1 if sig and sig == last else 0
+            if same >= limit:
+                break
+            want.add((key, page, same))
+            last = sig
+    table = spark.createDataFrame(rows, "k string, p int, s string")
+    got = {(r["k"], r["p"], r["repeats"]) for r in dedup.repeated_pages(table, "k", "p", F.col("s"), limit).collect()}
+    assert got == want
+
+
+def test_keyless_rows_pass_an_insert(spark):
+    from merchloom.operators import keyed
+
+    batch = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, None, 1), (4, None, 1), (5, "", 1), (6, "b", 1)], "id int, k string, t int")
+    stored = spark.createDataFrame([("b",)], "k string")
+    got = {r["id"] for r in keyed.insertable(batch, stored, ["k"], [F.col("t").desc()]).collect()}
+    assert got == {2, 3, 4, 5}
