@@ -135,24 +135,36 @@ def ngram_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame,
 
     Each text yields its distinct n-grams up to the longest term; they meet the terms by equi-join.
     """
-    # the distinct term lengths are a handful of small numbers whatever the size of the table
-    lengths = sorted(r[0] for r in terms.select(F.size(words_of("term"))).distinct().collect())
-    firsts = [r[0] for r in terms.select(F.get(words_of("term"), F.lit(0))).distinct().limit(MAX_FIRST_WORDS + 1).collect()]
+    wanted = terms.withColumn("_w", words_of("term"))
+    starts = wanted.select(F.size("_w").alias("size"), F.get("_w", F.lit(0)).alias("first")).distinct()
+    listed = starts.limit(MAX_FIRST_WORDS + 1).collect()
+    if not listed:
+        return _no_hits(texts, keys, terms)
+    few = len(listed) <= MAX_FIRST_WORDS
+    # term lengths are a handful of small numbers whatever the size of the table
+    lengths = sorted({r["size"] for r in (listed if few else starts.select("size").distinct().collect())})
+    firsts = sorted({r["first"] for r in listed})
     words = texts.select(*keys, words_of(column).alias("_w"))
 
     def grams_of(w: Column) -> Column:
         places = F.sequence(F.lit(1), F.size(w))
-        if len(firsts) <= MAX_FIRST_WORDS:
+        if few:
             # only places at which some term can begin; a longer list is left to the join alone
             marked = F.transform(w, lambda word, i: F.when(word.isin(firsts), i + 1))
             places = F.filter(marked, lambda i: i.isNotNull())
-        sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+        sizes = F.array(*[F.lit(n) for n in lengths])
         runs = F.transform(places, lambda i: F.transform(sizes, lambda n: F.array_join(F.slice(w, i, n), " ")))
         return F.array_distinct(F.flatten(runs))
 
     grams = words.select(*keys, F.explode(grams_of(F.col("_w"))).alias("_gram"))
-    wanted = terms.withColumn("_gram", F.array_join(words_of("term"), " ")).distinct()
-    return grams.join(wanted, "_gram").drop("_gram").distinct()
+    phrases = wanted.withColumn("_gram", F.array_join("_w", " ")).drop("_w").distinct()
+    return grams.join(phrases, "_gram").drop("_gram").distinct()
+
+
+def _no_hits(texts: DataFrame, keys: list[str], terms: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """The empty result for an empty term table."""
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in terms.schema.fields if f.name not in on]
+    return texts.limit(0).select(*keys, *blank)
 
 
 def substring_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame, on: Sequence[str] = ()) -> DataFrame:
@@ -163,7 +175,9 @@ def substring_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFr
     shortest term when that is shorter. Columns named in ``on`` must be equal on both sides as well.
     """
     sizes = terms.where(F.length("term") > 0).agg(F.min(F.length("term")).alias("low"), F.max(F.length("term")).alias("high")).first()
-    gram, longest = min(MAX_GRAM, sizes["low"] or MAX_GRAM), sizes["high"] or MAX_GRAM
+    if sizes["low"] is None:
+        return _no_hits(texts, keys, terms, on)
+    gram, longest = min(MAX_GRAM, sizes["low"]), sizes["high"]
     # overlapping windows as long as the longest term; the text itself is not carried along
     windows = F.regexp_extract_all(F.col(column), F.lit(rf"(?s)(?=(.{{{gram},{longest}}}))"), 1)
     left = texts.select(*keys, F.explode(F.array_distinct(windows)).alias("_window"))

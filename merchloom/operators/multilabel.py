@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from merchloom.session import cut_lineage
 LOOSE_SHARE = 0.6
 LOOSE_WORD = 4
 DESC_LABEL_LIMIT = 4
+_NONE = "array<string>"
 TITLE_POINTS, CATEGORY_POINTS, DESC_POINTS = 2, 3, 1
 
 
@@ -82,18 +85,32 @@ def top_unmatched(df: DataFrame, column: str, categories: str = "categories", n:
     return missed.groupBy(column).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), column).limit(n)
 
 
-def alias_targets(df: DataFrame, key: str, column: str, aliases: DataFrame, name: str) -> DataFrame:
-    """(key, list of targets) whose alias stands in the text; worked out per distinct text.
+def with_lists(df: DataFrame, columns: Mapping[str, str], mode: str, find: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Add a list of categories per column, found once per distinct normalised text of all columns.
 
-    Aliases with Latin letters match as words between blanks, others anywhere.
+    ``columns`` maps the new list's name to the text column; ``find`` maps a table of texts to
+    (text, category) hits. Only texts with hits are kept and joined back.
     """
-    staged = df.select(key, normalize_text(column, "broad").alias("_b")).where("_b <> ''")
-    texts = staged.select("_b").distinct().withColumn("_x", F.col("_b"))
-    latin = aliases.where(F.col("alias").rlike("[a-z]")).select(F.col("alias").alias("term"), F.col("target").alias("category"))
-    other = aliases.where(~F.col("alias").rlike("[a-z]")).select(F.col("alias").alias("term"), F.col("target").alias("category"))
-    hits = ngram_hits(texts, ["_b"], "_x", latin, lambda c: F.split(col(c), " ")).select("_b", "category").unionByName(
-        substring_hits(texts, ["_b"], "_x", other).select("_b", "category"))
-    return staged.join(label_lists(hits, "_b", name), "_b").select(key, name)
+    out = df.withColumns({f"_n_{name}": normalize_text(column, mode) for name, column in columns.items()})
+    texts = out.select(F.explode(F.array_distinct(F.array(*[f"_n_{name}" for name in columns]))).alias("_n")).where("_n <> ''").distinct()
+    lists = cut_lineage(label_lists(find(texts, "_n"), "_n", "_list"))
+    for name in columns:
+        mine = lists.select(F.col("_n").alias(f"_n_{name}"), F.col("_list").alias(name))
+        out = out.drop(name).join(mine, f"_n_{name}", "left").withColumn(name, F.coalesce(name, F.array().cast(_NONE))).drop(f"_n_{name}")
+    return out
+
+
+def alias_hits(aliases: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+    """Finder of (text, target) by aliases: with Latin letters as words between blanks, others anywhere."""
+    named = aliases.select(F.col("alias").alias("term"), F.col("target").alias("category"))
+
+    def find(texts: DataFrame, text: str) -> DataFrame:
+        copies = texts.withColumn("_x", F.col(text))
+        latin = ngram_hits(copies, [text], "_x", named.where(F.col("term").rlike("[a-z]")), lambda c: F.split(col(c), " "))
+        other = substring_hits(copies, [text], "_x", named.where(~F.col("term").rlike("[a-z]")))
+        return latin.select(text, "category").unionByName(other.select(text, "category")).distinct()
+
+    return find
 
 
 def ranked_scores(title: Column, category: Column, desc: Column | None = None) -> Column:
@@ -150,29 +167,17 @@ class Verdict:
         return self.any & ~self.is_top & ~primary & self.clear & (self.expected_score < self.top_score - 1)
 
 
-_NONE = "array<string>"
-RESULT = ("expected", "predicted", "top_score", "second_score", "title_matches", "category_matches", "desc_matches")
-
-
-def _with_lists(df: DataFrame, key: str, *lists: tuple[DataFrame, str]) -> DataFrame:
-    for table, name in lists:
-        df = df.join(table, key, "left").withColumn(name, F.coalesce(name, F.array().cast(_NONE)))
-    return df
-
-
 def _report(df: DataFrame, key: str, verdict: Verdict) -> DataFrame:
     return df.select(key, F.col("expected"), verdict.top.alias("predicted"), verdict.top_score.alias("top_score"),
                      verdict.second_score.alias("second_score"), "title_matches", "category_matches", "desc_matches")
 
 
-def _keyword_lists(df: DataFrame, key: str, column: str, rules: DataFrame, name: str) -> DataFrame:
-    return classify_distinct(df.select(key, column), column, rules, name).select(key, name)
-
-
-def _desc_lists(df: DataFrame, key: str, desc: str, rules: DataFrame) -> DataFrame:
-    """Categories of the description; too many of them say nothing."""
-    found = _keyword_lists(df, key, desc, rules, "desc_matches")
-    return found.withColumn("desc_matches", F.when(F.size("desc_matches") > DESC_LABEL_LIMIT, F.array().cast(_NONE)).otherwise(F.col("desc_matches")))
+def _with_desc(df: DataFrame, desc: str, rules: DataFrame) -> DataFrame:
+    """Add the categories of the description, none when there are too many, and the new ranking."""
+    found = with_lists(df, {"desc_matches": desc}, "stem", lambda texts, text: multi_label(texts, text, rules))
+    kept = F.when(F.size("desc_matches") > DESC_LABEL_LIMIT, F.array().cast(_NONE)).otherwise(F.col("desc_matches"))
+    return found.withColumn("desc_matches", kept).withColumn(
+        "ranked", ranked_scores(F.col("title_matches"), F.col("category_matches"), F.col("desc_matches")))
 
 
 def mismatch_scan(df: DataFrame, key: str, aliases: DataFrame, rules: DataFrame | None = None, quick: bool = True,
@@ -182,31 +187,24 @@ def mismatch_scan(df: DataFrame, key: str, aliases: DataFrame, rules: DataFrame
     The alias pass settles most rows. What it leaves goes through the keyword rules and, only then,
     through the description. Rows carry the scores and the lists of hits.
     """
-    titles = alias_targets(df, key, title, aliases, "title_matches")
-    cats = alias_targets(df, key, category, aliases, "category_matches")
-    broad = _with_lists(df, key, (titles, "title_matches"), (cats, "category_matches")).withColumn(
-        "desc_matches", F.array().cast(_NONE)).withColumn("ranked", ranked_scores(F.col("title_matches"), F.col("category_matches")))
+    columns = {"title_matches": title, "category_matches": category}
+    by_alias = ranked_scores(F.col("title_matches"), F.col("category_matches"))
+    broad = with_lists(df.select(key, "expected", title, category, desc), columns, "broad", alias_hits(aliases)).withColumns(
+        {"desc_matches": F.array().cast(_NONE), "ranked": by_alias})
     first = Verdict("expected", "ranked", "title_matches", "category_matches")
     open_rows = broad.where(~first.fast_pass())
     if quick:
         sure = _report(open_rows.where(first.quick_mismatch()), key, first)
         if rules is None:
             return sure
-        unsure = cut_lineage(open_rows.where(~first.quick_mismatch()).drop("desc_matches", "ranked"))
-        refined = _with_lists(unsure, key, (_desc_lists(unsure, key, desc, rules), "desc_matches")).withColumn(
-            "ranked", ranked_scores(F.col("title_matches"), F.col("category_matches"), F.col("desc_matches")))
-        return sure.unionByName(_report(refined.where(first.quick_mismatch()), key, first))
+        unsure = cut_lineage(open_rows.where(~first.quick_mismatch()).drop("ranked"))
+        return sure.unionByName(_report(_with_desc(unsure, desc, rules).where(first.quick_mismatch()), key, first))
     if rules is None:
         raise ValueError("the heavy scan needs keyword rules")
-    heavy = cut_lineage(open_rows.where(first.heavy_candidate()).select(key, "expected", title, category, desc))
-    primary = _with_lists(
-        heavy, key, (_keyword_lists(heavy, key, title, rules, "title_matches"), "title_matches"),
-        (_keyword_lists(heavy, key, category, rules, "category_matches"), "category_matches"),
-    ).withColumn("ranked", ranked_scores(F.col("title_matches"), F.col("category_matches")))
+    heavy = cut_lineage(open_rows.where(first.heavy_candidate()).drop("ranked"))
+    primary = with_lists(heavy, columns, "stem", lambda texts, text: multi_label(texts, text, rules)).withColumn("ranked", by_alias)
     candidates = cut_lineage(primary.where(~first.fast_pass() & first.refine_candidate()).drop("ranked"))
-    refined = _with_lists(candidates, key, (_desc_lists(candidates, key, desc, rules), "desc_matches")).withColumn(
-        "ranked", ranked_scores(F.col("title_matches"), F.col("category_matches"), F.col("desc_matches")))
-    return _report(refined.where(first.confident_mismatch()), key, first)
+    return _report(_with_desc(candidates, desc, rules).where(first.confident_mismatch()), key, first)
 
 
 def fill_blank_category(df: DataFrame, key: str, rules: DataFrame, number: ColumnLike | None = None,
