@@ -88,7 +88,7 @@ SELECT p_partkey AS id,
             WHEN 13 THEN 'Category > unknown > ' || p_name
             WHEN 14 THEN p_type || chr(9) || p_name || chr(10) || 'Children'
             ELSE 'Women ' || p_type || ' → ' || p_name || ' 裙子' END AS raw
-FROM {part}
+FROM {part_spread}
 """,
     "v_site_text": """
 SELECT s_suppkey AS id,
@@ -107,7 +107,7 @@ SMALL_TABLE_BYTES = 256 << 20
 
 
 def _template(sql: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return re.sub(r"\{(\w+?)(_spread)?\}", r"\1", sql)
 
 
 def with_views(sql: str) -> str:
