@@ -73,7 +73,7 @@ def _(t):
 
 
 @query("repeated_page_stop", """
-WITH s AS (SELECT conv_id, turn, CASE WHEN turn >= 2 + conv_id % 3 THEN 'same' ELSE substring(text, 1, 20) END AS sig FROM conversations),
+WITH s AS (SELECT conv_id, turn, CASE WHEN turn >= 2 + conv_id % 3 THEN 'same' ELSE text END AS sig FROM conversations),
      l AS (SELECT *, coalesce(sig = lag(sig) OVER (PARTITION BY conv_id ORDER BY turn) AND sig <> '', false) AS same FROM s),
      r AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM l),
      n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS repeats FROM r),
@@ -81,7 +81,7 @@ WITH s AS (SELECT conv_id, turn, CASE WHEN turn >= 2 + conv_id % 3 THEN 'same' E
 SELECT conv_id, turn, repeats FROM z WHERE stopped = 0
 """)
 def _(t):
-    signature = F.when(F.col("turn") >= 2 + F.col("conv_id") % 3, "same").otherwise(F.substring("text", 1, 20))
+    signature = F.when(F.col("turn") >= 2 + F.col("conv_id") % 3, "same").otherwise(F.col("text"))
     return U.repeated_pages(t.conversations, "conv_id", "turn", signature).select("conv_id", "turn", "repeats")
 
 

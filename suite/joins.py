@@ -39,12 +39,12 @@ def _(t):
 
 @query("taxonomy_word_overlap", """
 WITH n AS (SELECT DISTINCT lower(p_name) AS node FROM part WHERE p_size = 3), w AS (SELECT DISTINCT unnest(list_filter(string_split(node, ' '), lambda x: length(x) >= 3 AND x NOT IN ('all','the','and','for','with','new','sale','shop','best','top'))) AS w FROM n),
-     t AS (SELECT doc_id, lower(trim(substring(text, 1, 60)) || ' ' || p_name) AS title FROM documents JOIN part ON p_partkey = doc_id)
+     t AS (SELECT doc_id, lower(trim(text) || ' ' || p_name) AS title FROM documents JOIN part ON p_partkey = doc_id)
 SELECT doc_id, title IN (SELECT node FROM n) OR len(list_intersect(regexp_split_to_array(title, '\\s+'), (SELECT list(w) FROM w))) > 0 AS hit FROM t
 """)
 def _(t):
     nodes = t.sql("SELECT DISTINCT p_name AS node FROM {part} WHERE p_size = 3")
-    titles = t.sql("SELECT doc_id, concat(trim(substring(text, 1, 60)), ' ', p_name) AS title FROM {documents} JOIN {part} ON p_partkey = doc_id")
+    titles = t.sql("SELECT doc_id, concat(trim(text), ' ', p_name) AS title FROM {documents} JOIN {part} ON p_partkey = doc_id")
     hit = taxonomy.word_overlap(titles, "title", nodes).select("doc_id", F.lit(True).alias("hit"))
     return hit.unionByName(taxonomy.word_overlap(titles, "title", nodes, anti=True).select("doc_id", F.lit(False).alias("hit")))
 
