@@ -1,35 +1,70 @@
-"""Session helpers: lineage cuts and scratch tables in the shared folder."""
+"""Session helpers: code for the workers, lineage cuts and scratch tables in the shared folder."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The archive is made by the driver and served by Spark, so workers need no path to the driver's
+    files and a job may be started from any folder.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="merchloom-code-"), "merchloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(os.path.dirname(os.path.abspath(__file__))):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
+    """Folder all executors can reach: ``spark.checkpoint.dir``, else a folder in the warehouse.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    The warehouse is shared by definition, so no machine's temporary folder is ever used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="merchloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/merchloom-scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; nothing is ever overwritten there."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder; nothing is ever overwritten there. See ``drop_scratch``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this application, once nothing reads them any more; gives their number."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages see one fixed set of rows even if an executor is lost."""
+    """Reliable checkpoint: later stages see one fixed set of rows even if an executor is lost.
+
+    Spark removes the files with the frame if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
