@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchloom.llm import perplexity
+from merchloom.llm import lengths, packing, perplexity
 from merchloom.session import cut_lineage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,13 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public vocabulary; the package that holds it is installed on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -45,3 +52,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(stats).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "lang", F.round("log_perplexity", 6).alias("log_perplexity"))
+
+
+@query()
+def op2_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.suffix_sums(lengths.length_histogram(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """Pieces with a checksum in place of their ids."""
+    return packing.pack(docs, vocabulary()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_rows(table(spark, sf_dir, "documents"))
