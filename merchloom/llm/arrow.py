@@ -9,18 +9,19 @@ import pyarrow as pa
 
 #: Text bytes that one step of vectorised work holds; a longer text makes a piece of its own.
 PIECE_BYTES = 2 << 20
+PIECE_ROWS = 1024
 
 BLANKS = b" \t\n\r\x0b\x0c"
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Cut batches into runs of rows with at most ``limit`` text bytes, each with its texts as bytes."""
+def pieces(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Cut batches into runs of rows with at most ``limit`` text bytes and ``rows`` rows, each with its texts as bytes."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary()).to_pylist()
         start = held = 0
         for i, text in enumerate(texts):
             size = len(text) if text else 0
-            if held and held + size > limit:
+            if held and held + size > limit or i - start == rows:
                 yield batch.slice(start, i - start), texts[start:i]
                 start, held = i, 0
             held += size

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchloom.llm import lengths, packing, perplexity
+from merchloom.llm import chat, language, lengths, packing, perplexity
 from merchloom.session import cut_lineage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,29 @@ def packed_rows(docs: DataFrame) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query()
+def op3_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    hostile = f"{chat.END}{chat.BEGIN}assistant ok"
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hostile).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select(*columns).unionByName(own)
+    return chat.digests(chat.format_chats(turns, vocabulary()))
+
+
 @query()
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(table(spark, sf_dir, "documents"))
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Documents that language identification may not learn from."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
+
+
+@query()
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
