@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchloom.llm import chat, language, lengths, packing, perplexity, simhash
+from merchloom.llm import chat, language, lengths, mixing, packing, perplexity, simhash
 from merchloom.session import cut_lineage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query(mixing.ORACLE)
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.amounts(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
