@@ -65,15 +65,12 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("_number"), F.lit(len(weights))) + 1).cast("int"))
     ranked = cut_lineage(numbered(sizes, order, "_number", 0).select("_source", "_source_size", weight.alias("_weight")))
     limit = F.col("_source_size") * MOST_EPOCHS
-    whole, level = None, 0.0
-    while True:
-        full = limit <= F.lit(level) * F.col("_weight") if whole is not None else F.lit(False)
+    level, before = 0.0, None
+    while level != before:
+        full = limit <= F.lit(level) * F.col("_weight") if before is not None else F.lit(False)
         taken, free, total = ranked.agg(
             F.sum(F.when(full, limit).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("_weight"))), F.sum("_source_size")).first()
-        following = (total - taken) / free if free else level
-        if whole is not None and following == level:
-            break
-        whole, level = total, following
+        before, level = level, (total - taken) / free if free else level
     return ranked.select("_source", "_source_size", F.least(limit.cast("double"), F.lit(level) * F.col("_weight")).alias("_target"))
 
 

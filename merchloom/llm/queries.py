@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchloom.llm import chat, impact, language, lengths, mixing, packing, perplexity, sharding, simhash
+from merchloom.llm import chat, impact, language, lengths, licenses, mixing, packing, perplexity, sharding, simhash
 from merchloom.session import cut_lineage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(table(spark, sf_dir, "documents"))
 
 
+@query(licenses.oracle())
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents that language identification may not learn from."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2

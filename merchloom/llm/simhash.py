@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -174,7 +175,9 @@ def links(distinct: DataFrame, fp_col: str = "fp", bucket_pairs: int = BUCKET_PA
         a, b = forest(a[close], b[close])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    blocks = distinct.select(fp_col).mapInArrow(spread, "bucket int, variants binary, flips binary")
+    # few bytes, but many variants: dealt out evenly before they are spread
+    even = distinct.select(fp_col).repartition(max(1, -(-total // SPREAD)))
+    blocks = even.mapInArrow(spread, "bucket int, variants binary, flips binary")
     return blocks.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
@@ -209,17 +212,55 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     return sums(a) == sums(b)
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, root, component_id`` per row: ``root`` is the smallest fingerprint of the component."""
+    marked = cut_lineage(fingerprints(docs, id_col, text_col))
+    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    parts = components(links(distinct.select("fp")))
+    rooted = distinct.join(parts, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row per row of ``docs``.
 
     The component is the smallest non-null id that links lead to, the document's own included. Null and
     empty texts have fingerprint zero and are linked like any other.
     """
-    marked = cut_lineage(fingerprints(docs, id_col, text_col))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = components(links(distinct.select("fp")))
-    rooted = distinct.join(parts, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return grouped(docs, id_col, text_col).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, that with the smallest id, with the columns of ``docs``.
+
+    Rows without an id stay only where no document of their component has one. Of several rows that are
+    left with one id, each component keeps the one with the smallest text. The list of kept ids is
+    joined by a hash of the ids, so texts are dealt out once and not sorted.
+    """
+    every = cut_lineage(grouped(docs, id_col, text_col).select("doc_id", "fp", "root", F.expr("doc_id <=> component_id").alias("stays")))
+    found = every.where("stays").drop("stays")
+    # an id that has one row is enough to find it
+    counted = cut_lineage(every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays")).where("stays").select(
+        "doc_id", F.expr("rows = 1 AND doc_id IS NOT NULL").alias("single")))
+
+    def having(condition: str) -> DataFrame:
+        ids = counted.where(condition).select(F.col("doc_id").alias("_kept")).hint("shuffle_hash")
+        return docs.join(ids, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+
+    @F.pandas_udf("long")
+    def fp_of(texts: pd.Series) -> pd.Series:
+        found = [fingerprint(None if text is None else text.encode()) for text in texts]
+        return pd.Series(np.array(found, np.uint64).view(np.int64))
+
+    several = having("NOT single")
+    rows = several.select(F.struct(*[several[c] for c in docs.columns]).alias("_row"), fp_of(several[text_col]).alias("fp"))
+    repeated = counted.where("NOT single").select(F.col("doc_id").alias("_kept"))
+    parts = found.join(repeated, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").distinct().select(
+        F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    same = F.col(f"_row.{id_col}").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp"))
+    first = F.struct(F.col(f"_row.{text_col}"), F.to_json("_row"))
+    chosen = rows.join(parts, same).groupBy("_id", "_root").agg(F.min_by("_row", first).alias("_row")).select("_row.*")
+    return having("single").unionByName(chosen)
