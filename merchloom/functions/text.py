@@ -210,3 +210,9 @@ def bool_flag(value: ColumnLike) -> Column:
 def squeeze_words(value: ColumnLike) -> Column:
     """Words of a text split at white space, blanks left out."""
     return F.filter(F.split(col(value), WS_RUN), lambda w: w != "")
+
+
+def title_case(value: ColumnLike) -> Column:
+    """First letter of every run of letters in upper case, all others in lower case."""
+    runs = F.regexp_extract_all(F.lower(col(value)), F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    return F.array_join(F.transform(runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.substring(run, F.lit(2), F.length(run)))), "")

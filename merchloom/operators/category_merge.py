@@ -103,11 +103,16 @@ def small_categories(df: DataFrame, column: str, threshold: int) -> DataFrame:
 
 
 def relabel_small(df: DataFrame, column: str, threshold: int, label: str | None = "Other", key: str | None = None) -> DataFrame:
-    """Rows of small categories get one label, or with ``label=None`` a public label picked by the row key's hash."""
-    small = small_categories(df, column, threshold).select(F.col("category").alias(column), F.lit(True).alias("_small"))
+    """Rows of small categories get one label; with ``label=None`` a public label.
+
+    That is picked by the row's ``key``, so the rows of a category are spread, or without a key by the hash of
+    the normalised category, so they stay together. Blank categories are left alone.
+    """
+    small = small_categories(df, column, threshold).where("trim(category) <> ''").select(F.col("category").alias(column), F.lit(True).alias("_small"))
     choices = F.array(*[F.lit(c) for c in PUBLIC_LABELS])
     if label is None:
-        value = F.get(choices, F.pmod(F.col(key), F.lit(len(PUBLIC_LABELS))).cast("int")) if key else None
+        hashed = F.conv(F.substring(F.md5(F.lower(F.trim(column)).cast("binary")), 1, 8), 16, 10).cast("bigint")
+        value = F.get(choices, F.pmod(F.col(key) if key else hashed, F.lit(len(PUBLIC_LABELS))).cast("int"))
     else:
         value = F.lit(label)
     return df.join(small, column, "left").withColumn(column, F.when(F.col("_small"), value).otherwise(F.col(column))).drop("_small")

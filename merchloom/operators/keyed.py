@@ -32,16 +32,23 @@ def exclude_blacklisted(urls: DataFrame, url: str, blacklist: DataFrame) -> Data
 
 
 def upsert(stored: DataFrame, news: DataFrame, keys: Sequence[str], now: Column,
-           created: str = "created_at", updated: str = "updated_at", flag: str = "change") -> DataFrame:
+           created: str = "created_at", updated: str = "updated_at", flag: str = "change", order: Sequence[Column] = ()) -> DataFrame:
     """Stored rows with the given fields replaced, plus the new rows, and how each row changed.
 
-    A field that is NULL in ``news`` keeps its stored value. ``created`` survives an update. The
+    Of several new rows with one key the first in ``order`` counts, ties broken by all columns. A row with a NULL
+    in its key equals no other: stored ones stay, new ones are added. A field that is NULL in ``news`` keeps its stored value. ``created`` survives an update. The
     caller writes the result to a new place and swaps it in; see ``sources.sinks.replace_table``.
     """
     fields = [c for c in news.columns if c not in keys and c not in (created, updated)]
-    right = news.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in fields], F.lit(True).alias("_new"))
+    one = first_per_key(news.dropna(subset=list(keys)), keys, [*order, *[F.col(c).asc_nulls_last() for c in news.columns]])
+    renamed = [*keys, *[F.col(c).alias(f"_n_{c}") for c in fields], F.lit(True).alias("_new")]
+    right = one.select(*renamed)
     left = stored.withColumn("_old", F.lit(True))
-    joined = left.join(right, list(keys), "full_outer")
+    joined = left.dropna(subset=list(keys)).join(right, list(keys), "full_outer")
+    # rows without a key stay out of the join, where they would all meet in one task
+    keyless = ~has_key(keys)
+    joined = joined.unionByName(left.where(keyless), allowMissingColumns=True).unionByName(
+        news.where(keyless).select(*renamed), allowMissingColumns=True)
     is_new, hit = F.col("_old").isNull(), F.col("_new").isNotNull()
     differs = F.lit(False)
     for name in fields:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import ALNUM, ColumnLike, col
+from merchloom.functions.base import ColumnLike, col
 from merchloom.functions.text import normalize_text
 from merchloom.operators.lexicon import ngram_hits, substring_hits
 from merchloom.session import cut_lineage
@@ -209,7 +209,7 @@ def mismatch_scan(df: DataFrame, key: str, aliases: DataFrame, rules: DataFrame
 
 def fill_blank_category(df: DataFrame, key: str, rules: DataFrame, number: ColumnLike | None = None,
                         title: str = "title", category: str = "category", desc: str = "description") -> DataFrame:
-    """Blank categories get the path of the first keyword rule found in title and text.
+    """Blank categories get the path of the first keyword rule whose keyword stands anywhere in title and text.
 
     Rules are (rule_order, level1, level2, level3, keyword). Rows that no rule matches take the path of
     the rule their number (or the hash of their key) points to, instead of a random one.
@@ -217,9 +217,8 @@ def fill_blank_category(df: DataFrame, key: str, rules: DataFrame, number: Colum
     blank = df.where(F.trim(F.coalesce(F.col(category), F.lit(""))) == "")
     path = F.concat_ws("|||", "level1", "level2", "level3", "keyword")
     ruled = rules.select("rule_order", F.lower("keyword").alias("term"), path.alias("_path"))
-    texts = blank.select(key, F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(desc, F.lit(""))).alias("_x"))
-    # word boundaries as \b sees them: a hyphen ends a word but does not stand for a blank
-    hits = ngram_hits(texts, [key], "_x", ruled.select("term", "rule_order", "_path"), _word_runs)
+    texts = blank.select(key, F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(desc, F.lit("")))).alias("_x"))
+    hits = substring_hits(texts, [key], "_x", ruled.select("term", "rule_order", "_path"))
     first = hits.groupBy(key).agg(F.min(F.struct("rule_order", "_path", "term")).alias("_hit"))
     count = rules.count()
     numbered = ruled.select(F.col("rule_order").alias("_slot"), F.col("_path").alias("_fallback"))
@@ -229,8 +228,3 @@ def fill_blank_category(df: DataFrame, key: str, rules: DataFrame, number: Colum
         .select(key, F.coalesce("_hit._path", "_fallback").alias("new_category"), F.col("_hit.term").alias("hit_keyword"),
                 F.col("_hit").isNotNull().alias("by_rule"))
     )
-
-
-def _word_runs(value: ColumnLike) -> Column:
-    barred = F.regexp_replace(F.lower(col(value)), f"[^{ALNUM}_ ]+", " \u0001 ")
-    return F.split(barred, " ")

@@ -53,4 +53,15 @@ def status_counts(html: ColumnLike) -> Column:
         return F.struct(name.alias("key"), H.count_text(H.inner_text(item)).alias("value"))
 
     pairs = F.filter(F.transform(items, entry), lambda e: e["key"].isin(*known) & e["value"].isNotNull())
-    return F.map_from_entries(pairs)
+    # a status may be listed twice: its last counter stands
+    def last(name: str) -> Column:
+        counters = F.filter(pairs, lambda e: e["key"] == name)
+        return F.struct(F.lit(name).alias("key"), F.try_element_at(counters, F.lit(-1))["value"].alias("value"))
+
+    return F.map_from_entries(F.filter(F.array(*[last(name) for name in known]), lambda e: e["value"].isNotNull()))
+
+
+def visible_count(html: ColumnLike) -> Column:
+    """The number of rows that the page says it shows; NULL when it does not."""
+    shown = F.regexp_extract(col(html), r"""(?is)<[^>]*class=["'][^"']*\bdisplaying-num\b[^>]*>(.*?)</""", 1)
+    return H.count_text(H.inner_text(shown))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,10 @@ def _blocks(index: DataFrame, order: str) -> Iterator[list]:
         yield block
 
 
+def _whole(vector: str) -> Column:
+    return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+
+
 def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
@@ -45,11 +49,12 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 def nearest(df: DataFrame, key: str, vector: str, index: DataFrame, label: str, index_vector: str) -> DataFrame:
     """Label with the highest cosine per row; the lower label wins a tie.
 
-    Every row meets every index vector as a matrix product inside its own partition. An index of any
+    Rows and index entries whose vector is NULL or holds one have no label and no row here. Every row meets every index vector as a matrix product inside its own partition. An index of any
     size is worked off in blocks; only the best label per row and block goes on.
     """
     schema = T.StructType([df.schema[key], index.schema[label], T.StructField("similarity", T.DoubleType())])
     parts = []
+    df, index = df.where(_whole(vector)), index.where(_whole(index_vector))
     for block in _blocks(index, label):
         labels = np.array([r[label] for r in block], dtype=object)
         matrix = _unit(np.array([r[index_vector] for r in block], dtype=np.float64))
@@ -62,6 +67,8 @@ def nearest(df: DataFrame, key: str, vector: str, index: DataFrame, label: str,
                 yield pd.DataFrame({key: batch[key], label: labels[best], "similarity": sims[np.arange(len(best)), best]})
 
         parts.append(df.select(key, vector).mapInPandas(score, schema))
+    if not parts:
+        return df.limit(0).select(key, F.lit(None).cast(index.schema[label].dataType).alias(label), F.lit(None).cast("double").alias("similarity"))
     if len(parts) == 1:
         return parts[0]
     merged = parts[0]
@@ -75,8 +82,9 @@ def classify(df: DataFrame, key: str, vector: str, mains: DataFrame, paths: Data
     """Category path per row: main category at or above its threshold, then the best path below it.
 
     A deeper path wins when it reaches ``path_min``; otherwise the mean of both cosines decides.
-    Tables: ``mains(main, vector)`` and ``paths(main, path, depth, vector)``.
+    Rows without a whole vector are ``other``. Tables: ``mains(main, vector)`` and ``paths(main, path, depth, vector)``.
     """
+    whole, paths, mains = df.where(_whole(vector)), paths.where(_whole("vector")), mains.where(_whole("vector"))
     joined = paths.withColumnRenamed("vector", "_pv").join(mains.withColumnRenamed("vector", "_mv"), "main")
     schema = T.StructType([
         df.schema[key], T.StructField("category", T.StringType()), T.StructField("_depth", T.IntegerType()),
@@ -105,7 +113,9 @@ def classify(df: DataFrame, key: str, vector: str, mains: DataFrame, paths: Data
                     key: batch[key], "category": np.where(hit, names[best], None), "_depth": depth[at, best].astype(np.int32),
                     "_score": mean[at, best], "_order": orders[best]})[hit]
 
-        parts.append(df.select(key, vector).mapInPandas(score, schema))
+        parts.append(whole.select(key, vector).mapInPandas(score, schema))
+    if not parts:
+        return df.withColumn("category", F.lit(other))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchloom.functions.base import ColumnLike, col, collapse_ws, strip
-from merchloom.functions.text import singularize_phrase, squeeze_words
+from merchloom.functions.text import singularize_phrase, squeeze_words, title_case
+from merchloom.session import cut_lineage
 
 # Words too common to show that a title belongs to a taxonomy node.
 COMMON_WORDS = ("all", "the", "and", "for", "with", "new", "sale", "shop", "best", "top")
@@ -25,7 +26,7 @@ def normalize_to_taxonomy(df: DataFrame, column: str, nodes: DataFrame) -> DataF
     stem = known.select(F.col("_node").alias("_stem"), F.lit(True).alias("_is_stem"))
     joined = named.join(exact, "_exact", "left").join(stem, "_stem", "left")
     normalized = (
-        F.when(F.col("_is_exact"), F.initcap("_name")).when(F.col("_is_stem"), F.initcap("_stem")).otherwise(F.col("_name"))
+        F.when(F.col("_is_exact"), title_case("_name")).when(F.col("_is_stem"), title_case("_stem")).otherwise(F.col("_name"))
     )
     return joined.select(
         *df.columns, normalized.alias("normalized"),
@@ -68,24 +69,36 @@ def flatten_taxonomy(lines: DataFrame) -> DataFrame:
     )
 
 
-def parent_paths(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
+MAX_LEVELS = 1000
+
+
+def parent_paths(nodes: DataFrame) -> DataFrame:
     """Path of titles from the root for every (id, parent, name) row that hangs on a root.
 
-    Walks down one level per join. The depth is a property of the taxonomy, not of the data volume;
-    rows whose chain never reaches a root are left out, as is everything below them.
+    Walks down one level per join until a level is empty; each level is cut off, so no level repeats the
+    joins above it. A row that no chain of parents ties to a root is in :func:`rootless`. More than
+    ``MAX_LEVELS`` levels mean that ids repeat in a cycle, and are refused.
     """
     kids = nodes.select("id", "parent", "name")
-    level = kids.where(F.col("parent").isNull() | (strip("parent") == "") | (F.col("parent") == "0")).select(
-        "id", F.col("name").alias("path"), F.lit(1).alias("depth"))
-    found = level
-    for depth in range(2, max_depth + 1):
+    level = cut_lineage(kids.where(F.col("parent").isNull() | (strip("parent") == "") | (F.col("parent") == "0")).select(
+        "id", F.col("name").alias("path"), F.lit(1).alias("depth")))
+    found, depth = level, 1
+    while not level.isEmpty():
+        depth += 1
+        if depth > MAX_LEVELS:
+            raise ValueError(f"more than {MAX_LEVELS} levels: do ids repeat in a cycle?")
         up = level.select(F.col("id").alias("parent"), F.col("path").alias("_up"))
-        level = kids.join(up, "parent").select(
-            "id", F.concat_ws(" > ", "_up", "name").alias("path"), F.lit(depth).alias("depth"))
+        level = cut_lineage(kids.join(up, "parent").select(
+            "id", F.concat_ws(" > ", "_up", "name").alias("path"), F.lit(depth).alias("depth")))
         found = found.unionByName(level)
     return found
 
 
+def rootless(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """The rows whose chain of parents never reaches a root, and all below them."""
+    return nodes.join(paths.select("id").distinct(), "id", "left_anti")
+
+
 def level_counts(df: DataFrame, path_column: str) -> DataFrame:
     """Row counts rolled up every level of a ``|||`` path, with each node's parent and kind."""
     counts = df.groupBy(F.col(path_column).alias("_path")).agg(F.count(F.lit(1)).alias("_rows"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchloom.operators import quality
-from merchloom.operators.ranking import first_rows
+from merchloom.operators.ranking import numbered
 from merchloom.sources import sinks
 
 
@@ -25,12 +25,8 @@ def quota_summary(df: DataFrame, category: str = "category") -> DataFrame:
 
 
 def direct_export(df: DataFrame, key: str, limit: int = 0, required: Sequence[str] = sinks.REQUIRED_COLUMNS) -> tuple[DataFrame, DataFrame]:
-    """(export frame of the first rows, rows that stay)."""
-    first = first_rows(df, [F.col(key)], limit)
+    """(export frame of the first ``limit`` rows by key, then by all columns; rows that stay). 0 exports all."""
     if limit == 0:
-        return sinks.export_columns(first, required), df.limit(0)
-    # everything up to the last exported key: one value, no list of keys
-    last = first.agg(F.max(key).alias("last")).first()["last"]
-    if last is None:
-        return sinks.export_columns(df.limit(0), required), df
-    return sinks.export_columns(df.where(F.col(key) <= F.lit(last)), required), df.where(F.col(key) > F.lit(last))
+        return sinks.export_columns(df, required), df.limit(0)
+    placed = numbered(df, [F.col(key), *[F.col(c) for c in df.columns if c != key]], "_place")
+    return sinks.export_columns(placed.where(F.col("_place") <= limit).drop("_place"), required), placed.where(F.col("_place") > limit).drop("_place")

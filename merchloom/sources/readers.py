@@ -13,6 +13,7 @@ from merchloom.functions.text import normalize_text, split_tags
 from merchloom.functions.urls import (
     convert_price, first_sku, main_image, unique_key, variant_string, variant_titles,
 )
+from merchloom.session import cut_lineage
 
 # Field names of crawled product documents and their English names.
 FIELD_ALIASES = {
@@ -101,11 +102,16 @@ def classify_url_lines(lines: DataFrame) -> DataFrame:
 
 
 def explode_payload(df: DataFrame, payload: str) -> DataFrame:
-    """One row per product of a captured ``{"products": [...]}`` text."""
+    """One row per product of a captured ``{"products": [...]}`` text; see :func:`malformed_payloads` for the others."""
     parsed = F.from_json(payload, PAYLOAD_SCHEMA)
     return df.select("*", F.explode(parsed["products"]).alias("p")).drop(payload)
 
 
+def malformed_payloads(df: DataFrame, payload: str) -> DataFrame:
+    """The quarantine half of :func:`explode_payload`: rows whose payload has no list of products."""
+    return df.where(F.from_json(payload, PAYLOAD_SCHEMA)["products"].isNull())
+
+
 def flatten_catalog(df: DataFrame, store: str, payload: str) -> DataFrame:
     """Catalog payload to product rows with first-variant price, image list and tag list."""
     rows = explode_payload(df, payload)
@@ -157,25 +163,39 @@ def unknown_currency(df: DataFrame, currency: str, rates: DataFrame) -> DataFram
 
 
 def flatten_keyword_tree(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Nested keyword JSON of depth two or three to (level1, level2, level3, keyword) rows."""
+    """Nested keyword JSON of any depth to (level1, level2, level3, path, keyword) rows.
+
+    ``path`` holds all level names; ``level3`` joins the third and deeper ones. A tree is opened one level at
+    a time until no object is left; keywords stand in lists or alone. Text that is neither object nor list
+    nor string is no tree: see :func:`malformed_trees`.
+    """
     kept = [F.col(k) for k in keys]
-    tops = df.select(*kept, F.explode(F.from_json(column, "map<string,map<string,string>>")).alias("level1", "_sub"))
-    subs = tops.select(*kept, "level1", F.explode("_sub").alias("level2", "_leaf"))
-    flat = F.col("_leaf").startswith("[")
-    two = subs.where(flat).select(
-        *kept, "level1", "level2", F.lit(None).cast("string").alias("level3"),
-        F.explode(F.from_json("_leaf", "array<string>")).alias("keyword"))
-    three = (
-        subs.where(~flat).select(*kept, "level1", "level2",
-                                 F.explode(F.from_json("_leaf", "map<string,array<string>>")).alias("level3", "_words"))
-        .select(*kept, "level1", "level2", "level3", F.explode("_words").alias("keyword"))
-    )
-    return two.unionByName(three)
+    level = df.select(*kept, F.array().cast("array<string>").alias("path"), F.from_json(column, "map<string,string>").alias("_sub"))
+    rows = None
+    while True:
+        opened = cut_lineage(level.select(*kept, "path", F.explode("_sub").alias("_name", "_leaf")).where("_leaf IS NOT NULL").select(
+            *kept, F.array_append("path", F.col("_name")).alias("path"), F.ltrim("_leaf").alias("_leaf")))
+        if opened.isEmpty():
+            break
+        inner, many = F.col("_leaf").startswith("{"), F.col("_leaf").startswith("[")
+        words = opened.where(~inner).select(*kept, "path", F.explode(
+            F.when(many, F.from_json("_leaf", "array<string>")).otherwise(F.array("_leaf"))).alias("keyword")).where("keyword IS NOT NULL")
+        rows = words if rows is None else rows.unionByName(words)
+        level = opened.where(inner).select(*kept, "path", F.from_json("_leaf", "map<string,string>").alias("_sub"))
+    if rows is None:
+        rows = df.limit(0).select(*kept, F.array().cast("array<string>").alias("path"), F.lit("").alias("keyword"))
+    deep = F.when(F.size("path") > 2, F.array_join(F.slice("path", 3, F.size("path")), "|||"))
+    return rows.select(*kept, F.get("path", F.lit(0)).alias("level1"), F.get("path", F.lit(1)).alias("level2"), deep.alias("level3"), "path", "keyword")
+
+
+def malformed_trees(df: DataFrame, column: str) -> DataFrame:
+    """The quarantine half: rows whose tree is no JSON object."""
+    return df.where(F.from_json(column, "map<string,string>").isNull())
 
 
 def tree_phrases(rows: DataFrame) -> DataFrame:
     """Distinct normalised phrases: every level name and every keyword."""
-    phrase = F.explode(F.array("level1", "level2", "level3", "keyword"))
+    phrase = F.explode(F.array_append("path", F.col("keyword")))
     return (
         rows.select(phrase.alias("_raw")).where("_raw IS NOT NULL")
         .select(normalize_text("_raw", "word").alias("phrase")).where("phrase <> ''").distinct()

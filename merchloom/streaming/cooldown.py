@@ -1,61 +1,81 @@
-"""Cooldown state of reusable URLs as a stateful stream."""
+"""Use and cooldown of reusable URLs as streams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from merchloom.plans.reuse import COOLDOWN_DAYS
+from merchloom.plans.reuse import COOLDOWN_DAYS, cooldown_end
+from merchloom.streaming.ingest import batch_log, run_available
 
-OUTPUT = ("category string, url string, status string, use_count bigint, first_used_at timestamp, last_used_at timestamp, "
-          "next_reusable_at timestamp, last_matched boolean, changes bigint")
-STATE = "use_count bigint, first_used bigint, last_used bigint, last_matched boolean, changes bigint"
-_SECOND = 1_000_000
+KEYS = ("category", "url")
+OUTPUT = "category string, url string, status string, last_used_at timestamp, next_reusable_at timestamp"
+STATE = "last_used bigint"
 
 
-def _row(key: tuple, state: tuple, status: str) -> pd.DataFrame:
-    uses, first, last, matched, changes = state
-    return pd.DataFrame({
-        "category": [key[0]], "url": [key[1]], "status": [status], "use_count": [uses],
-        "first_used_at": [pd.Timestamp(first, unit="us")], "last_used_at": [pd.Timestamp(last, unit="us")],
-        "next_reusable_at": [pd.Timestamp(last, unit="us") + pd.Timedelta(days=COOLDOWN_DAYS)],
-        "last_matched": [matched], "changes": [changes]})
+def record_uses(uses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Log of (category, url, use_count, first_used_at, last_used_at, last_matched) per batch, without any state.
+
+    Of several uses at the last moment a match counts.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        last = F.max(F.struct("used_at", "matched"))
+        rows = batch.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("use_count"), F.min("used_at").alias("first_used_at"), last.alias("_last"))
+        batch_log(path)(rows.select(
+            *KEYS, "use_count", "first_used_at", F.col("_last.used_at").alias("last_used_at"), F.col("_last.matched").alias("last_matched")), number)
+
+    return run_available(uses, checkpoint, write)
+
+
+USES = "category string, url string, use_count bigint, first_used_at timestamp, last_used_at timestamp, last_matched boolean"
+
+
+def pool_totals(log: DataFrame, now: Column | None = None) -> DataFrame:
+    """The pool out of the log: uses are added up for ever, the first use stays, the cooldown runs from the last one."""
+    last = F.max(F.struct("last_used_at", "last_matched"))
+    rows = log.groupBy(*KEYS).agg(F.sum("use_count").alias("use_count"), F.min("first_used_at").alias("first_used_at"), last.alias("_last"))
+    pool = rows.select(*KEYS, "use_count", "first_used_at", F.col("_last.last_used_at").alias("last_used_at"),
+                       cooldown_end(F.col("_last.last_used_at")).alias("next_reusable_at"), F.col("_last.last_matched").alias("last_matched"))
+    if now is None:
+        return pool
+    return pool.withColumn("status", F.when(F.col("next_reusable_at") > now, "cooldown").otherwise("reusable"))
+
+
+def _row(key: tuple, last: int, status: str) -> pd.DataFrame:
+    used = pd.Timestamp(last, unit="us")
+    return pd.DataFrame({"category": [key[0]], "url": [key[1]], "status": [status], "last_used_at": [used],
+                         "next_reusable_at": [used + pd.Timedelta(days=COOLDOWN_DAYS)]})
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Count the uses of one URL; when its cooldown has passed without a use it is reusable again."""
+    """Tell when a URL goes into its cooldown and when it comes out of it without a use."""
     if state.hasTimedOut:
-        kept = state.get
-        row = (*kept[:4], kept[4] + 1)
+        (last,) = state.get
         state.remove()
-        yield _row(key, row, "reusable")
+        yield _row(key, last, "reusable")
         return
-    uses, first, last, matched, changes = state.get if state.exists else (0, None, None, None, 0)
+    last = state.get[0] if state.exists else None
     for batch in batches:
-        times = batch["used_at"].astype("datetime64[us]").astype("int64")
-        uses += len(batch)
-        first = int(times.min()) if first is None else min(first, int(times.min()))
-        latest = int(times.max())
-        if last is None or latest >= last:
-            # the same moment may occur twice; a match then counts
-            matched = bool(batch.loc[times == latest, "matched"].any())
-            last = latest
-    kept = (uses, first, last, matched, changes + 1)
-    state.update(kept)
+        latest = int(batch["used_at"].astype("datetime64[us]").astype("int64").max())
+        last = latest if last is None else max(last, latest)
+    state.update((last,))
     end = last // 1000 + COOLDOWN_DAYS * 86_400_000
     state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-    yield _row(key, kept, "cooldown")
+    yield _row(key, last, "cooldown")
 
 
-def cooldown_stream(uses: DataFrame, delay: str = "1 day") -> DataFrame:
-    """(category, url, used_at, matched) rows to the state of each URL after every change.
+def cooldown_events(uses: DataFrame, delay: str = "1 day") -> DataFrame:
+    """(category, url, used_at, matched) rows to an event at each start and end of a cooldown.
 
-    State holds five numbers per URL and is dropped when the cooldown ends.
+    State holds the last use of the URLs in cooldown and is dropped when it ends; totals come from
+    :func:`pool_totals`, which needs none.
     """
     return (
-        uses.withWatermark("used_at", delay).groupBy("category", "url")
-        .applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+        uses.withWatermark("used_at", delay).groupBy(*KEYS)
+        .applyInPandasWithState(_update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -58,23 +58,22 @@ def append_buffer(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return run_available(stream, checkpoint, batch_log(path))
 
 
-def insert_unseen(stream: DataFrame, keys: Sequence[str], stored: DataFrame | None, path: str, checkpoint: str,
-                  time: str | None = None, delay: str = "30 days") -> StreamingQuery:
+def insert_unseen(stream: DataFrame, keys: Sequence[str], stored: DataFrame | None, path: str, checkpoint: str) -> StreamingQuery:
     """Insert rows whose key was not seen before, in the stream or in the stored table.
 
-    With an event-time column the memory of seen keys is bounded by the watermark; a key that
-    returns later than that is caught by the stored table.
+    The log of inserted rows is the memory: every batch is reduced to one row per key and joined with the keys of
+    the batches before it. So a key that returns after any time is found, and no state grows beside the log.
     """
-    if time is not None:
-        fresh = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
-    else:
-        fresh = stream.dropDuplicates(list(keys))
-
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch if stored is None else batch.join(stored.select(*keys).distinct(), list(keys), "left_anti")
-        batch_log(path)(rows, number)
+        fresh = first_per_key(batch, list(keys), [F.col(c) for c in batch.columns])
+        seen = [stored.select(*keys)] if stored is not None else []
+        if number > 0:
+            seen.append(read_log(batch.sparkSession, path, batch.schema).where(F.col(BATCH) < number).select(*keys))
+        for known in seen:
+            fresh = fresh.join(known.distinct(), list(keys), "left_anti")
+        batch_log(path)(fresh, number)
 
-    return run_available(fresh, checkpoint, write)
+    return run_available(stream, checkpoint, write)
 
 
 def upsert_orders(stream: DataFrame, keys: Sequence[str], order: Sequence[Column], path: str, checkpoint: str) -> StreamingQuery:
@@ -85,15 +84,22 @@ def upsert_orders(stream: DataFrame, keys: Sequence[str], order: Sequence[Column
     return run_available(stream, checkpoint, write)
 
 
-def orders_daily(stream: DataFrame, path: str, checkpoint: str, time: str = "order_time", amount: str = "order_amount",
-                 delay: str = "1 day") -> StreamingQuery:
-    """Count and revenue per day, refreshed as orders arrive; days older than the watermark are closed."""
-    totals = (
-        stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.window(time, "1 day").alias("w"))
-        .agg(F.count(F.lit(1)).alias("cnt"), F.sum(amount).alias("revenue"))
-        .select(day_text(F.col("w.start")).alias("d"), "cnt", "revenue")
-    )
-    return run_available(totals, checkpoint, batch_log(path), mode="update")
+def orders_daily(stream: DataFrame, path: str, checkpoint: str, time: str = "order_time", amount: str = "order_amount") -> StreamingQuery:
+    """Count and revenue per day and batch; :func:`daily_totals` adds them up. No order is too late to count."""
+    def write(batch: DataFrame, number: int) -> None:
+        days = batch.groupBy(day_text(F.col(time)).alias("d")).agg(F.count(F.lit(1)).alias("cnt"), F.sum(amount).alias("revenue"))
+        batch_log(path)(days, number)
+
+    return run_available(stream, checkpoint, write)
+
+
+def daily_totals(log: DataFrame) -> DataFrame:
+    return log.groupBy("d").agg(F.sum("cnt").alias("cnt"), F.sum("revenue").alias("revenue"))
+
+
+def compact(spark: SparkSession, path: str, schema, reduce: Callable[[DataFrame], DataFrame], target: str) -> None:
+    """Write a log's reduced rows to ``target`` as one batch, for readers to go on from there."""
+    reduce(read_log(spark, path, schema)).write.mode("overwrite").parquet(f"{target}/{BATCH}=0")
 
 
 def due_rows(stream: DataFrame, now: Column, path: str, checkpoint: str) -> StreamingQuery:

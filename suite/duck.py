@@ -40,3 +40,7 @@ def non_english(x: str) -> str:
         f"(regexp_matches({x}, {NON_LATIN}) OR regexp_matches({x}, {ACCENTED}) OR "
         f"({letters(x)} >= 30 AND {latin(x)} < 0.6 * {letters(x)}))"
     )
+
+
+def title_case(x: str) -> str:
+    return rf"array_to_string([upper(substring(run, 1, 1)) || substring(run, 2) for run in regexp_extract_all(lower({x}), '\p{{L}}+|\P{{L}}+')], '')"

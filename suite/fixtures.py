@@ -18,7 +18,7 @@ BASE_TABLES = (
 VIEWS: dict[str, str] = {
     "v_product": """
 SELECT d.doc_id AS product_id,
-       substring(split_part(d.text, chr(10), 1), 1, 120) AS title,
+       split_part(d.text, chr(10), 1) AS title,
        d.text AS description,
        CASE CAST(p.p_size AS BIGINT) % 4 WHEN 0 THEN p.p_type || ' > ' || p.p_brand
             WHEN 1 THEN lower(p.p_type) || 's' WHEN 2 THEN '' ELSE p.p_type END AS category,

@@ -78,14 +78,17 @@ def _(t):
 
 @query("status_counts_from_html", """
 SELECT o_orderkey, o_orderkey + 3 AS n_all, o_orderkey % 11 AS n_pending, o_orderkey % 7 AS n_completed, 3 AS n_keys,
-       CASE o_orderkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'on-hold' ELSE 'completed' END AS row_status FROM orders
+       CASE o_orderkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'on-hold' ELSE 'completed' END AS row_status, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 3 END AS shown FROM orders
 """)
 def _(t):
-    rows = t.sql(_ORDER_PAGE)
-    counted = rows.select("o_orderkey", P.status_counts("html").alias("c"),
+    # a second pending entry after the first one, and the number of rows shown
+    first = F.regexp_replace("html", "(?s)(<ul[^>]*subsubsub[^>]*>)", F.concat(F.lit("$1<li class='pending'><a href='x'>Pending <span>(999999)</span></a></li>")))
+    shown = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("<span class='displaying-num'>"), F.col("o_orderkey") * 3, F.lit(" items</span>"))).otherwise("")
+    rows = t.sql(_ORDER_PAGE).withColumn("html", F.concat(first, shown))
+    counted = rows.select("o_orderkey", P.status_counts("html").alias("c"), P.visible_count("html").alias("shown"),
                           D.status_key(H.row_status(F.regexp_extract("html", "(?s)(<tr .*?</tr>)", 1), tuple(D.ORDER_STATUS_LABELS))).alias("row_status"))
     return counted.select("o_orderkey", F.col("c")["all"].alias("n_all"), F.col("c")["pending"].alias("n_pending"),
-                          F.col("c")["completed"].alias("n_completed"), F.size("c").alias("n_keys"), "row_status")
+                          F.col("c")["completed"].alias("n_completed"), F.size("c").alias("n_keys"), "row_status", "shown")
 
 
 @query("parse_count_text", """

@@ -103,14 +103,16 @@ def _(t):
 
 @query("parent_lookup", """
 WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
-     UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'lost' ELSE 'n' || c_nationkey END, c_name FROM customer),
+     UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'lost' ELSE 'n' || c_nationkey END, c_name FROM customer
+     UNION ALL SELECT 's' || s_suppkey, CASE WHEN s_suppkey % 25 <> 1 THEN 's' || (s_suppkey - 1) END, s_name FROM supplier),
  w AS (SELECT id, name AS path, 1 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.id, w.path || ' > ' || n.name, depth + 1 FROM n JOIN w ON n.parent = w.id)
 SELECT id, path, depth FROM w
 """)
 def _(t):
     nodes = t.sql("""SELECT concat('r', r_regionkey) AS id, CAST(NULL AS STRING) AS parent, r_name AS name FROM {region} UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM {nation}
                      UNION ALL SELECT concat('c', c_custkey), CASE WHEN c_custkey % 50 = 0 THEN 'lost' ELSE concat('n', c_nationkey) END, c_name FROM {customer}""")
-    return taxonomy.parent_paths(nodes, max_depth=4)
+    chain = t.sql("SELECT concat('s', s_suppkey) AS id, CASE WHEN s_suppkey % 25 <> 1 THEN concat('s', s_suppkey - 1) END AS parent, s_name AS name FROM {supplier}")
+    return taxonomy.parent_paths(nodes.unionByName(chain))
 
 
 @query("stage_move", r"""

@@ -331,7 +331,7 @@ _FILL_RULES = """SELECT * FROM (VALUES (0, 'A', 'a1', NULL, 'orre'), (1, 'A', 'a
 
 @query("fill_blank_category", f"""
 WITH r AS ({_FILL_RULES}), p AS (SELECT product_id, lower(title || ' ' || description) AS x FROM v_product WHERE trim(category) = ''),
- h AS (SELECT product_id, min(rule_order) AS o FROM p, r WHERE regexp_matches(x, '(^|[^a-z0-9_])' || keyword || '([^a-z0-9_]|$)') GROUP BY 1)
+ h AS (SELECT product_id, min(rule_order) AS o FROM p, r WHERE contains(x, lower(keyword)) GROUP BY 1)
 SELECT p.product_id, f.level1 || '|||' || f.level2 || CASE WHEN f.level3 IS NOT NULL THEN '|||' || f.level3 ELSE '' END || '|||' || f.keyword AS new_category, h.o IS NOT NULL AS by_rule
 FROM p LEFT JOIN h USING (product_id) JOIN r f ON f.rule_order = coalesce(h.o, p.product_id % 5)
 """)

@@ -24,8 +24,8 @@ _NODES = "SELECT DISTINCT p_type AS node FROM {part} UNION SELECT 'promo'"
 _PROCESSED = f"""
 img AS (SELECT image FROM v_product WHERE image IS NOT NULL GROUP BY 1 HAVING count(*) > {_IMAGE_LIMIT}),
 pro AS (SELECT product_id, replace({S('title')}, chr(10), ' ') AS title, substring({duck.strip_html('description')}, 1, 5000) AS description,
-   lower(CASE WHEN lower({duck.ws('category')}) IN ('standard', 'economy', 'large', 'medium', 'promo', 'small') THEN {duck.ws('category')}
-        WHEN regexp_replace(lower({duck.ws('category')}), 's$', '') IN ('standard', 'economy', 'large', 'medium', 'promo', 'small') THEN regexp_replace(lower({duck.ws('category')}), 's$', '') ELSE {duck.ws('category')} END) AS category,
+   CASE WHEN lower({duck.ws('category')}) IN ('standard', 'economy', 'large', 'medium', 'promo', 'small') THEN {duck.title_case(duck.ws('category'))}
+        WHEN regexp_replace(lower({duck.ws('category')}), 's$', '') IN ('standard', 'economy', 'large', 'medium', 'promo', 'small') THEN {duck.title_case("regexp_replace(lower(" + duck.ws('category') + "), 's$', '')")} ELSE {duck.ws('category')} END AS category,
    image, discount_price FROM v_product WHERE image IS NULL OR image NOT IN (SELECT image FROM img)),
 ded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower({S('title')}) ORDER BY product_id) AS rn FROM pro WHERE {S('title')} <> '') WHERE rn = 1),
 ver AS (SELECT *, CASE WHEN NOT coalesce(discount_price BETWEEN 3 AND 6000, false) THEN 'price_range' WHEN length({S('title')}) < 5 THEN 'title_length'
@@ -40,7 +40,7 @@ def _catalog(t):
 
 @query("process_all", f"WITH {_PROCESSED} SELECT product_id, title, description, category FROM pro")
 def _(t):
-    return P.process_all(_catalog(t), "product_id", t.sql(_NODES), _IMAGE_LIMIT).select("product_id", "title", "description", F.lower("category").alias("category"))
+    return P.process_all(_catalog(t), "product_id", t.sql(_NODES), _IMAGE_LIMIT).select("product_id", "title", "description", "category")
 
 
 @query("extract_clean_core", f"WITH {_PROCESSED} SELECT CASE WHEN verdict = '' THEN 'kept' ELSE verdict END AS verdict, count(*) AS rows FROM ver GROUP BY 1")

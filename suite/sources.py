@@ -74,6 +74,12 @@ FROM {documents} d JOIN {part} p ON d.doc_id = p.p_partkey
 """
 
 
+@query("malformed_payloads", "SELECT doc_id FROM documents WHERE doc_id % 9 = 4")
+def _(t):
+    captured = t.documents.selectExpr("doc_id", """CASE WHEN doc_id % 9 = 4 THEN concat('{"products": [{"title": "', left(text, 5)) ELSE '{"products": []}' END AS payload""")
+    return R.malformed_payloads(captured, "payload").select("doc_id")
+
+
 @query("flatten_catalog", """
 WITH b AS (SELECT * FROM documents d JOIN part p ON d.doc_id = p.p_partkey)
 SELECT 'https://' || source || '/products/h' || doc_id AS source_url, ' ' || p_name || ' ' || doc_id AS title, 'S' || doc_id AS sku, p_retailprice AS price,
@@ -114,23 +120,35 @@ def _(t):
     return taxonomy.flatten_taxonomy(lines)
 
 
+# depths one to five by part number, and one tree in 31 that is no JSON
 _TREES = """
-SELECT p_partkey, CASE WHEN p_partkey % 2 = 0
-       THEN to_json(map(p_type, map(p_brand, array(p_name, upper(p_name)))))
-       ELSE to_json(map(p_type, map(p_brand, map(concat('Size ', p_size), array(p_name))))) END AS tree FROM {part}
+SELECT p_partkey, CASE WHEN p_partkey % 31 = 0 THEN concat(chr(123), p_name)
+       WHEN p_partkey % 5 = 0 THEN to_json(map(p_type, map(p_brand, array(p_name, upper(p_name)))))
+       WHEN p_partkey % 5 = 1 THEN to_json(map(p_type, map(p_brand, map(concat('Size ', p_size), array(p_name)))))
+       WHEN p_partkey % 5 = 2 THEN to_json(map(p_type, array(p_name)))
+       WHEN p_partkey % 5 = 3 THEN to_json(map(p_type, map(p_brand, map(concat('Size ', p_size), map('Deep', array(p_name))))))
+       ELSE to_json(map(p_type, map(p_brand, map(concat('Size ', p_size), map('Deep', map('Deeper', p_name)))))) END AS tree FROM {part}
+"""
+_TREE_ROWS = """
+SELECT p_partkey, p_type AS level1, CASE WHEN p_partkey % 5 <> 2 THEN p_brand END AS level2,
+       CASE p_partkey % 5 WHEN 1 THEN 'Size ' || p_size WHEN 3 THEN 'Size ' || p_size || '|||Deep' WHEN 4 THEN 'Size ' || p_size || '|||Deep|||Deeper' END AS level3, p_name AS keyword
+FROM part WHERE p_partkey % 31 <> 0
+UNION ALL SELECT p_partkey, p_type, p_brand, NULL, upper(p_name) FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 31 <> 0
 """
 
 
-@query("flatten_keyword_tree", """
-SELECT p_partkey, p_type AS level1, p_brand AS level2, CASE WHEN p_partkey % 2 = 1 THEN 'Size ' || p_size END AS level3, p_name AS keyword FROM part
-UNION ALL SELECT p_partkey, p_type, p_brand, NULL, upper(p_name) FROM part WHERE p_partkey % 2 = 0
-""")
+@query("flatten_keyword_tree", _TREE_ROWS)
+def _(t):
+    return R.flatten_keyword_tree(t.sql(_TREES), "tree", ["p_partkey"]).drop("path")
+
+
+@query("malformed_trees", "SELECT p_partkey FROM part WHERE p_partkey % 31 = 0")
 def _(t):
-    return R.flatten_keyword_tree(t.sql(_TREES), "tree", ["p_partkey"])
+    return R.malformed_trees(t.sql(_TREES), "tree").select("p_partkey")
 
 
-@query("tree_phrases", """
-SELECT DISTINCT lower(x) AS phrase FROM (SELECT unnest([p_type, replace(p_brand, '#', ' '), p_name] || CASE WHEN p_partkey % 2 = 1 THEN ['Size ' || p_size] ELSE [] END) AS x FROM part)
+@query("tree_phrases", f"""
+SELECT DISTINCT lower(x) AS phrase FROM (SELECT unnest([level1, replace(level2, '#', ' '), keyword] || string_split(coalesce(level3, level1), '|||')) AS x FROM ({_TREE_ROWS})) WHERE x IS NOT NULL
 """)
 def _(t):
     return R.tree_phrases(R.flatten_keyword_tree(t.sql(_TREES), "tree"))

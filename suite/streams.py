@@ -11,7 +11,7 @@ from suite import query
 
 
 def _files(t, df, order: str, parts: int = 3):
-    """The rows as ``parts`` files in time order, one per trigger."""
+    """The rows as ``parts`` sets of files in the order of a column; a trigger reads one file."""
     path = scratch_path(t.spark, "in")
     at = F.col(order).cast("timestamp").cast("double") if order in ("ts", "used_at", "order_time") else F.col(order)
     share = ", ".join(str((i + 1) / parts) for i in range(parts - 1))
@@ -20,7 +20,7 @@ def _files(t, df, order: str, parts: int = 3):
     # one write after the other: the stream reads files in the order of their times
     for low, high in zip(edges, edges[1:], strict=False):
         part = df if low is None else df.where(at > low)
-        (part if high is None else part.where(at <= high)).coalesce(1).write.mode("append").parquet(path)
+        (part if high is None else part.where(at <= high)).write.mode("append").parquet(path)
     return I.read_files(t.spark, path, df.schema)
 
 
@@ -44,20 +44,25 @@ def _(t):
     return I.read_log(t.spark, out, rows.schema).select("user_id", "event_type")
 
 
-@query("stream_cooldown", """
+_USES = """SELECT user_id, ts, event_type = 'click' AS matched FROM {events}
+ UNION ALL SELECT user_id, ts + INTERVAL 65 DAY, event_type <> 'click' FROM {events} WHERE user_id % 3 = 0"""
+
+
+@query("stream_cooldown", f"""
+WITH e AS ({_USES.replace("{events}", "events")})
 SELECT 'cat' || user_id % 5 AS category, 'https://u' || user_id || '.example' AS url, count(*) AS use_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_used_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_used_at,
-       strftime(max(ts) + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS next_reusable_at, bool_or(event_type = 'click') FILTER (ts = mx) AS last_matched
-FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS mx FROM events) GROUP BY user_id
+       strftime(max(ts) + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS next_reusable_at, bool_or(matched) FILTER (ts = mx) AS last_matched,
+       CASE WHEN max(ts) + INTERVAL 30 DAY > (SELECT max(ts) FROM events) + INTERVAL 10 DAY THEN 'cooldown' ELSE 'reusable' END AS status
+FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS mx FROM e) GROUP BY user_id
 """)
 def _(t):
-    rows = t.sql("""SELECT concat('cat', user_id % 5) AS category, concat('https://u', user_id, '.example') AS url, CAST(ts AS TIMESTAMP) AS used_at, event_type = 'click' AS matched FROM {events}""")
+    rows = t.sql(f"SELECT concat('cat', user_id % 5) AS category, concat('https://u', user_id, '.example') AS url, CAST(ts AS TIMESTAMP) AS used_at, matched FROM ({_USES})")
     out = scratch_path(t.spark, "cooldown")
-    states = C.cooldown_stream(_files(t, rows, "used_at"))
-    I.run_available(states, out + "-cp", I.batch_log(out), mode="update")
-    log = I.read_log(t.spark, out, states.schema)
+    C.record_uses(_files(t, rows, "used_at"), out, out + "-cp")
+    now = t.sql("SELECT CAST(max(ts) AS TIMESTAMP) + INTERVAL 10 DAY AS now FROM {events}").first()["now"]
+    pool = C.pool_totals(t.spark.read.schema(f"{C.USES}, {I.BATCH} BIGINT").parquet(out), F.lit(now))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    last = I.newest(log, ["category", "url"], [F.col("changes").desc()])
-    return last.select("category", "url", "use_count", stamp("first_used_at"), stamp("last_used_at"), stamp("next_reusable_at"), "last_matched")
+    return pool.select("category", "url", "use_count", stamp("first_used_at"), stamp("last_used_at"), stamp("next_reusable_at"), "last_matched", "status")
 
 
 @query("stream_orders_upsert", """
@@ -73,11 +78,12 @@ def _(t):
 
 @query("stream_orders_daily", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, count(*) AS cnt, round(sum(o_totalprice), 2) AS revenue FROM orders GROUP BY 1")
 def _(t):
-    rows = t.orders.select(F.col("o_orderdate").alias("order_time"), F.col("o_totalprice").alias("order_amount"))
+    rows = t.orders.select("o_orderkey", F.col("o_orderdate").alias("order_time"), F.col("o_totalprice").alias("order_amount"))
     out = scratch_path(t.spark, "daily")
-    I.orders_daily(_files(t, rows, "order_time"), out, out + "-cp")
+    # files by key, so that every batch brings orders of days long past
+    I.orders_daily(_files(t, rows, "o_orderkey"), out, out + "-cp")
     log = t.spark.read.schema(f"d STRING, cnt BIGINT, revenue DOUBLE, {I.BATCH} BIGINT").parquet(out)
-    return I.newest(log, ["d"]).withColumn("revenue", F.round("revenue", 2))
+    return I.daily_totals(log).withColumn("revenue", F.round("revenue", 2))
 
 
 @query("stream_schedule_due", "SELECT id, domain FROM v_site WHERE schedule_enabled = '1' AND report_status <> 'reported' AND schedule_time <> '' AND schedule_time <= '2024-01-06 08:00:00'")

@@ -224,16 +224,16 @@ def _(t):
 
 
 @query("normalize_category_to_taxonomy", f"""
-WITH nodes AS (SELECT DISTINCT lower(p_name) AS node FROM part WHERE p_size % 3 = 0 UNION SELECT 'men' UNION SELECT 'child'),
-     raw AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN ' ' || upper(p_name) || ' ' WHEN 1 THEN p_name || 's' ELSE p_type END AS raw FROM part),
+WITH nodes AS (SELECT DISTINCT lower(p_name) AS node FROM part WHERE p_size % 3 = 0 UNION SELECT 'men' UNION SELECT 'child' UNION SELECT 't-shirt'),
+     raw AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 6 THEN 'T-shirts' WHEN p_partkey % 3 = 0 THEN ' ' || upper(p_name) || ' ' WHEN p_partkey % 3 = 1 THEN p_name || 's' ELSE p_type END AS raw FROM part),
      cleaned AS (SELECT id, {duck.ws('raw')} AS v FROM raw),
      words AS (SELECT id, v, n, lower(ww) AS w FROM (SELECT id, v, unnest(string_split(v, ' ')) AS ww, unnest(range(1, len(string_split(v, ' ')) + 1)) AS n FROM cleaned)),
      singular AS (SELECT id, any_value(v) AS v, string_agg({_SING_CORE}, ' ' ORDER BY n) AS s FROM words GROUP BY id)
-SELECT id, lower(CASE WHEN lower(v) IN (SELECT node FROM nodes) THEN v WHEN s IN (SELECT node FROM nodes) THEN s ELSE v END) AS category,
+SELECT id, CASE WHEN lower(v) IN (SELECT node FROM nodes) THEN {duck.title_case('v')} WHEN s IN (SELECT node FROM nodes) THEN {duck.title_case('s')} ELSE v END AS category,
        lower(v) IN (SELECT node FROM nodes) OR s IN (SELECT node FROM nodes) AS known
 FROM singular
 """)
 def _(t):
-    nodes = t.sql("SELECT DISTINCT lower(p_name) AS node FROM {part} WHERE p_size % 3 = 0 UNION SELECT 'men' UNION SELECT 'child'")
-    raw = t.sql("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN ' ' || upper(p_name) || ' ' WHEN 1 THEN p_name || 's' ELSE p_type END AS raw FROM {part}")
-    return taxonomy.normalize_to_taxonomy(raw, "raw", nodes).select("id", F.lower("normalized").alias("category"), "known")
+    nodes = t.sql("SELECT DISTINCT lower(p_name) AS node FROM {part} WHERE p_size % 3 = 0 UNION SELECT 'men' UNION SELECT 'child' UNION SELECT 't-shirt'")
+    raw = t.sql("SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 6 THEN 'T-shirts' WHEN p_partkey % 3 = 0 THEN ' ' || upper(p_name) || ' ' WHEN p_partkey % 3 = 1 THEN p_name || 's' ELSE p_type END AS raw FROM {part}")
+    return taxonomy.normalize_to_taxonomy(raw, "raw", nodes).select("id", F.col("normalized").alias("category"), "known")
