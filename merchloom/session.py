@@ -35,12 +35,16 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, else a folder in the warehouse.
+    """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    The warehouse is shared by definition, so no machine's temporary folder is ever used.
+    Only a local master may do without: it uses a folder in its warehouse, never a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/merchloom-scratch").rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/merchloom-scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
