@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import NOT_ALNUM_BLANK, ColumnLike, col, let, text_or_empty
+from merchloom.functions.base import NOT_ALNUM_BLANK, ColumnLike, any_of, col, let, text_or_empty
 from merchloom.functions.text import normalize_text
 
 # one sign that no text word can equal; it keeps phrases from matching across punctuation
@@ -66,26 +66,46 @@ class Lexicon:
     category_tag: str = "apparel"
 
     def hits(self, value: ColumnLike) -> Column:
-        """Terms found in the text, in order of first occurrence, without rescued ones."""
+        """Terms found in the text, in order of first occurrence, without rescued ones.
+
+        The text is split into words once. Its n-grams are looked up in the set of terms of n words, so the
+        plan and the work per text do not grow with the list; only CJK terms are searched one by one.
+        """
+        terms = sorted({t.lower().replace("-", " ").strip() for t in self.terms} - {""})
+        named: dict[str, list[str]] = {}
+        for term in terms:
+            if not _is_cjk(term):
+                named.setdefault(_plain_words(term), []).append(term)
+        entry = "array<struct<at:int,term:string>>"
+
+        def grams(words: Column, n: int, plain: list[str]) -> Column:
+            if n == 1:
+                return F.filter(words, lambda w: w.isin(plain))
+            heads = sorted({p.split(" ")[0] for p in plain})
+            places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(heads), i + 1)), lambda i: i.isNotNull())
+            return F.filter(F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " ")), lambda g: g.isin(plain))
+
         def found(texts: Column) -> Column:
-            entries = []
-            for term in sorted(set(t.lower().replace("-", " ").strip() for t in self.terms)):
-                if _is_cjk(term):
-                    at = F.instr(texts["raw"], term)
-                else:
-                    at = F.instr(texts["words"], f" {_plain_words(term)} ")
+            parts = [F.array().cast(entry)]
+            if named:
+                by_size: dict[int, list[str]] = {}
+                for plain in named:
+                    by_size.setdefault(len(plain.split(" ")), []).append(plain)
+                seen = F.array_distinct(F.concat(*[grams(texts["list"], n, plain) for n, plain in by_size.items()]))
+                names = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(t) for t in x]) for pair in named.items() for x in pair])
+                parts.append(F.flatten(F.transform(seen, lambda p: F.transform(F.element_at(names, p), lambda t: F.struct(
+                    F.position(F.concat(F.lit(" "), p, F.lit(" ")), texts["words"]).alias("at"), t.alias("term"))))))
+            parts += [F.array(F.struct(F.instr(texts["raw"], t).alias("at"), F.lit(t).alias("term"))) for t in terms if _is_cjk(t)]
+            hit = F.filter(F.concat(*parts), lambda e: e["at"] > 0)
+            for term in terms:
                 phrases = [p.lower().replace("-", " ") for p in self._safe_phrases(term)]
-                rescued = F.lit(False)
-                for phrase in phrases:
-                    rescued = rescued | F.contains(texts["raw"], F.lit(phrase))
-                entries.append(F.struct(F.when(~rescued, at).otherwise(0).alias("at"), F.lit(term).alias("term")))
-            if not entries:
-                return F.array().cast("array<string>")
-            hit = F.filter(F.array(*entries), lambda e: e["at"] > 0)
+                if phrases:
+                    rescued = any_of([F.contains(texts["raw"], F.lit(p)) for p in phrases])
+                    hit = F.filter(hit, lambda e: ~((e["term"] == term) & rescued))  # noqa: B023  used at once
             return F.transform(F.array_sort(hit), lambda e: e["term"])
 
         raw = F.replace(F.lower(text_or_empty(value)), F.lit("-"), F.lit(" "))
-        return let(F.struct(raw.alias("raw"), boundary_text(value).alias("words")), found)
+        return let(F.struct(raw.alias("raw"), boundary_text(value).alias("words"), boundary_words(value).alias("list")), found)
 
     def _safe_phrases(self, term: str) -> tuple[str, ...]:
         return next((v for k, v in self.safe.items() if k.lower().replace("-", " ") == term), ())
@@ -171,16 +191,32 @@ def substring_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFr
     """Distinct (keys, term, extra columns) where the term is contained in the text, anywhere.
 
     A term can only be inside a text that has the term's first few characters, so both sides meet on
-    that gram and only then are compared in full. The gram is four characters, or as long as the
-    shortest term when that is shorter. Columns named in ``on`` must be equal on both sides as well.
+    that gram and only then are compared in full. Terms are worked off by classes of length: short ones
+    have a gram of their own length, and a window is as long as the longest term of its class only.
+    Columns named in ``on`` must be equal on both sides as well.
     """
-    sizes = terms.where(F.length("term") > 0).agg(F.min(F.length("term")).alias("low"), F.max(F.length("term")).alias("high")).first()
-    if sizes["low"] is None:
+    lengths = [r["n"] for r in terms.select(F.length("term").alias("n")).where("n > 0").distinct().collect()]
+    parts = []
+    for low, high in zip(LENGTH_CLASSES, [*LENGTH_CLASSES[1:], None], strict=True):
+        own = [n for n in lengths if n >= low and (high is None or n < high)]
+        if own:
+            inside = (F.length("term") >= low) & (F.length("term") <= max(own))
+            parts.append(_window_hits(texts, keys, column, terms.where(inside), on, min(MAX_GRAM, min(own)), max(own)))
+    if not parts:
         return _no_hits(texts, keys, terms, on)
-    gram, longest = min(MAX_GRAM, sizes["low"]), sizes["high"]
-    # overlapping windows as long as the longest term; the text itself is not carried along
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+# the first lengths of the classes; all lengths of one class share a gram and a window
+LENGTH_CLASSES = (1, 2, 4, 16, 64, 256, 1024)
+
+
+def _window_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame, on: Sequence[str], gram: int, longest: int) -> DataFrame:
     windows = F.regexp_extract_all(F.col(column), F.lit(rf"(?s)(?=(.{{{gram},{longest}}}))"), 1)
     left = texts.select(*keys, F.explode(F.array_distinct(windows)).alias("_window"))
     left = left.withColumn("_gram", F.substring("_window", 1, gram))
-    right = terms.where(F.length("term") >= gram).withColumn("_gram", F.substring("term", 1, gram))
+    right = terms.withColumn("_gram", F.substring("term", 1, gram))
     return left.join(right, ["_gram", *on]).where(F.startswith(F.col("_window"), F.col("term"))).drop("_gram", "_window").distinct()

@@ -27,20 +27,32 @@ def _words(value: ColumnLike) -> Column:
     return F.filter(F.split(col(value), " "), lambda w: w != "")
 
 
+def text_id(text: ColumnLike) -> Column:
+    """32 bytes that stand for a text in joins and shuffles."""
+    return F.unhex(F.sha2(col(text), 256))
+
+
 def multi_label(texts: DataFrame, text: str, rules: DataFrame) -> DataFrame:
-    """Distinct (text, category) for distinct normalised texts and rules (category, keyword).
+    """Distinct (text, category) for distinct normalised texts and rules (category, keyword); see :func:`label_ids`."""
+    named = texts.select(F.col(text).alias("_x")).distinct().where("_x <> ''").withColumn("_t", text_id("_x"))
+    return label_ids(named, "_t", "_x", rules).join(named, "_t").select(F.col("_x").alias(text), "category")
+
+
+def label_ids(texts: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
+    """Distinct (key, category) for texts with one key each and rules (category, keyword).
 
     A category is hit strictly when one of its keywords stands in the text as whole words. Where it is
     not, it is hit loosely: a one-word keyword by prefix or stem of a text word, a longer one when
     enough of its words do so. Prefixes are spelled out on both sides, so all tests are equi-joins.
+    Words travel with the key of their text, never with the text.
     """
-    t = texts.select(F.col(text).alias("_t")).distinct().where("_t <> ''")
+    t = texts.select(F.col(key).alias("_t"), F.col(text).alias("_x")).where("_x <> ''")
     k = rules.select("category", normalize_text("keyword", "stem").alias("term")).where("term <> ''").distinct()
     latin = k.where(F.col("term").rlike("[a-z]"))
     other = k.where(~F.col("term").rlike("[a-z]"))
-    strict = ngram_hits(t.withColumn("_x", F.col("_t")), ["_t"], "_x", latin).select("_t", "category").unionByName(
-        substring_hits(t.withColumn("_x", F.col("_t")), ["_t"], "_x", other).select("_t", "category")).distinct()
-    tw = t.select("_t", F.posexplode(_words("_t")).alias("_i", "_w"))
+    strict = ngram_hits(t, ["_t"], "_x", latin).select("_t", "category").unionByName(
+        substring_hits(t, ["_t"], "_x", other).select("_t", "category")).distinct()
+    tw = t.select("_t", F.posexplode(_words("_x")).alias("_i", "_w"))
     kw = k.select("category", "term", F.size(_words("term")).alias("_n"), F.posexplode(_words("term")).alias("_j", "_k"))
 
     def prefixes(word: Column, last: Column) -> Column:
@@ -63,20 +75,17 @@ def multi_label(texts: DataFrame, text: str, rules: DataFrame) -> DataFrame:
         .where(F.col("_pairs") >= F.greatest(F.lit(1.0), F.col("_n") * LOOSE_SHARE)).select("_t", "category")
     )
     hits = strict.unionByName(one_word).unionByName(same_stem).unionByName(several).distinct()
-    return hits.withColumnRenamed("_t", text)
+    return hits.withColumnRenamed("_t", key)
 
 
 def label_lists(hits: DataFrame, text: str, name: str) -> DataFrame:
-    """Sorted list of categories per distinct text; as long as the rule list has categories."""
+    """Sorted list of categories per distinct text or key; as long as the rule list has categories."""
     return hits.groupBy(text).agg(F.array_sort(F.collect_set("category")).alias(name))
 
 
 def classify_distinct(df: DataFrame, column: str, rules: DataFrame, name: str = "categories") -> DataFrame:
     """Add the list of matched categories, worked out once per distinct normalised value."""
-    staged = df.withColumn("_norm", normalize_text(column, "stem"))
-    lists = label_lists(multi_label(staged, "_norm", rules), "_norm", name)
-    return staged.join(lists, "_norm", "left").withColumn(
-        name, F.coalesce(name, F.array().cast("array<string>"))).drop("_norm")
+    return with_lists(df, {name: column}, "stem", lambda texts, key, text: label_ids(texts, key, text, rules))
 
 
 def top_unmatched(df: DataFrame, column: str, categories: str = "categories", n: int = 20) -> DataFrame:
@@ -85,30 +94,30 @@ def top_unmatched(df: DataFrame, column: str, categories: str = "categories", n:
     return missed.groupBy(column).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), column).limit(n)
 
 
-def with_lists(df: DataFrame, columns: Mapping[str, str], mode: str, find: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def with_lists(df: DataFrame, columns: Mapping[str, str], mode: str, find: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
     """Add a list of categories per column, found once per distinct normalised text of all columns.
 
-    ``columns`` maps the new list's name to the text column; ``find`` maps a table of texts to
-    (text, category) hits. Only texts with hits are kept and joined back.
+    ``columns`` maps the new list's name to the text column; ``find`` maps a table of texts with their ids,
+    and the names of both columns, to (id, category) hits. Only ids with hits are kept and joined back.
     """
-    out = df.withColumns({f"_n_{name}": normalize_text(column, mode) for name, column in columns.items()})
-    texts = out.select(F.explode(F.array_distinct(F.array(*[f"_n_{name}" for name in columns]))).alias("_n")).where("_n <> ''").distinct()
-    lists = cut_lineage(label_lists(find(texts, "_n"), "_n", "_list"))
+    out = df.withColumns({f"_n_{name}": text_id(normalize_text(column, mode)) for name, column in columns.items()})
+    names = F.array_distinct(F.array(*[normalize_text(column, mode) for column in columns.values()]))
+    texts = df.select(F.explode(names).alias("_n")).where("_n <> ''").select(text_id("_n").alias("_id"), "_n").groupBy("_id").agg(F.any_value("_n").alias("_n"))
+    lists = cut_lineage(label_lists(find(texts, "_id", "_n"), "_id", "_list"))
     for name in columns:
-        mine = lists.select(F.col("_n").alias(f"_n_{name}"), F.col("_list").alias(name))
+        mine = lists.select(F.col("_id").alias(f"_n_{name}"), F.col("_list").alias(name))
         out = out.drop(name).join(mine, f"_n_{name}", "left").withColumn(name, F.coalesce(name, F.array().cast(_NONE))).drop(f"_n_{name}")
     return out
 
 
-def alias_hits(aliases: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
-    """Finder of (text, target) by aliases: with Latin letters as words between blanks, others anywhere."""
+def alias_hits(aliases: DataFrame) -> Callable[[DataFrame, str, str], DataFrame]:
+    """Finder of (id, target) by aliases: with Latin letters as words between blanks, others anywhere."""
     named = aliases.select(F.col("alias").alias("term"), F.col("target").alias("category"))
 
-    def find(texts: DataFrame, text: str) -> DataFrame:
-        copies = texts.withColumn("_x", F.col(text))
-        latin = ngram_hits(copies, [text], "_x", named.where(F.col("term").rlike("[a-z]")), lambda c: F.split(col(c), " "))
-        other = substring_hits(copies, [text], "_x", named.where(~F.col("term").rlike("[a-z]")))
-        return latin.select(text, "category").unionByName(other.select(text, "category")).distinct()
+    def find(texts: DataFrame, key: str, text: str) -> DataFrame:
+        latin = ngram_hits(texts, [key], text, named.where(F.col("term").rlike("[a-z]")), lambda c: F.split(col(c), " "))
+        other = substring_hits(texts, [key], text, named.where(~F.col("term").rlike("[a-z]")))
+        return latin.select(key, "category").unionByName(other.select(key, "category")).distinct()
 
     return find
 
@@ -174,7 +183,7 @@ def _report(df: DataFrame, key: str, verdict: Verdict) -> DataFrame:
 
 def _with_desc(df: DataFrame, desc: str, rules: DataFrame) -> DataFrame:
     """Add the categories of the description, none when there are too many, and the new ranking."""
-    found = with_lists(df, {"desc_matches": desc}, "stem", lambda texts, text: multi_label(texts, text, rules))
+    found = with_lists(df, {"desc_matches": desc}, "stem", lambda texts, key, text: label_ids(texts, key, text, rules))
     kept = F.when(F.size("desc_matches") > DESC_LABEL_LIMIT, F.array().cast(_NONE)).otherwise(F.col("desc_matches"))
     return found.withColumn("desc_matches", kept).withColumn(
         "ranked", ranked_scores(F.col("title_matches"), F.col("category_matches"), F.col("desc_matches")))
@@ -202,7 +211,7 @@ def mismatch_scan(df: DataFrame, key: str, aliases: DataFrame, rules: DataFrame
     if rules is None:
         raise ValueError("the heavy scan needs keyword rules")
     heavy = cut_lineage(open_rows.where(first.heavy_candidate()).drop("ranked"))
-    primary = with_lists(heavy, columns, "stem", lambda texts, text: multi_label(texts, text, rules)).withColumn("ranked", by_alias)
+    primary = with_lists(heavy, columns, "stem", lambda texts, key, text: label_ids(texts, key, text, rules)).withColumn("ranked", by_alias)
     candidates = cut_lineage(primary.where(~first.fast_pass() & first.refine_candidate()).drop("ranked"))
     return _report(_with_desc(candidates, desc, rules).where(first.confident_mismatch()), key, first)
 

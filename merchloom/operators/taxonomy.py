@@ -43,20 +43,18 @@ def content_words(value: ColumnLike) -> F.Column:
 def word_overlap(df: DataFrame, title: str, nodes: DataFrame, anti: bool = False) -> DataFrame:
     """Rows whose title is a node or shares a content word with one (``anti``: the others).
 
-    Both tests are equi-joins on distinct titles: first title to name or word, then rows to titles.
+    Both tests are equi-joins on distinct titles: first title to name or word, then rows to titles. Words
+    travel with a hash of their title.
     """
+    title_id = F.unhex(F.sha2(F.lower(strip(title)), 256))
     names = nodes.select(F.lower(strip("node")).alias("key")).distinct()
     words = names.select(F.explode(content_words("key")).alias("key")).distinct()
-    titles = df.select(F.lower(strip(title)).alias("_title")).distinct()
-    keys = titles.select("_title", F.explode(content_words("_title")).alias("key"))
+    keys = df.select(title_id.alias("_title"), F.explode(content_words(F.lower(strip(title)))).alias("key")).distinct()
     matched = (
-        titles.join(names, titles["_title"] == names["key"], "left_semi").select("_title")
+        names.select(F.unhex(F.sha2("key", 256)).alias("_title"))
         .union(keys.join(words, "key", "left_semi").select("_title")).distinct()
     )
-    return (
-        df.withColumn("_title", F.lower(strip(title)))
-        .join(matched, "_title", "left_anti" if anti else "left_semi").drop("_title")
-    )
+    return df.withColumn("_title", title_id).join(matched, "_title", "left_anti" if anti else "left_semi").drop("_title")
 
 
 def flatten_taxonomy(lines: DataFrame) -> DataFrame:

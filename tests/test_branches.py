@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import subprocess
 import sys
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from merchloom.functions import text as T
-from merchloom.operators import category_merge, keyed, multilabel, pages, semantic, taxonomy
+from merchloom.operators import category_merge, keyed, lexicon, multilabel, pages, semantic, taxonomy
 from merchloom.plans import export
 from merchloom.session import drop_scratch, scratch_path
 from merchloom.sources import readers
@@ -166,3 +167,55 @@ print("rows", rows)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 500" in done.stdout, done.stderr[-2000:]
+
+
+def naive_hits(text, terms, safe):
+    """Terms in order of first occurrence, as whole words."""
+    import re
+    raw = (text or "").lower().replace("-", " ")
+    words = " " + re.sub("[^a-z0-9 ]+", " \x01 ", raw) + " "
+    found = []
+    for term in {t.lower().replace("-", " ").strip() for t in terms}:
+        cjk = any("一" <= ch <= "鿿" for ch in term)
+        at = raw.find(term) + 1 if cjk else words.find(f" {lexicon._plain_words(term)} ") + 1
+        if at and not any(p in raw for p in safe.get(term, ())):
+            found.append((at, term))
+    return [t for _, t in sorted(found)]
+
+
+def test_lexicon_hits_equal_a_plain_search(spark):
+    draw = random.Random(4)
+    vocab = ["gun", "stun", "glue", "knife", "刀", "a", "b-c", "b", "c", "x.y", ""]
+    terms = ("gun", "stun gun", "b-c", "b c a", "knife", "刀", "x.y", "a  b", "GUN")
+    safe = {"gun": ("glue gun",)}
+    texts = [None, "", *["".join(draw.choice(vocab) + draw.choice([" ", " ", " ", "-", ", ", "  "]) for _ in range(draw.randint(1, 14))) for _ in range(300)], "gun " * 20_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", lexicon.Lexicon(terms=terms, safe=safe).hits("t").alias("h")).collect()
+    assert {r.id: r.h for r in rows} == {i: naive_hits(t, terms, safe) for i, t in enumerate(texts)}
+
+
+def test_a_long_term_list_keeps_the_plan_short(spark):
+    frame = spark.createDataFrame([("the t7 sits here",)], "t string")
+    sizes = []
+    for n in (12, 300):
+        found = frame.select(lexicon.Lexicon(terms=tuple(f"t{i}" for i in range(n))).hits("t").alias("h"))
+        assert found.first()["h"] == ["t7"]
+        sizes.append(found._jdf.queryExecution().optimizedPlan().toString().count("lambda"))
+    assert sizes[0] == sizes[1]
+
+
+def test_substrings_of_all_lengths_equal_brute_force(spark):
+    draw = random.Random(9)
+    texts = {i: "".join(draw.choice("abc ") for _ in range(draw.choice([0, 3, 40, 600]))) for i in range(60)}
+    terms = {"".join(draw.choice("abc ") for _ in range(n)) for n in (1, 2, 2, 3, 4, 5, 8)} | {texts[i][5:5 + n] for i, n in ((3, 20), (4, 70), (5, 200), (6, 500), (7, 1))}
+    terms.discard("")
+    got = lexicon.substring_hits(spark.createDataFrame(list(texts.items()), "id int, x string"), ["id"], "x", spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert sorted((r.id, r.term) for r in got.collect()) == sorted((i, t) for i, x in texts.items() for t in terms if t in x)
+
+
+def test_words_do_not_carry_their_text(spark):
+    texts = spark.createDataFrame([("red shoes " * 20_000,), ("blue hat",)], "x string")
+    rules = spark.createDataFrame([("A", "shoe"), ("B", "hat")], "category string, keyword string")
+    hits = multilabel.label_ids(texts.select(multilabel.text_id("x").alias("id"), "x"), "id", "x", rules)
+    exchanged = [line for line in hits._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert exchanged and not any("_x#" in line for line in exchanged)
+    assert sorted(r.category for r in multilabel.multi_label(texts, "x", rules).collect()) == ["A", "B"]
