@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+import shutil
 import subprocess
 import sys
 
@@ -219,3 +220,16 @@ def test_words_do_not_carry_their_text(spark):
     exchanged = [line for line in hits._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
     assert exchanged and not any("_x#" in line for line in exchanged)
     assert sorted(r.category for r in multilabel.multi_label(texts, "x", rules).collect()) == ["A", "B"]
+
+
+def test_all_else_works_without_the_optional_part(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("__spark_entry__.py", "suite", "merchloom"):
+        target = tmp_path / name
+        if name.endswith(".py"):
+            shutil.copy(os.path.join(root, name), target)
+        else:
+            shutil.copytree(os.path.join(root, name), target, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q) > 200, any(k.startswith('op') and k[2].isdigit() for k in q), set(e.oracle_sql()) <= set(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["True", "False", "True"], done.stderr[-2000:]
