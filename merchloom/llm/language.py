@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from merchloom.llm.arrow import code_points, pieces
 from merchloom.operators.ranking import top_per_group
+from merchloom.session import cut_lineage
 
 BUCKETS = 4096
 CENTROIDS = 4
@@ -128,12 +129,15 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         per_language: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """Learn from the rows for which ``usable`` holds and whose language is known.
 
-    At most ``per_language`` texts of a language meet in one task, and ``k * BUCKETS`` numbers per
+    The ids of the sample, ``per_language * MAX_LANGUAGES`` at most, are sent to every task, so only sampled
+    texts are moved. At most ``per_language`` texts of a language meet in one task, and ``k * BUCKETS`` numbers per
     language reach the driver; more than ``MAX_LANGUAGES`` languages are refused.
     """
-    chosen = sampled_ids(docs, usable, id_col, lang_col, per_language)
+    chosen = cut_lineage(sampled_ids(docs, usable, id_col, lang_col, per_language))
+    if chosen.count() > per_language * MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: is {lang_col} a language column?")
     texts = docs.where(usable & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(chosen, ["id", "lang"], "left_semi")
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, found in pieces(batches, "text"):
