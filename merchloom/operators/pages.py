@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchloom.functions import html as H
@@ -28,12 +28,48 @@ def nav_links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return kept.withColumn("handle", F.coalesce(collection_handle("url"), F.lit("")))
 
 
+def nav_tree(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """Two-level menu of each page: (key, level1, level2, url, handle) from the nesting of its lists.
+
+    Menus are the ``nav`` elements and, on a page without any, lists whose class names a navigation or menu;
+    the first one with rows counts. An entry of the outer list with a list of its own gives its links as
+    level two; one without gives itself if it leads to a collection. Tags are numbered in their page
+    and nesting is a running sum over them, so a window holds one menu.
+    """
+    base = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+    navs = H.elements(html, "nav")
+    lists = F.regexp_extract_all(col(html), F.lit(r"""(?is)(<ul\b[^>]*class\s*=\s*["'][^"']*(?:nav|menu)[^"']*["'].*)"""), 1)
+    menus = pages.select(key, base.alias("_base"), F.posexplode(F.when(F.size(navs) > 0, navs).otherwise(lists)).alias("_menu", "_body"))
+    tags = F.regexp_extract_all("_body", F.lit(r"(?is)(<ul\b[^>]*>|</ul\s*>|<ol\b[^>]*>|</ol\s*>|<li\b|<a\s[^>]*>.*?</a\s*>)"), 1)
+    rows = menus.select(key, "_base", "_menu", F.posexplode(tags).alias("_at", "_tag"))
+    running = Window.partitionBy(key, "_menu").orderBy("_at")
+    step = F.when(F.lower("_tag").rlike("^<[uo]l"), 1).when(F.startswith("_tag", F.lit("</")), -1).otherwise(0)
+    nested = rows.withColumn("_depth", F.sum(step).over(running))
+    # a list that is closed for good ends the menu
+    opened = F.min(F.when((F.col("_depth") <= 0) & (step < 0), F.col("_at"))).over(Window.partitionBy(key, "_menu"))
+    entries = nested.withColumn("_end", opened).where("_end IS NULL OR _at <= _end").withColumn(
+        "_entry", F.sum(F.when(F.lower("_tag").startswith("<li") & (F.col("_depth") == 1), 1).otherwise(0)).over(running)).where("_entry > 0")
+    inner = Window.partitionBy(key, "_menu", "_entry")
+    links = entries.withColumn("_parent", F.max(F.when(F.col("_depth") > 1, True)).over(inner)).where(F.lower("_tag").startswith("<a")).select(
+        key, "_base", "_menu", "_entry", "_at", "_depth", "_parent", H.attribute("_tag", "href").alias("_href"), strip(H.inner_text("_tag")).alias("_title"))
+    first = F.min(F.struct("_at", "_title", "_href")).over(inner)
+    full = F.when(F.col("_href").rlike("^https?://"), F.col("_href")).when(
+        F.startswith("_href", F.lit("/")), F.concat("_base", "_href")).otherwise(F.concat("_base", F.lit("/"), "_href"))
+    named = links.withColumn("_first", first).select("*", F.col("_first._title").alias("level1"), full.alias("url")).where(
+        ~H.is_garbage_title("level1") & ~F.col("_first._href").rlike("^(#|javascript:|mailto:|tel:)") & (F.col("_first._href") != ""))
+    child = F.coalesce("_parent", F.lit(False)) & (F.col("_depth") > 1) & (F.col("_title") != "") & (F.col("_href") != "") & (F.col("_href") != "#")
+    alone = F.col("_parent").isNull() & (F.col("_at") == F.col("_first._at"))
+    found = named.withColumn("handle", F.coalesce(collection_handle("url"), F.lit(""))).where(child | (alone & (F.col("handle") != "")))
+    best = found.withColumn("_best", F.min("_menu").over(Window.partitionBy(key))).where("_menu = _best")
+    return best.select(key, "level1", F.when(child, F.col("_title")).otherwise(F.col("level1")).alias("level2"), "url", "handle")
+
+
 def order_rows(pages: DataFrame, html: str) -> DataFrame:
     """Order table rows of each page; rows without an order id are dropped."""
     rows = F.regexp_extract_all(col(html), F.lit(r"(?s)(<tr[^>]*>.*?</tr>)"), 1)
     return (
         pages.select(*[c for c in pages.columns if c != html], F.explode(rows).alias("_row"))
-        .select("*", H.order_row("_row").alias("_o")).drop("_row").select("*", "_o.*").drop("_o")
+        .select("*", H.order_row("_row", tuple(ORDER_STATUS_LABELS)).alias("_o")).drop("_row").select("*", "_o.*").drop("_o")
         .where("order_id IS NOT NULL")
     )
 
@@ -61,6 +97,13 @@ def status_counts(html: ColumnLike) -> Column:
     return F.map_from_entries(F.filter(F.array(*[last(name) for name in known]), lambda e: e["value"].isNotNull()))
 
 
+def filtered_total(html: ColumnLike, status: str) -> Column:
+    """Number of orders of a status: what the page shows, else its counter, else its rows of that status."""
+    rows = F.transform(H.elements(html, "tr"), lambda row: H.order_row(row, tuple(ORDER_STATUS_LABELS)))
+    own = F.filter(rows, lambda r: r["order_id"].isNotNull() & (status_key(r["order_status"]) == status))
+    return F.coalesce(visible_count(html), F.try_element_at(status_counts(html), F.lit(status)), F.size(own).cast("bigint"))
+
+
 def visible_count(html: ColumnLike) -> Column:
     """The number of rows that the page says it shows; NULL when it does not."""
     shown = F.regexp_extract(col(html), r"""(?is)<[^>]*class=["'][^"']*\bdisplaying-num\b[^>]*>(.*?)</""", 1)

@@ -34,6 +34,26 @@ def _(t):
     return P.nav_links(t.pages, "page_id", "url", "html").select("page_id", "title", "url")
 
 
+_MENU = """
+SELECT p_partkey, concat('https://shop', p_partkey, '.example/x?y') AS url, concat('<header>', CASE WHEN p_partkey % 3 = 0 THEN '<nav><a href="/one">lone</a></nav>' ELSE '' END,
+  CASE WHEN p_partkey % 2 = 0 THEN '<nav class="main">' ELSE '' END, '<ul class="site-menu">',
+  '<li><a href="/collections/', p_type, '">', p_type, '</a></li>',
+  '<li><a href="#">skipped</a></li><li><a href="/pages/p">no collection</a></li><li><a href="/collections/new">New in</a></li>',
+  '<li class="x"><a href="/c"><b>My ', p_name, '</b> &amp; more</a><ul><li><a href="/collections/k', p_partkey, '/z">First</a><ul><li><a href="https://other.example/q">Deep</a></li></ul></li><li><a href="#">none</a></li></ul></li></ul>',
+  CASE WHEN p_partkey % 2 = 0 THEN '</nav>' ELSE '' END, '</header><ul class="menu-2"><li><a href="/collections/late">late</a></li></ul>') AS html FROM {part}
+"""
+
+
+@query("nav_tree", """
+WITH m AS (SELECT * FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0)
+SELECT p_partkey, p_type AS level1, p_type AS level2, 'https://shop' || p_partkey || '.example/collections/' || p_type AS url, p_type AS handle FROM m
+UNION ALL SELECT p_partkey, 'My ' || p_name || ' & more', 'First', 'https://shop' || p_partkey || '.example/collections/k' || p_partkey || '/z', 'k' || p_partkey FROM m
+UNION ALL SELECT p_partkey, 'My ' || p_name || ' & more', 'Deep', 'https://other.example/q', '' FROM m
+""")
+def _(t):
+    return P.nav_tree(t.sql(_MENU), "p_partkey", "url", "html")
+
+
 @query("nav_levels", r"""
 SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN p_name ELSE p_brand || ' x' END AS level1,
        CASE p_partkey % 3 WHEN 0 THEN p_name || ' | more' WHEN 1 THEN p_brand ELSE p_brand || ' x' END AS level2
@@ -76,6 +96,24 @@ def _(t):
     return P.order_rows(t.sql(_ORDER_PAGE), "html").select("order_id", "order_time", "order_status", "order_amount")
 
 
+_CELL_PAGE = """
+SELECT o_orderkey, concat('<table><tr><th>Order</th><th>order total 12345</th></tr>',
+  "<tr class='iedit status-wc-on-hold'><td class=order_number><a href='/wp-admin/post.php?post=", o_orderkey * 3, "&amp;action=edit'>#77 A B</a></td><td class='column-order_date'><time title=x datetime='",
+  date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss"), "+02:00'>soon</time></td><td class='order-total'>$9.99 <b>", format_number(o_totalprice, 2), "</b></td></tr>",
+  '<tr><td>a</td><td>Refunded #', 1000 + o_orderkey, '</td><td class="order_date">2024-05-06 07:08</td></tr></table>') AS html FROM {orders_spread}
+"""
+
+
+@query("parse_order_cells", """
+SELECT o_orderkey * 3 AS order_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS order_time, 'on-hold' AS order_status, o_totalprice AS order_amount, 1 AS on_hold FROM orders
+UNION ALL SELECT 1000 + o_orderkey, '2024-05-06 07:08', 'refunded', 0.0, 1 FROM orders
+""")
+def _(t):
+    pages = t.sql(_CELL_PAGE)
+    pages = pages.withColumn("on_hold", P.filtered_total("html", "on-hold"))
+    return P.order_rows(pages, "html").select("order_id", "order_time", "order_status", "order_amount", "on_hold")
+
+
 @query("status_counts_from_html", """
 SELECT o_orderkey, o_orderkey + 3 AS n_all, o_orderkey % 11 AS n_pending, o_orderkey % 7 AS n_completed, 3 AS n_keys,
        CASE o_orderkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'on-hold' ELSE 'completed' END AS row_status, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 3 END AS shown FROM orders
