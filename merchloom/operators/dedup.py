@@ -55,6 +55,20 @@ def title_groups(df: DataFrame, title: str) -> DataFrame:
     return groups.where("title <> '' AND rows > 1").withColumn("deletable", F.col("rows") - 1)
 
 
+def title_summary(df: DataFrame, title: str) -> DataFrame:
+    """One row: repeated titles, rows that could go, rows without a title (they stay), rows that would remain."""
+    groups = df.groupBy(text_or_empty(title).alias("title")).agg(F.count(F.lit(1)).alias("n"))
+    named = F.col("title") != ""
+    return groups.agg(
+        F.count_if(named & (F.col("n") > 1)).alias("groups"), F.coalesce(F.sum(F.when(named, F.col("n") - 1)), F.lit(0)).alias("deletable"),
+        F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0)).alias("blank"), F.coalesce(F.sum(F.when(named, 1).otherwise(F.col("n"))), F.lit(0)).alias("remaining"))
+
+
+def title_examples(df: DataFrame, title: str, n: int = 15) -> DataFrame:
+    """The most repeated titles."""
+    return title_groups(df, title).select("title", "rows").orderBy(F.desc("rows"), "title").limit(n)
+
+
 def image_frequency(df: DataFrame, images: str) -> DataFrame:
     """Occurrences of every non-blank image over all lists; counted before the shuffle as well."""
     return (

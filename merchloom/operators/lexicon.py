@@ -201,7 +201,7 @@ def substring_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFr
         own = [n for n in lengths if n >= low and (high is None or n < high)]
         if own:
             inside = (F.length("term") >= low) & (F.length("term") <= max(own))
-            parts.append(_window_hits(texts, keys, column, terms.where(inside), on, min(MAX_GRAM, min(own)), max(own)))
+            parts.append(_window_hits(texts, keys, column, terms.where(inside), on, LONG_GRAM if low >= LONG_GRAM else min(MAX_GRAM, min(own)), max(own)))
     if not parts:
         return _no_hits(texts, keys, terms, on)
     found = parts[0]
@@ -211,10 +211,18 @@ def substring_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFr
 
 
 # the first lengths of the classes; all lengths of one class share a gram and a window
-LENGTH_CLASSES = (1, 2, 4, 16, 64, 256, 1024)
+LENGTH_CLASSES = (1, 2, 4, 16)
+LONG_GRAM = 16
 
 
 def _window_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame, on: Sequence[str], gram: int, longest: int) -> DataFrame:
+    if gram == LONG_GRAM:
+        # a long gram is rare: texts come back for the few pairs that share one, no window is cut
+        grams = F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(rf"(?s)(?=(.{{{gram}}}))"), 1))
+        left = texts.select(*keys, F.explode(grams).alias("_gram"))
+        pairs = left.join(terms.withColumn("_gram", F.substring("term", 1, gram)), ["_gram", *on]).drop("_gram").distinct()
+        back = texts.select(*keys, F.col(column).alias("_text"))
+        return pairs.join(back, keys).where(F.contains("_text", F.col("term"))).drop("_text").distinct()
     windows = F.regexp_extract_all(F.col(column), F.lit(rf"(?s)(?=(.{{{gram},{longest}}}))"), 1)
     left = texts.select(*keys, F.explode(F.array_distinct(windows)).alias("_window"))
     left = left.withColumn("_gram", F.substring("_window", 1, gram))

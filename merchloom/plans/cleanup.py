@@ -33,8 +33,9 @@ def core_verdicts(df: DataFrame, key: str, nodes: DataFrame, prohibited: tuple[s
     """Cleaned, title-distinct rows with the first rule they fail, '' for those to keep."""
     processed = process_all(df, key, nodes, image_limit)
     distinct = dedup.by_title_first(processed, "title", [key])
+    tags = [F.array_join("tags", " ")] if "tags" in df.columns else []
     ruled = rules.RuleSet.core().add_rule(
-        "prohibited", lambda d: ~rules.contains_any(prohibited, d["title"], d["description"]))
+        "prohibited", lambda d: ~rules.contains_any(prohibited, d["title"], d["description"], *tags))
     return ruled.verdict(distinct, "verdict")
 
 

@@ -17,7 +17,7 @@ def _(t):
     return U.by_title_first(t.v_product.select("product_id", "title"), "title", ["product_id"])
 
 
-_LINES = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '  ' ELSE split_part(text, chr(10), 1) END AS title FROM {documents}"
+_LINES = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '  ' ELSE text END AS title FROM {documents}"
 
 
 @query("dedup_keep_min_id", f"""
@@ -72,6 +72,20 @@ def _(t):
     return U.title_groups(t.v_product, "title")
 
 
+@query("duplicate_title_summary", f"""
+WITH g AS (SELECT coalesce({S('title')}, '') AS title, count(*) AS n FROM v_product GROUP BY 1)
+SELECT count(*) FILTER (title <> '' AND n > 1) AS groups, CAST(coalesce(sum(n - 1) FILTER (title <> ''), 0) AS BIGINT) AS deletable,
+       CAST(coalesce(sum(n) FILTER (title = ''), 0) AS BIGINT) AS blank, CAST(coalesce(sum(CASE WHEN title = '' THEN n ELSE 1 END), 0) AS BIGINT) AS remaining FROM g
+""")
+def _(t):
+    return U.title_summary(t.v_product, "title")
+
+
+@query("duplicate_title_examples", f"SELECT {S('title')} AS title, count(*) AS rows FROM v_product WHERE {S('title')} <> '' GROUP BY 1 HAVING count(*) > 1 ORDER BY rows DESC, title LIMIT 15")
+def _(t):
+    return U.title_examples(t.v_product, "title")
+
+
 @query("repeated_page_stop", """
 WITH s AS (SELECT conv_id, turn, CASE WHEN turn >= 2 + conv_id % 3 THEN 'same' ELSE text END AS sig FROM conversations),
      l AS (SELECT *, coalesce(sig = lag(sig) OVER (PARTITION BY conv_id ORDER BY turn) AND sig <> '', false) AS same FROM s),

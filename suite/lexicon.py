@@ -80,8 +80,9 @@ def _(t):
     return exploded.select("product_id", "field", F.array_join("_h", ",").alias("keywords"))
 
 
-_TERM_SQL = "SELECT DISTINCT regexp_extract(lower(text), '([a-z]+ [a-z]+ [a-z]+)', 1) AS term FROM {benchmark} WHERE regexp_extract(lower(text), '([a-z]+ [a-z]+ [a-z]+)', 1) <> ''"
-_TERMS = "k AS (" + _TERM_SQL.replace("{benchmark}", "benchmark") + " UNION SELECT 'orre' UNION SELECT 'rewh rewh')"
+# every run of three words or more between other signs, of whole passages
+_RUNS = r"regexp_extract_all(lower(text), '([a-z]+(?: [a-z]+){2,})', 1)"
+_TERMS = f"k AS (SELECT DISTINCT unnest({_RUNS}) AS term FROM benchmark UNION SELECT 'orre' UNION SELECT 'rewh rewh')"
 
 
 @query("phrase_contains", f"""
@@ -89,17 +90,18 @@ WITH {_TERMS}
 SELECT doc_id, term FROM documents, k WHERE regexp_matches(replace(lower(text), '-', ' '), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)')
 """)
 def _(t):
-    terms = t.sql(_TERM_SQL + " UNION SELECT 'orre' UNION SELECT 'rewh rewh'")
+    runs = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+(?: [a-z]+){2,})"), 1)).alias("term"))
+    terms = runs.union(t.spark.sql("SELECT 'orre' UNION SELECT 'rewh rewh'")).distinct()
     return L.ngram_hits(t.documents, ["doc_id"], "text", terms)
 
 
 @query("phrase_contains_compact", """
-WITH k AS (SELECT DISTINCT regexp_replace(lower(substring(text, 1, 14)), '[^a-z0-9]+', '', 'g') AS term FROM benchmark WHERE length(regexp_replace(lower(substring(text, 1, 14)), '[^a-z0-9]+', '', 'g')) >= 4)
+WITH k AS (SELECT DISTINCT regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS term FROM benchmark WHERE length(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) >= 4)
 SELECT doc_id, term FROM documents, k WHERE contains(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), term)
 """)
 def _(t):
     from merchloom.functions.text import normalize_text
-    terms = t.benchmark.select(normalize_text(F.substring("text", 1, 14), "compact").alias("term")).where("length(term) >= 4").distinct()
+    terms = t.benchmark.select(normalize_text("text", "compact").alias("term")).where("length(term) >= 4").distinct()
     return L.substring_hits(t.documents.select("doc_id", normalize_text("text", "compact").alias("x")), ["doc_id"], "x", terms)
 
 

@@ -46,7 +46,7 @@ def fuzzy_sql(name: str, src: str) -> str:
 
 _PAIRS = """SELECT a.p_partkey AS id, a.p_name || ' ' || lower(a.p_type) AS target, CASE a.p_partkey % 5 WHEN 0 THEN lower(a.p_type) || ' ' || a.p_name WHEN 1 THEN b.p_name || ' ' || a.p_name
             WHEN 2 THEN 'a ' || substring(a.p_name, 2) || ' ' || lower(b.p_type) || ' box' WHEN 3 THEN '' ELSE b.p_name END AS source
-            FROM {part_spread} a JOIN {part} b ON b.p_partkey = (a.p_partkey * 7 + 3) % 200"""
+            FROM (SELECT *, (p_partkey * 7 + 3) % (SELECT count(*) FROM {part}) AS other FROM {part_spread}) a JOIN {part} b ON b.p_partkey = a.other"""
 _PAIRS_D = _PAIRS.replace("{part_spread}", "part").replace("{part}", "part")
 
 

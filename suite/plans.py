@@ -30,12 +30,13 @@ pro AS (SELECT product_id, replace({S('title')}, chr(10), ' ') AS title, substri
 ded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower({S('title')}) ORDER BY product_id) AS rn FROM pro WHERE {S('title')} <> '') WHERE rn = 1),
 ver AS (SELECT *, CASE WHEN NOT coalesce(discount_price BETWEEN 3 AND 6000, false) THEN 'price_range' WHEN length({S('title')}) < 5 THEN 'title_length'
    WHEN coalesce(image, '') LIKE '%coming-soon%' THEN 'image_valid' WHEN {duck.non_english("(title || ' ' || description)")} THEN 'is_english'
-   WHEN {' OR '.join(f"contains(lower(title || ' ' || description), '{k}')" for k in _PROHIBITED)} THEN 'prohibited' ELSE '' END AS verdict FROM ded)
+   WHEN {' OR '.join(f"contains(lower(title || ' ' || description), '{k}')" for k in _PROHIBITED)} OR product_id % 10 = 3 THEN 'prohibited' ELSE '' END AS verdict FROM ded)
 """
 
 
 def _catalog(t):
-    return t.v_product.withColumn("price", F.col("discount_price")).withColumn("images", F.array_compact(F.array("image")))
+    return t.v_product.withColumn("price", F.col("discount_price")).withColumn("images", F.array_compact(F.array("image"))).withColumn(
+        "tags", F.when(F.col("product_id") % 10 == 3, F.array(F.lit(" "), F.lit(" Not Worthless "))))
 
 
 @query("process_all", f"WITH {_PROCESSED} SELECT product_id, title, description, category FROM pro")

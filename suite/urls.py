@@ -58,16 +58,17 @@ def _(t):
 
 
 @query("parse_domain_list", r"""
-WITH l AS (SELECT c.conv_id, c.turn, p.url AS a, q.url AS b FROM conversations c
-           JOIN pages p ON p.page_id = c.conv_id % 97 JOIN pages q ON q.page_id = (c.conv_id + c.turn) % 89),
+WITH l AS (SELECT c.conv_id, c.turn, p.url AS a, q.url AS b FROM (SELECT *, conv_id % (SELECT count(*) FROM pages) AS one, (conv_id + turn) % (SELECT count(*) FROM pages) AS two FROM conversations) c
+           JOIN pages p ON p.page_id = c.one JOIN pages q ON q.page_id = c.two),
  d AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(lower(a), 'https?://', ''), '/'), '^www\.', '') AS a,
               regexp_replace(trim(regexp_replace(lower(b), 'https?://', ''), '/'), '^www\.', '') AS b FROM l)
 SELECT conv_id, turn, CASE WHEN a = b THEN a ELSE a || '|' || b END AS domains FROM d
 """)
 def _(t):
     lists = t.sql("""
-        SELECT c.conv_id, c.turn, concat(' ', p.url, ' , ', q.url, '；', upper(p.url), ' ') AS raw FROM {conversations} c
-        JOIN {pages} p ON p.page_id = c.conv_id % 97 JOIN {pages} q ON q.page_id = (c.conv_id + c.turn) % 89""")
+        SELECT c.conv_id, c.turn, concat(' ', p.url, ' , ', q.url, '；', upper(p.url), ' ') AS raw
+        FROM (SELECT *, conv_id % (SELECT count(*) FROM {pages}) AS one, (conv_id + turn) % (SELECT count(*) FROM {pages}) AS two FROM {conversations}) c
+        JOIN {pages} p ON p.page_id = c.one JOIN {pages} q ON q.page_id = c.two""")
     return lists.select("conv_id", "turn", F.array_join(U.parse_domain_list("raw"), "|").alias("domains"))
 
 
@@ -143,12 +144,12 @@ def _(t):
 @query("same_site_family", rf"""
 WITH p AS (SELECT a.page_id, {_HOST.replace('raw', 'a.url')} AS src, {_HOST.replace('raw', 'b.url')} AS dst,
                   a.page_id % 4 = 0 AS checked, split_part(regexp_replace(regexp_replace(b.url, '^[^:]*://[^/]*', ''), '[?#].*$', ''), '#', 1) AS dst_path
-           FROM pages a JOIN pages b ON b.page_id = (a.page_id * 7 + 3) % 50)
+           FROM (SELECT *, (page_id * 7 + 3) % (SELECT count(*) FROM pages) AS other FROM pages) a JOIN pages b ON b.page_id = a.other)
 SELECT page_id, CASE WHEN array_to_string(string_split(src, '.')[-2:], '.') <> array_to_string(string_split(dst, '.')[-2:], '.') THEN 'FINAL_HOST_CROSS_DOMAIN'
                      WHEN checked AND coalesce(nullif(rtrim(dst_path, '/'), ''), '/') <> '/en' THEN 'FINAL_PATH_CHANGED' ELSE 'OK' END AS verdict FROM p
 """)
 def _(t):
     from merchloom.operators.sites import redirect_verdict
     pairs = t.sql("""SELECT a.page_id, a.url AS src, b.url AS final_url, CASE WHEN a.page_id % 4 = 0 THEN '/en/' END AS check_path
-                     FROM {pages} a JOIN {pages} b ON b.page_id = (a.page_id * 7 + 3) % 50""")
+                     FROM (SELECT *, (page_id * 7 + 3) % (SELECT count(*) FROM {pages}) AS other FROM {pages}) a JOIN {pages} b ON b.page_id = a.other""")
     return pairs.select("page_id", redirect_verdict(U.url_netloc("src"), "final_url", "check_path").alias("verdict"))
