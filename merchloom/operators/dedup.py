@@ -13,7 +13,6 @@ from merchloom.operators.ranking import first_per_key, numbered
 from merchloom.session import cut_lineage
 
 BULK_IMAGE_LIMIT = 20
-MAX_LISTED_IMAGES = 10_000
 
 
 def by_title_first(df: DataFrame, title: str, order: Sequence[str]) -> DataFrame:
@@ -80,14 +79,10 @@ def image_frequency(df: DataFrame, images: str) -> DataFrame:
 def remove_bulk_images(df: DataFrame, key: str, images: str, limit: int = BULK_IMAGE_LIMIT) -> DataFrame:
     """Drop every row with an image used more than ``limit`` times.
 
-    A hot image may be on a large share of the rows, but there are few hot images. While they are
-    few, rows are tested in place and nothing wide is shuffled; else the rows are left out by key, by way
-    of narrow (key, image) pairs.
+    Images and keys meet in narrow pairs, pre-aggregated before the shuffle; the rows are then left out by
+    key, and Spark broadcasts the keys when they are few.
     """
     heavy = image_frequency(df, images).where(F.col("uses") > limit).select("image")
-    few = [r[0] for r in heavy.limit(MAX_LISTED_IMAGES + 1).collect()]
-    if len(few) <= MAX_LISTED_IMAGES:
-        return df.where(~F.coalesce(F.exists(images, lambda i: i.isin(few)), F.lit(False))) if few else df
     pairs = df.select(key, F.explode(images).alias("image")).where("image <> ''")
     bad = pairs.join(heavy, "image", "left_semi").select(key).distinct()
     return df.join(bad, key, "left_anti")

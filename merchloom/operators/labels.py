@@ -19,16 +19,6 @@ CATALOG_MIN = 75.0
 Label = tuple[str, str]
 
 
-def parse_labels(text: str) -> list[Label]:
-    """``primary|||secondary`` lines; lines without both parts are left out."""
-    labels = []
-    for line in text.splitlines():
-        first, sep, second = line.partition("|||")
-        if sep and first.strip() and second.strip():
-            labels.append((first.strip(), second.strip()))
-    return labels
-
-
 def with_first_label(df: DataFrame, names: Sequence[str], category: Column, title: Column) -> DataFrame:
     """Rows taken by a label, with ``label_no`` and ``score`` of the first label in the given order that scores.
 

@@ -142,8 +142,3 @@ def discover(results: DataFrame, existing: DataFrame, min_products: int, url: st
     known = F.col("platform").isin("Shopify", "WooCommerce", "Magento", "BigCommerce")
     return fresh.where(known & (F.col("product_count") >= min_products)).select(
         "domain", "clean_url", "platform", "product_count", text_or_empty("category").alias("category"), F.lit("unfiltered").alias("stage"))
-
-
-def reason_column(df: DataFrame, verdict: Column) -> DataFrame:
-    """Rejected rows with their reason, for the metrics output of a job."""
-    return df.withColumn("reason", verdict).where("reason <> ''")

@@ -118,6 +118,12 @@ def _(t):
     return rows
 
 
+@query("paginate_total", "SELECT count(*) AS total FROM v_site WHERE domain LIKE '%supplier%'")
+def _(t):
+    total, _ = K.page(t.v_site.where(F.contains("domain", F.lit("supplier"))).select("id", "domain"), [F.col("domain").desc(), F.col("id")], 3, 15)
+    return total
+
+
 @query("paginate_deep", "SELECT order_id, domain FROM v_order ORDER BY order_time DESC, order_id LIMIT 4000 OFFSET 9000")
 def _(t):
     return K.first_rows(t.v_order, [F.col("order_time").desc(), F.col("order_id")], 4000, 9000).select("order_id", "domain")

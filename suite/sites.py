@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from merchloom.operators import dedup as U
+from merchloom.operators import keyed as Y
 from merchloom.operators import ranking as K
 from merchloom.operators import sites as S
 from merchloom.plans import reuse as P
@@ -142,6 +143,26 @@ def _(t):
     return S.refresh_status(sites, fetched, F.lit("NOW")).select("id", "report_id", "domain_status", "resolved_time", "build_status", "build_time")
 
 
+@query("reuse_insert_new", """
+SELECT url, category, CASE WHEN use_count % 2 = 0 THEN status ELSE 'new' END AS status, CASE WHEN use_count % 2 = 0 THEN use_count ELSE 0 END AS use_count FROM v_reuse
+""")
+def _(t):
+    pool = t.v_reuse.where("use_count % 2 = 0").withColumn("updated_at", F.col("last_used_at"))
+    tasks = t.v_reuse.select("category", "url").union(t.v_reuse.select("category", "url"))
+    return P.insert_new(pool, tasks, F.lit("2024-03-20 00:00:00").cast("timestamp_ntz")).select("url", "category", "status", "use_count")
+
+
+@query("sync_servers", """
+SELECT 'h' || s_suppkey || '.example' AS domain, CASE WHEN s_suppkey % 3 = 0 THEN 'old' ELSE '10.0.0.' || s_suppkey END AS ip, CASE WHEN s_suppkey % 2 = 0 THEN 'kept' END AS main_category,
+       CASE WHEN s_suppkey % 2 = 1 THEN 'new' WHEN s_suppkey % 3 = 0 THEN 'unchanged' ELSE 'updated' END AS change FROM supplier WHERE NOT (s_suppkey % 3 = 0 AND s_suppkey % 2 = 1)
+UNION ALL SELECT 'h' || s_suppkey || '.example', NULL, NULL, 'new' FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 1
+""")
+def _(t):
+    feed = t.sql("SELECT concat(' https://WWW.h', s_suppkey, '.example/') AS domain, IF(s_suppkey % 3 = 0, ' ', concat('10.0.0.', s_suppkey)) AS ip, CAST(NULL AS STRING) AS main_category FROM {supplier}")
+    stored = t.sql("SELECT concat('h', s_suppkey, '.example') AS domain, 'old' AS ip, 'kept' AS main_category FROM {supplier} WHERE s_suppkey % 2 = 0")
+    return Y.sync_servers(feed, stored, F.lit("now")).select("domain", "ip", "main_category", "change")
+
+
 @query("reuse_cycle", """
 WITH p AS (SELECT url, category, status, use_count, first_used_at, last_used_at FROM v_reuse),
      e AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY last_used_at, url) AS rn FROM p

@@ -167,6 +167,21 @@ def _(t):
     return R.clean_rates(plain).unionByName(R.rates_from_map(mapped, "m"))
 
 
+@query("scan_rate_list", "SELECT 'N' || n_nationkey AS code, n_nationkey * 0.5 + 1 AS rate FROM nation WHERE n_nationkey % 5 <> 4")
+def _(t):
+    rows = t.sql("SELECT concat(' n', n_nationkey) AS nation, IF(n_nationkey % 5 = 4, NULL, n_nationkey * CAST(0.5 AS DOUBLE) + 1) AS exchange_rate_usd FROM {nation}")
+    # one document with a list over several lines, as the table is stored; it has a row per currency
+    listed = rows.agg(F.replace(F.to_json(F.collect_list(F.struct("nation", "exchange_rate_usd"))), F.lit("},"), F.lit("},\n")).alias("value"))
+    path = scratch_path(t.spark, "rate-list")
+    listed.write.text(path)
+    return R.read_rates(t.spark, path)
+
+
+@query("unknown_currency", "SELECT product_id FROM v_product WHERE currency NOT IN ('USD', 'EUR', 'GBP')")
+def _(t):
+    return R.unknown_currency(t.v_product.select("product_id", "currency"), "currency", t.spark.sql(_RATES)).select("product_id")
+
+
 @query("scan_partitions", """
 SELECT event_id, event_type, value FROM events WHERE event_type = 'click'
 """)

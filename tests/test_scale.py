@@ -55,12 +55,10 @@ def test_deep_pages_equal_short_ones(spark, monkeypatch):
     assert sorted(short) == sorted(deep) == list(range(380, 400))
 
 
-def test_bulk_images_both_ways(spark, monkeypatch):
+def test_bulk_images(spark):
     rows = spark.range(300).select("id", F.array(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")), F.concat(F.lit("s"), F.col("id") % 20)).alias("images"))
-    listed = {r["id"] for r in dedup.remove_bulk_images(rows, "id", "images").collect()}
-    monkeypatch.setattr(dedup, "MAX_LISTED_IMAGES", 0)
-    joined = {r["id"] for r in dedup.remove_bulk_images(rows, "id", "images").collect()}
-    assert listed == joined == {i for i in range(300) if i % 3}
+    kept = {r["id"] for r in dedup.remove_bulk_images(rows, "id", "images").collect()}
+    assert kept == {i for i in range(300) if i % 3}
 
 
 def _words(rng, n, size):
