@@ -355,14 +355,25 @@ def _(t):
     return names.join(best, "name", "left").select("name", F.coalesce(F.trim(F.substring_index("line", ">", 1)), F.lit("other")).alias("top"))
 
 
-_PHRASES = "SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || 'x' ELSE substring(p_name, 1, 7) || 'q' END AS phrase FROM {part} WHERE p_size = 9"
+_PHRASES = "SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || 'x' ELSE replace(p_name, 'e', 'y') END AS phrase FROM {part} WHERE p_size = 9"
 
 
 @query("strong_phrase_match", f"""
-WITH k AS ({_PHRASES.replace('{part}', 'part')}), t AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' ' || lower(p_type) END AS title FROM part)
-SELECT title, bool_or((length(phrase) >= 3 AND contains(title, phrase)) OR (length(phrase) >= 5 AND {ratio_sql('title', 'phrase')} >= 88)) AS hit FROM t, k GROUP BY 1
+WITH k AS ({_PHRASES.replace('{part}', 'part')}), t AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN '!' ELSE ' ' || p_type END AS title FROM part),
+ m AS (SELECT title, trim(replace(lower(title), '!', ' ')) AS x FROM t), l AS (SELECT DISTINCT lower(phrase) AS phrase FROM k)
+SELECT title, bool_or((length(phrase) >= 3 AND contains(x, phrase)) OR (length(phrase) >= 5 AND {ratio_sql('x', 'phrase')} >= 88)) AS hit FROM m, l GROUP BY 1
 """)
 def _(t):
-    titles = t.sql("SELECT DISTINCT concat(p_name, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE concat(' ', lower(p_type)) END) AS title FROM {part}")
+    titles = t.sql("SELECT DISTINCT concat(p_name, CASE WHEN p_partkey % 2 = 0 THEN '!' ELSE concat(' ', p_type) END) AS title FROM {part}")
     hit = Z.strong_matches(titles, "title", t.sql(_PHRASES)).withColumn("hit", F.lit(True))
     return titles.join(hit, "title", "left").select("title", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+@query("domain_matches", r"""
+WITH d AS (SELECT DISTINCT url, regexp_replace(regexp_replace(split_part(split_part(regexp_replace(lower(url), '^https?://(www\.)?', ''), '/', 1), '?', 1),
+     '\.(com|net|org|co\.uk|shop|store|ca|au|us|io).*', ''), '[^\p{L}\p{N}_]', '', 'g') AS name FROM pages)
+SELECT url FROM d WHERE contains(name, 'blog') OR contains(name, 'tionsh')
+""")
+def _(t):
+    words = t.spark.sql("SELECT explode(array('Blog', 'tionshs', 'nowheres')) AS keyword")
+    return Z.domain_matches(t.pages, "url", words)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from merchloom.functions import text as T
-from merchloom.operators import category_merge, keyed, lexicon, multilabel, pages, semantic, taxonomy
+from merchloom.operators import category_merge, fuzzy, keyed, lexicon, multilabel, pages, semantic, taxonomy
 from merchloom.plans import export
 from merchloom.session import drop_scratch, scratch_path
 from merchloom.sources import readers
@@ -233,3 +233,29 @@ def test_all_else_works_without_the_optional_part(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q) > 200, any(k.startswith('op') and k[2].isdigit() for k in q), set(e.oracle_sql()) <= set(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.stdout.split() == ["True", "False", "True"], done.stderr[-2000:]
+
+
+def test_similar_pairs_by_signs_and_by_pairs_of_signs(spark):
+    draw = random.Random(12)
+    names = ["".join(draw.choice("abcd ") for _ in range(draw.randint(1, 14))) for _ in range(80)]
+    near = [n[:k] + draw.choice("abcdx") + n[k + 1:] for n in names for k in [draw.randrange(len(n))]] + [n + "a" for n in names[:30]]
+    left, right = (spark.createDataFrame([(n,) for n in set(x)], "t string") for x in (names, near))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for ratio in (0.6, 0.75, 0.8, 0.88, 0.95):
+        got = {(r.a, r.b) for r in fuzzy.similar_pairs(left.toDF("a"), "a", right.toDF("b"), "b", ratio).collect()}
+        want = {(a, b) for a in set(names) for b in set(near) if 1 - distance(a, b) / max(len(a), len(b)) >= ratio - 1e-12}
+        assert got == want
+
+
+def test_normalised_titles_meet_phrases(spark):
+    titles = spark.createDataFrame([("Red  RING!",), ("blue hat",), (None,)], "t string")
+    phrases = spark.createDataFrame([("red Ring",), ("xy",)], "phrase string")
+    assert [r.t for r in fuzzy.strong_matches(titles, "t", phrases).collect()] == ["Red  RING!"]
