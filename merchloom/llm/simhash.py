@@ -238,7 +238,8 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Rows without an id stay only where no document of their component has one. Of several rows that are
     left with one id, each component keeps the one with the smallest text. The list of kept ids is
-    joined by a hash of the ids, so texts are dealt out once and not sorted.
+    joined by a hash of the ids, so texts are dealt out once and not sorted; they are read for repeated or missing
+    ids only where there are any.
     """
     every = cut_lineage(grouped(docs, id_col, text_col).select("doc_id", "fp", "root", F.expr("doc_id <=> component_id").alias("stays")))
     found = every.where("stays").drop("stays")
@@ -255,6 +256,9 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         found = [fingerprint(None if text is None else text.encode()) for text in texts]
         return pd.Series(np.array(found, np.uint64).view(np.int64))
 
+    once = having("single")
+    if counted.where("NOT single").isEmpty():
+        return once
     several = having("NOT single")
     rows = several.select(F.struct(*[several[c] for c in docs.columns]).alias("_row"), fp_of(several[text_col]).alias("fp"))
     repeated = counted.where("NOT single").select(F.col("doc_id").alias("_kept"))
@@ -263,4 +267,4 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     same = F.col(f"_row.{id_col}").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp"))
     first = F.struct(F.col(f"_row.{text_col}"), F.to_json("_row"))
     chosen = rows.join(parts, same).groupBy("_id", "_root").agg(F.min_by("_row", first).alias("_row")).select("_row.*")
-    return having("single").unionByName(chosen)
+    return once.unionByName(chosen)
