@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchloom.llm.arrow import BLANKS, code_points, pieces
@@ -28,6 +28,8 @@ _START = SYMBOLS - 1
 #: A band is never narrower than this many nats, and is wider for texts under this many characters.
 MIN_DEVIATION = 0.02
 SHORT_CHARS = 800
+#: Bins to the nat of the histogram that the bands are read off.
+BINS = 1 << 14
 #: Bands are sent to every task; a corpus with more languages than this is refused.
 MAX_LANGUAGES = 10_000
 
@@ -131,7 +133,8 @@ class Model:
     @staticmethod
     def fit(codes: np.ndarray, counts: np.ndarray) -> Model:
         """From the counts of the highest order; lower orders count the distinct left neighbours."""
-        levels = {ORDER: (codes.astype(np.int64), counts.astype(np.int64))}
+        by_code = np.argsort(codes)  # the order of the table is chance; sums of floats are to agree
+        levels = {ORDER: (codes[by_code].astype(np.int64), counts[by_code].astype(np.int64))}
         for order in range(ORDER - 1, 0, -1):
             levels[order] = tuple(np.unique(levels[order + 1][0] % SYMBOLS ** order, return_counts=True))
         lower = np.full(SYMBOLS, 1.0 / SYMBOLS)  # below one symbol: all alike
@@ -275,13 +278,17 @@ def statistics(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 def bands(stats: DataFrame, width: float = 5.0) -> DataFrame:
     """(lang, middle, deviation, lower, upper) per language over the documents that pass the base rules.
 
-    A missing language is a language of its own. Quantiles are merged from sketches, so a language
-    that holds most rows is still added up by many tasks.
+    A missing language is a language of its own. Quantiles are read off a histogram of ``BINS`` bins to the nat, so
+    reruns agree and a language that holds most rows is still counted by many tasks.
     """
-    rows = stats.where("NOT base_failed AND log_perplexity IS NOT NULL").groupBy("lang")
-    cut = rows.agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    deviation = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(MIN_DEVIATION))
-    return cut.select("lang", F.col("q")[1].alias("middle"), deviation.alias("deviation")).select(
+    rows = stats.where("NOT base_failed AND log_perplexity IS NOT NULL")
+    counted = rows.groupBy("lang", F.floor(F.col("log_perplexity") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.select("lang", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy("lang")).alias("all"))
+    quantile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, (F.col("bin") + 0.5) / BINS))
+    cut = placed.groupBy("lang").agg(quantile(0.25).alias("low"), quantile(0.5).alias("middle"), quantile(0.75).alias("high"))
+    deviation = F.greatest((F.col("high") - F.col("low")) / 1.349, F.lit(MIN_DEVIATION))
+    return cut.select("lang", "middle", deviation.alias("deviation")).select(
         "*", (F.col("middle") - width * F.col("deviation")).alias("lower"),
         (F.col("middle") + width * F.col("deviation")).alias("upper"))
 
