@@ -130,8 +130,8 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     """Learn from the rows for which ``usable`` holds and whose language is known.
 
     The ids of the sample, ``per_language * MAX_LANGUAGES`` at most, are sent to every task, so only sampled
-    texts are moved. At most ``per_language`` texts of a language meet in one task, and ``k * BUCKETS`` numbers per
-    language reach the driver; more than ``MAX_LANGUAGES`` languages are refused.
+    texts are moved. At most ``per_language`` texts of a language meet in one task, and ``(k + 1) * BUCKETS`` numbers
+    per language reach the driver; more than ``MAX_LANGUAGES`` languages are refused.
     """
     chosen = cut_lineage(sampled_ids(docs, usable, id_col, lang_col, per_language))
     if chosen.count() > per_language * MAX_LANGUAGES:
@@ -148,35 +148,52 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     counted = texts.mapInArrow(vectors, f"id {kind}, lang string, counts binary")
 
-    def clusters(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        counts = np.stack([np.frombuffer(c, "<u4") for c in group["counts"]]).astype(np.int64)
-        return pd.DataFrame({"lang": group["lang"].iloc[:1], "counts": [counts.astype("<u4").tobytes()]})
+    sample = cut_lineage(counted)
 
-    # the sample is bounded, so its counts fit where the inverse frequencies are taken
-    groups = sorted(counted.groupBy("lang").applyInPandas(clusters, "lang string, counts binary").limit(MAX_LANGUAGES + 1).collect())
-    if len(groups) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: is {lang_col} a language column?")
-    return fit_counts({r.lang: np.frombuffer(r["counts"], "<u4").reshape(-1, BUCKETS) for r in groups}, k)
-
-
-def fit_counts(samples: dict[str, np.ndarray], k: int = CENTROIDS) -> Model:
-    """The model of the sampled counts of each language; texts without letters teach nothing."""
-    samples = {lang: rows[rows.sum(axis=1) > 0] for lang, rows in sorted(samples.items())}
-    samples = {lang: rows for lang, rows in samples.items() if len(rows)}
-    found = np.zeros(BUCKETS)
-    for rows in samples.values():
-        found += (rows > 0).sum(axis=0)
-    n = sum(map(len, samples.values()))
-    idf = (np.log((1 + n) / (1 + found)) + 1).astype(np.float32)
-    centroids, of, usual = [np.zeros((0, BUCKETS), np.float32)], [], []
-    for number, rows in enumerate(samples.values()):
-        unit = weighted(rows, idf)
-        centers = cluster(unit, k)
-        centroids.append(centers)
-        of += [number] * len(centers)
-        usual.append(float(np.median((unit @ centers.T).max(axis=1) / expected_share(rows.sum(axis=1)))))
-    return Model(list(samples), idf, np.concatenate(centroids), np.array(of, np.int64), np.array(usual))
+    def matrix(group: pd.DataFrame) -> np.ndarray:
+        return np.stack([np.frombuffer(c, "<u4") for c in group.sort_values("id")["counts"]]).astype(np.int64)
+
+    def found_in(group: pd.DataFrame) -> pd.DataFrame:
+        texts, found = frequencies(matrix(group))
+        return pd.DataFrame({"lang": group["lang"].iloc[:1], "texts": [texts], "found": [found.tobytes()]})
+
+    parts = sample.groupBy("lang").applyInPandas(found_in, "lang string, texts long, found binary").collect()
+    idf = inverse(sum(r.texts for r in parts), sum((np.frombuffer(r.found, np.int64) for r in parts), np.zeros(BUCKETS, np.int64)))
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def centers_of(group: pd.DataFrame) -> pd.DataFrame:
+        centers, usual = learn(matrix(group), shared.value, k)
+        return pd.DataFrame({"lang": group["lang"].iloc[:1], "centers": [centers.tobytes()], "usual": [usual]})
+
+    learned = sample.groupBy("lang").applyInPandas(centers_of, "lang string, centers binary, usual double").collect()
+    return assemble({r.lang: (np.frombuffer(r.centers, np.float32).reshape(-1, BUCKETS), r.usual) for r in learned}, idf)
+
+
+def frequencies(rows: np.ndarray) -> tuple[int, np.ndarray]:
+    """(texts with a letter, texts that hold each trigram)."""
+    return int((rows.sum(axis=1) > 0).sum()), (rows > 0).sum(axis=0).astype(np.int64)
+
+
+def inverse(texts: int, found: np.ndarray) -> np.ndarray:
+    return (np.log((1 + texts) / (1 + found)) + 1).astype(np.float32)
+
+
+def learn(rows: np.ndarray, idf: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, float]:
+    """(centroids, usual cosine) of one language; texts without letters teach nothing."""
+    rows = rows[rows.sum(axis=1) > 0]
+    if not len(rows):
+        return np.zeros((0, BUCKETS), np.float32), 0.0
+    unit = weighted(rows, idf)
+    centers = cluster(unit, k)
+    return centers, float(np.median((unit @ centers.T).max(axis=1) / expected_share(rows.sum(axis=1))))
+
+
+def assemble(learned: dict[str, tuple[np.ndarray, float]], idf: np.ndarray) -> Model:
+    languages = sorted(lang for lang, (centers, _) in learned.items() if len(centers))
+    parts = [learned[lang][0] for lang in languages]
+    of = [number for number, centers in enumerate(parts) for _ in range(len(centers))]
+    return Model(languages, idf, np.concatenate([np.zeros((0, BUCKETS), np.float32), *parts]), np.array(of, np.int64),
+                 np.array([learned[lang][1] for lang in languages]))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

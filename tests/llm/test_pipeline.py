@@ -111,5 +111,5 @@ def test_clashing_columns(spark):
     frame = spark.createDataFrame([(1, "a b c", "en", "s", 1, 2.0, "x", 3)], f"{KINDS}, fp double, root string, _times int")
     assert simhash.keep(frame).columns == frame.columns == mixing.mix(frame).columns
     assert mixing.mix(frame).count() == 1
-    model = language.fit_counts({})
+    model = language.assemble({}, language.inverse(0, np.zeros(language.BUCKETS, np.int64)))
     assert language.keep(frame, model).columns == frame.columns
