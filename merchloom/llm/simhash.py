@@ -18,7 +18,7 @@ follows the number of fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -212,15 +212,19 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     return sums(a) == sums(b)
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, root, component_id`` per row: ``root`` is the smallest fingerprint of the component."""
-    marked = cut_lineage(fingerprints(docs, id_col, text_col))
+def rooted(marked: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """``doc_id, fp, root, component_id`` per row of ``doc_id, fp``, over the given edges or those within the radius."""
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = components(links(distinct.select("fp")))
-    rooted = distinct.join(parts, F.col("fp") == F.col("node"), "left").select(
+    parts = components(links(distinct.select("fp")) if edges is None else edges)
+    tied = distinct.join(parts, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+    least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(tied.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, root, component_id`` per row: ``root`` is the smallest fingerprint of the component."""
+    return rooted(cut_lineage(fingerprints(docs, id_col, text_col)))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,15 +237,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         group: Callable[[DataFrame, str, str], DataFrame] = grouped, mark: Callable[[bytes | None], int] = fingerprint) -> DataFrame:
     """One document of each component, that with the smallest id, with the columns of ``docs``.
 
+    ``group`` gives the components, ``mark`` the number of a text by which it names them.
+
     Rows without an id stay only where no document of their component has one. Of several rows that are
     left with one id, each component keeps the one with the smallest text. The list of kept ids is
     joined by a hash of the ids, so texts are dealt out once and not sorted; they are read for repeated or missing
     ids only where there are any.
     """
-    every = cut_lineage(grouped(docs, id_col, text_col).select("doc_id", "fp", "root", F.expr("doc_id <=> component_id").alias("stays")))
+    every = cut_lineage(group(docs, id_col, text_col).select("doc_id", "fp", "root", F.expr("doc_id <=> component_id").alias("stays")))
     found = every.where("stays").drop("stays")
     # an id that has one row is enough to find it
     counted = cut_lineage(every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays")).where("stays").select(
@@ -253,7 +260,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     @F.pandas_udf("long")
     def fp_of(texts: pd.Series) -> pd.Series:
-        found = [fingerprint(None if text is None else text.encode()) for text in texts]
+        found = [mark(None if text is None else text.encode()) for text in texts]
         return pd.Series(np.array(found, np.uint64).view(np.int64))
 
     once = having("single")
