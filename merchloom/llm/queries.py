@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchloom.llm import chat, impact, language, lengths, licenses, mixing, packing, perplexity, sharding, simhash
+from merchloom.llm import chat, impact, language, lengths, licenses, mixing, packing, perplexity, sharding, simhash, structure
 from merchloom.session import cut_lineage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(impact.ORACLE)
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query(structure.ORACLE)
+def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = structure.digests(structure.repair(structure.damage(turns))).withColumnRenamed("conv_id", "_found")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_found")), "left")
+    return every.select(
+        "conv_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
