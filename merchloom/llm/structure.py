@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from merchloom.llm.checksums import CRC_TABLE, crc32_sql
 from merchloom.llm.shingles import stored
 from merchloom.session import ship_code
 
@@ -279,16 +280,6 @@ def damage(turns: DataFrame) -> DataFrame:
         F.explode(F.when(F.col("_case") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")).drop("_copy")
 
 
-def _crc32(key: str) -> str:
-    """SQL of the checksum of an ASCII string; ``tab`` holds the 256 remainders."""
-    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(string_split({key}, ''), lambda c: CAST(ord(c) AS BIGINT))),
-        lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295)"""
-
-
-CRC_TABLE = """tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
-    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
-
-
 def _oracle() -> str:
     """The same edits by a recursion over the rows of each conversation, with whole strings in place of backpointers."""
     wanted = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
@@ -308,7 +299,7 @@ def _oracle() -> str:
 WITH RECURSIVE {CRC_TABLE},
 cased AS (
     SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
-        {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kase
+        {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kase
     FROM conversations, tab),
 damaged AS (
     SELECT conv_id, turn, CASE WHEN kase = 4 THEN 'user' ELSE role END AS role,
