@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchloom.llm import chat, impact, language, lengths, licenses, merkle, mixing, packing, perplexity, sharding, simhash, structure
+from merchloom.llm import chat, extraction, impact, language, layouts, lengths, licenses, merkle, mixing, packing, perplexity, sharding, simhash, structure
 from merchloom.session import cut_lineage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold(F.col("claim"), F.col("steps"))
     return proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root"))
+
+
+#: Labelled pages that the extraction model of the query is fitted on.
+LABELLED_PAGES = 1000
+
+
+@query()
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = extraction.fit(layouts.labelled_pages(spark, LABELLED_PAGES))
+    return extraction.extract(table(spark, sf_dir, "pages"), model).select("page_id", "url", "text", "n_chars")
