@@ -54,14 +54,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables of this application, once nothing reads them any more; gives their number."""
-    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
+def scratch_count(spark: SparkSession) -> int:
+    """Number of scratch paths handed out so far, as a mark for ``drop_scratch``."""
+    return len(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+    """Delete the scratch tables of this application, once nothing reads them any more; gives their number.
+
+    ``since`` and ``until`` are marks: only paths handed out between them are deleted.
+    """
+    held = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    paths, jvm, conf = held[since:until], spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in filter(None, paths):
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
-    return len(paths)
+    held[since:until] = [""] * len(paths)  # marks stay valid
+    return sum(map(bool, paths))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
