@@ -1,213 +1,35 @@
-"""Quality rules: text statistics and an n-gram perplexity band per language.
+"""Quality rules: text statistics and perplexity bands per language.
 
-A modified Kneser-Ney model over character symbols is counted by Spark over all documents. Characters
-are mapped to ``SYMBOLS`` symbols, so a table of ``ORDER``-grams has at most ``SYMBOLS ** ORDER`` rows
-however large the corpus is; that bounds what is collected and broadcast. The model is kept in sorted
-arrays of n-gram hashes with parallel arrays of probabilities and back-off weights, and is read by binary search.
-
-A document is rejected by the model if its mean log perplexity per character lies outside the band of
-its language: the median plus or minus ``width`` robust deviations, which widen for short texts.
+The log perplexity of a text is its cost under the model of ``kneser`` per letter, so signs, digits and marks that are strewn among the letters
+count in full however well they can be foretold. A document is rejected by the model if it lies outside the band of its language
+and length: the median of that language and octave of letters, plus or minus ``width`` times the distance to the 80th and 20th
+percentile, and ``ALLOWANCE`` nats a document for a line of another kind (a licence line, a name, an address).
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from merchloom.llm.arrow import BLANKS, code_points, pieces
-
-ORDER = 4
-SYMBOLS = 49
-_START = SYMBOLS - 1
-#: A band is never narrower than this many nats, and is wider for texts under this many characters.
-MIN_DEVIATION = 0.02
-SHORT_CHARS = 800
+from merchloom.llm import kneser
+from merchloom.llm.arrow import BLANKS
+from merchloom.llm.shingles import stored
+from merchloom.session import ship_code
+
+#: Distances to the quantiles that a band spans.
+WIDTH = 2.5
+#: Quantiles that the spread is read off, and the least spread, in nats a letter.
+QUANTILE, LEAST_SPREAD = 0.2, 0.005
+#: Nats that a document may lie outside, whatever its length.
+ALLOWANCE = 40.0
 #: Bins to the nat of the histogram that the bands are read off.
-BINS = 1 << 14
-#: Bands are sent to every task; a corpus with more languages than this is refused.
-MAX_LANGUAGES = 10_000
-
-
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point below 0x250: lower-case letters alone, all else in classes."""
-    table = np.full(0x250, 44, np.uint8)  # control characters
-    for c in range(33, 0x250):
-        char = chr(c)
-        if "a" <= char <= "z":
-            table[c] = c - 97
-        elif char.isalpha() and char.islower():
-            table[c] = 26 + c % 8
-        elif char.isalpha():
-            table[c] = 34 + (char in "AEIOU") if c < 128 else 36
-        elif char.isdigit():
-            table[c] = 38
-        else:
-            table[c] = 45 if char in "#*$%&|<>" else 46 if c < 128 else 47
-    for char, symbol in ((" ", 39), ("\n", 40), (".", 41), (",", 42), ("!", 43), ("?", 43)):
-        table[ord(char)] = symbol
-    return table
-
-
-_TABLE = _symbol_table()
-
-
-def symbols(data: bytes) -> np.ndarray:
-    """The symbols of a text; letters and signs beyond 0x250 share one class."""
-    points = code_points(data)
-    out = np.full(len(points), 37, np.uint8)
-    low = points < len(_TABLE)
-    out[low] = _TABLE[points[low]]
-    return out
-
-
-def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(code of the n-gram that ends at each character of all texts, characters per text)."""
-    parts, sizes = [], []
-    for text in texts:
-        part = symbols(text or b"")
-        parts += [np.full(ORDER - 1, _START, np.uint8), part]
-        sizes.append(len(part))
-    line = np.concatenate([*parts, np.zeros(0, np.uint8)]).astype(np.int64)
-    if len(line) < ORDER:
-        return np.zeros(0, np.int64), np.array(sizes, np.int64)
-    codes = np.zeros(len(line) - ORDER + 1, np.int64)
-    for k in range(ORDER):
-        codes = codes * SYMBOLS + line[k:len(line) - ORDER + 1 + k]
-    lengths = np.array(sizes, np.int64)
-    ends = np.cumsum(lengths + ORDER - 1)
-    wanted = np.ones(len(line), bool)
-    for shift in range(ORDER - 1):
-        wanted[ends - lengths - ORDER + 1 + shift] = False
-    return codes[wanted[ORDER - 1:]], lengths
-
-
-def count_grams(docs: DataFrame, text_col: str) -> DataFrame:
-    """(gram, n) over all texts, summed in each task before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS ** ORDER, np.int64)
-        for _, texts in pieces(batches, text_col):
-            codes, _ = grams(texts)
-            total += np.bincount(codes, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
-
-    return docs.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _hashed(codes: np.ndarray, order: int) -> np.ndarray:
-    """A bijective 64-bit mix of (order, code), so distinct n-grams never share a hash."""
-    x = codes.astype(np.uint64) * np.uint64(8) + np.uint64(order)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Discount for counts 0, 1, 2 and 3 or more, from the counts of counts."""
-    n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-    out = np.array([0.0, 0.5, 1.0, 1.5])
-    if min(n[:3]) > 0:
-        y = n[0] / (n[0] + 2 * n[1])
-        for k in (1, 2, 3):
-            d = k - (k + 1) * y * n[k] / n[k - 1]
-            out[k] = d if 0 < d < k else out[k]
-    return out
-
-
-@dataclass
-class Model:
-    """Sorted hash arrays: interpolated probability per n-gram, back-off weight per context."""
-
-    grams: np.ndarray
-    chances: np.ndarray
-    contexts: np.ndarray
-    weights: np.ndarray
-
-    @staticmethod
-    def fit(codes: np.ndarray, counts: np.ndarray) -> Model:
-        """From the counts of the highest order; lower orders count the distinct left neighbours."""
-        by_code = np.argsort(codes)  # the order of the table is chance; sums of floats are to agree
-        levels = {ORDER: (codes[by_code].astype(np.int64), counts[by_code].astype(np.int64))}
-        for order in range(ORDER - 1, 0, -1):
-            levels[order] = tuple(np.unique(levels[order + 1][0] % SYMBOLS ** order, return_counts=True))
-        lower = np.full(SYMBOLS, 1.0 / SYMBOLS)  # below one symbol: all alike
-        hashes, chances, contexts, weights = [], [], [], []
-        for order in range(1, ORDER + 1):
-            code, count = levels[order]
-            if not len(code):
-                break
-            taken = _discounts(count)[np.minimum(count, 3)]
-            context, of = np.unique(code // SYMBOLS, return_inverse=True)
-            total = np.bincount(of, count)
-            weight = np.bincount(of, taken) / total
-            below = lower[code] if order == 1 else levels_chance(code % SYMBOLS ** (order - 1))
-            chance = (count - taken) / total[of] + weight[of] * below
-            hashes.append(_hashed(code, order))
-            chances.append(chance)
-            contexts.append(_hashed(context, order))
-            weights.append(weight)
-            known, values = code, chance
-            order_of = np.argsort(known)
-            known, values = known[order_of], values[order_of]
-
-            def levels_chance(wanted: np.ndarray, known=known, values=values) -> np.ndarray:
-                # an n-gram's suffix was seen wherever the n-gram was
-                return values[np.searchsorted(known, wanted)]
-
-        joined = [np.concatenate([*part, np.zeros(0)]) if i % 2 else np.concatenate([*part, np.zeros(0, np.uint64)])
-                  for i, part in enumerate((hashes, chances, contexts, weights))]
-        by_gram, by_context = np.argsort(joined[0]), np.argsort(joined[2])
-        return Model(joined[0][by_gram], joined[1][by_gram], joined[2][by_context], joined[3][by_context])
-
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(wanted), missing)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], missing)
-
-    def chance(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Probability of each n-gram's last symbol after the symbols before it."""
-        if order == 0:
-            return np.full(len(codes), 1.0 / SYMBOLS)
-        out = self._find(self.grams, self.chances, _hashed(codes, order), np.nan)
-        unseen = np.flatnonzero(np.isnan(out))
-        if len(unseen):
-            code = codes[unseen]
-            weight = self._find(self.contexts, self.weights, _hashed(code // SYMBOLS, order), 1.0)
-            out[unseen] = weight * self.chance(code % SYMBOLS ** (order - 1), order - 1)
-        return out
-
-
-class Scorer:
-    """Mean negative log probability per character; each n-gram is looked up once per task."""
-
-    def __init__(self, model: Model):
-        self.model, self.costs = model, np.full(SYMBOLS ** ORDER, np.nan, np.float32)
-
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        codes, sizes = grams(texts)
-        cost = self.costs[codes]
-        if np.isnan(cost).any():
-            fresh = np.unique(codes[np.isnan(cost)])
-            self.costs[fresh] = -np.log(self.model.chance(fresh))
-            cost = self.costs[codes]
-        ends = np.concatenate([[0], np.cumsum(cost, dtype=np.float64)])
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        return np.where(sizes > 0, (ends[at[1:]] - ends[at[:-1]]) / np.maximum(sizes, 1), np.nan), sizes
-
-
-def fit_model(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts over all documents; at most ``SYMBOLS ** ORDER`` rows reach the driver."""
-    table = count_grams(docs, text_col).toArrow()
-    return Model.fit(table["gram"].to_numpy(), table["n"].to_numpy())
+BINS = 1 << 12
+#: Texts are compared with those of their octave of letters, of these; an octave of fewer documents takes the whole language's band.
+OCTAVES, LEAST_DOCUMENTS = (4, 14), 30
 
 
 def _repeated_words(words: list[bytes], window: int = 5) -> int:
@@ -248,95 +70,78 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 10 or 100 * n_repeat_words > 20 * n_words
 
 
-_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_symbols_scored")
+_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_SCORES = ", ".join(f"_{c} long" for c in _STATS) + ", _base_failed boolean"
 
 
-def statistics(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-               lang_col: str = "lang") -> DataFrame:
-    """Per document: id, language, base statistics, ``base_failed`` and ``log_perplexity`` (null for an empty text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+def _base_columns(texts: list[bytes | None]) -> list[pa.Array]:
+    found = [base_statistics(text) for text in texts]
+    return [*[pa.array([b[k] for b in found], pa.int64()) for k in range(5)], pa.array([base_failed(b[0], b[4]) for b in found], pa.bool_())]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for rows, texts in pieces(batches, "text"):
-            cost, sizes = scorer(texts)
-            base = [base_statistics(text) for text in texts]
-            columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(2), *columns, pa.array(sizes, pa.int64()),
-                 pa.array([base_failed(b[0], b[4]) for b in base], pa.bool_()),
-                 pa.array(cost, pa.float64(), mask=np.isnan(cost))],
-                ["doc_id", "lang", *_STATS, "base_failed", "log_perplexity"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return narrow.mapInArrow(
-        score, f"doc_id {kind}, lang string, " + ", ".join(f"{c} long" for c in _STATS)
-        + ", base_failed boolean, log_perplexity double")
+def _scored(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows with base statistics and log perplexity under names with an underscore, written once."""
+    ship_code(docs.sparkSession)
+    rows = kneser.scored(docs, text_col, _base_columns, _SCORES)
+    perplexity = F.when(F.col("_letters") > 0, F.col("_cost") / F.col("_letters"))
+    return stored(rows.withColumn("_log_perplexity", perplexity).drop("_cost"), "scores")
 
 
-def bands(stats: DataFrame, width: float = 5.0) -> DataFrame:
-    """(lang, middle, deviation, lower, upper) per language over the documents that pass the base rules.
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Per document: ``doc_id, lang``, base statistics, ``letters, base_failed`` and ``log_perplexity`` (null without a letter).
 
-    A missing language is a language of its own. Quantiles are read off a histogram of ``BINS`` bins to the nat, so
-    reruns agree and a language that holds most rows is still counted by many tasks.
+    Null and empty texts fail the base rules. Repeated rows and ids count as often as they occur.
     """
-    rows = stats.where("NOT base_failed AND log_perplexity IS NOT NULL")
-    counted = rows.groupBy("lang", F.floor(F.col("log_perplexity") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.select("lang", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy("lang")).alias("all"))
-    quantile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, (F.col("bin") + 0.5) / BINS))
-    cut = placed.groupBy("lang").agg(quantile(0.25).alias("low"), quantile(0.5).alias("middle"), quantile(0.75).alias("high"))
-    deviation = F.greatest((F.col("high") - F.col("low")) / 1.349, F.lit(MIN_DEVIATION))
-    return cut.select("lang", "middle", deviation.alias("deviation")).select(
-        "*", (F.col("middle") - width * F.col("deviation")).alias("lower"),
-        (F.col("middle") + width * F.col("deviation")).alias("upper"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return _scored(narrow, "text").select(
+        "doc_id", "lang", *[F.col(f"_{c}").alias(c) for c in (*_STATS, "letters", "base_failed", "log_perplexity")])
 
 
-def inside(value: Column, chars: Column, lower: Column, middle: Column, upper: Column) -> Column:
-    """Inside the band; the band of a text of few characters is wider, as its mean is less certain."""
-    wider = F.sqrt(1 + F.lit(float(SHORT_CHARS)) / F.greatest(chars, F.lit(1)))
-    return (value >= middle - (middle - lower) * wider) & (value <= middle + (upper - middle) * wider)
+def _octave(letters: Column) -> Column:
+    return F.greatest(F.lit(OCTAVES[0]), F.least(F.lit(OCTAVES[1]), F.floor(F.log2(letters.cast("double"))).cast("int")))
 
 
-def judge(stats: DataFrame, width: float = 5.0) -> DataFrame:
-    """Adds the band of each document's language and ``kept``.
+def bands(stats: DataFrame) -> DataFrame:
+    """(lang, octave, documents, middle, low, high) over the documents that pass the base rules; a null octave is the whole language.
 
-    Null and empty texts fail the base rules. A language of which no document passes them has no band.
+    A missing language is a language of its own. Quantiles are read off a histogram of ``BINS`` bins to the nat, so
+    reruns agree and a language that holds most rows is still counted by many tasks.
     """
-    s, b = stats.alias("s"), bands(stats, width).alias("b")
-    ok = inside(F.col("s.log_perplexity"), F.col("s.n_symbols_scored"), F.col("b.lower"), F.col("b.middle"), F.col("b.upper"))
-    return s.join(b, F.col("s.lang").eqNullSafe(F.col("b.lang")), "left").select(
-        *[F.col(f"s.{c}").alias(c) for c in stats.columns], F.col("b.lower"), F.col("b.upper"),
-        (~F.col("s.base_failed") & F.coalesce(ok, F.lit(False))).alias("kept"))
+    rows = stats.where("NOT base_failed AND log_perplexity IS NOT NULL")
+    counted = rows.groupBy("lang", _octave(F.col("letters")).alias("octave"), F.floor(F.col("log_perplexity") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = counted.groupBy("lang", F.lit(None).cast("int").alias("octave"), "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("lang", "octave")
+    upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.unionByName(every).select("lang", "octave", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("all"))
+    quantile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, (F.col("bin") + 0.5) / BINS))
+    return placed.groupBy("lang", "octave").agg(
+        F.max("all").alias("documents"), quantile(0.5).alias("middle"), quantile(QUANTILE).alias("low"), quantile(1 - QUANTILE).alias("high"))
 
 
-def keep(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", width: float = 5.0) -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns and without moving a text.
+def judge(stats: DataFrame, width: float = WIDTH, allowance: float = ALLOWANCE) -> DataFrame:
+    """Adds ``lower`` and ``upper``, the band for each document's language and length, and ``kept``.
 
-    The bands are fixed first; one row per language, ``MAX_LANGUAGES`` at most, reaches the driver. Then every row is judged where it is read.
+    A text without a letter has no perplexity and lies outside. A language of which no document passes the base rules has no band.
     """
-    found = bands(statistics(docs, model, lang_col, text_col, lang_col).drop("doc_id"), width)
-    rows = found.limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: is {lang_col} a language column?")
-    limits = {row["lang"]: (row["lower"], row["middle"], row["upper"]) for row in rows}
-    shared = docs.sparkSession.sparkContext.broadcast((model, limits))
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, limits = shared.value
-        scorer = Scorer(model)
-        for rows, texts in pieces(batches, text_col):
-            cost, sizes = scorer(texts)
-            wider = np.sqrt(1 + SHORT_CHARS / np.maximum(sizes, 1))
-            langs = rows.column(rows.schema.get_field_index(lang_col)).to_pylist()
-            good = np.zeros(len(texts), bool)
-            for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
-                lower, middle, upper = limits.get(lang, (np.nan,) * 3)
-                inside = middle - (middle - lower) * wider[i] <= cost[i] <= middle + (upper - middle) * wider[i]
-                if inside:
-                    base = base_statistics(text)
-                    good[i] = not base_failed(base[0], base[4])
-            yield rows.filter(pa.array(good))
-
-    return docs.mapInArrow(judged, docs.schema)
+    found = bands(stats)
+    whole = found.where("octave IS NULL").select(*[F.col(c).alias(f"whole_{c}") for c in ("lang", "middle", "low", "high")])
+    parts = found.where((F.col("octave").isNotNull()) & (F.col("documents") >= LEAST_DOCUMENTS)).select(
+        *[F.col(c).alias(f"part_{c}") for c in ("lang", "octave", "middle", "low", "high")])
+    # few rows a language on the right: Spark sends them to the documents
+    rows = stats.join(whole, F.col("lang").eqNullSafe(F.col("whole_lang")), "left").join(
+        parts, F.col("lang").eqNullSafe(F.col("part_lang")) & (_octave(F.col("letters")) == F.col("part_octave")), "left")
+    middle, low, high = (F.coalesce(f"part_{c}", f"whole_{c}") for c in ("middle", "low", "high"))
+    room = allowance / F.greatest("letters", F.lit(1))
+    lower = middle - width * F.greatest(middle - low, F.lit(LEAST_SPREAD)) - room
+    upper = middle + width * F.greatest(high - middle, F.lit(LEAST_SPREAD)) + room
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
+    return rows.select(*stats.columns, lower.alias("lower"), upper.alias("upper")).withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns; every text is scored once."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*names)
+    text, lang = (names[docs.columns.index(c)] for c in (text_col, lang_col))
+    rows = _scored(inner, text).withColumnsRenamed({f"_{c}": c for c in ("letters", "base_failed", "log_perplexity")}).withColumn("lang", F.col(lang))
+    return judge(rows, width).where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchloom.llm import chat, extraction, impact, language, layouts, lengths, licenses, merkle, mixing, packing, perplexity, sharding, simhash, structure
-from merchloom.session import cut_lineage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -48,8 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query()
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    stats = cut_lineage(perplexity.statistics(docs, perplexity.fit_model(docs)))
-    return perplexity.judge(stats).select(
+    return perplexity.judge(perplexity.statistics(docs)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "lang", F.round("log_perplexity", 6).alias("log_perplexity"))
 
