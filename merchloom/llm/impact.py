@@ -33,14 +33,21 @@ STOPS = (0.1, 0.03)
 BOUND = 1 << 24
 
 
-def integers(vector: Column, scale: int = 256) -> Column:
-    """``floor(scale * x)`` of every component, as a double; null for a vector that is null or holds null, NaN or infinity.
+#: Rows of a block of vectors that are scored with whole numbers of any size.
+WIDE_ROWS = 64
 
-    A vector with a component of ``BOUND`` or more, or of 16,384 components or more, can't be scored in a long and is null too.
-    """
+
+def integers(vector: Column, scale: int = 256) -> Column:
+    """``floor(scale * x)`` of every component, as a double; null for a vector that is null or holds null, NaN or infinity."""
     scaled = F.transform(vector, lambda x: x.cast("double") * scale)
-    fine = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(BOUND))))
-    return F.when(vector.isNotNull() & fine & (F.size(vector) < 1 << 14), F.transform(scaled, lambda x: F.floor(x).cast("double")))
+    fine = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    # a double of 2^53 or more is whole
+    return F.when(vector.isNotNull() & fine, F.transform(scaled, lambda x: F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x)))
+
+
+def wide(vector: Column) -> Column:
+    """Too large for sums of products in a long: a component of ``BOUND`` or more, or 16,384 components or more."""
+    return (F.size(vector) >= 1 << 14) | F.exists(vector, lambda x: F.abs(x) >= F.lit(float(BOUND)))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -158,20 +165,48 @@ def _packed_queries(rows: DataFrame, query_rows: int) -> tuple[DataFrame, int]:
     return dealt.groupBy("part").applyInArrow(pack, "part long, query_width int, query_ids binary, queries binary"), parts
 
 
+def exact(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: the ``k`` best of each block of rows for each query, with whole numbers of any size.
+
+    A score that doesn't fit into a long is an error.
+    """
+    left, blocks = _dealt(rows, WIDE_ROWS, "block")
+    right, _ = _dealt(queries, WIDE_ROWS, "part")
+    left = left.groupBy("block").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
+    right = right.groupBy("part").agg(F.collect_list(F.struct("id", "vector")).alias("queries")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in batch.to_pylist():
+                held = [(r["id"], [int(x) for x in r["vector"]]) for r in pair["rows"]]
+                out = []
+                for query in pair["queries"]:
+                    mine = [int(x) for x in query["vector"]]
+                    scores = sorted((-sum(map(int.__mul__, mine, vector)), i) for i, vector in held if i != query["id"])[:k]
+                    out += [(query["id"], i, -score) for score, i in scores]
+                if any(not -2**63 <= score < 2**63 for _, _, score in out):
+                    raise ValueError("a score does not fit into a long")
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+
+    return left.join(right, "block").select("rows", "queries").mapInArrow(search, "query_id long, vec_id long, score long")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
           block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the best rows by integer inner product for each query row.
 
     Rows with the query's id are its own and no candidates. Vectors or ids that are null, and vectors with
-    null or non-finite components, take no part. Query rows of one
+    null or non-finite components, take no part. Vectors too large for the index are scored one by one, in blocks. Query rows of one
     id are answered once, for the smallest of their vectors; repeated candidates are rows of their own.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col)).alias("vector"), is_query.alias("asks")).where(
-        "id IS NOT NULL AND vector IS NOT NULL")
-    rows = cut_lineage(rows)
-    index, blocks = build_index(rows.select("id", "vector"), block_rows)
-    asked, parts = _packed_queries(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")), query_rows)
-    left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    vector = integers(F.col(vector_col))
+    rows = cut_lineage(vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), is_query.alias("asks")).where(
+        "id IS NOT NULL AND vector IS NOT NULL").withColumn("wide", wide(F.col("vector"))))
+    queries = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")).withColumn("wide", wide(F.col("vector")))
+    index, blocks = build_index(rows.where("NOT wide").select("id", "vector"), block_rows)
+    asked, parts = _packed_queries(queries.where("NOT wide").select("id", "vector"), query_rows)
+    # the index stays where it is; only queries are repeated
     right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +221,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(query_ids[q]), pa.array(ids[r]), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
 
-    pairs = left.join(right, ["block", "part"]).drop("block", "part")
-    near = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    near = index.join(right, "block").drop("block", "part").mapInArrow(search, "query_id long, vec_id long, score long")
+    large = rows.where("wide").select("id", "vector")
+    if not large.isEmpty():
+        near = near.union(exact(large, queries.select("id", "vector"), k)).union(
+            exact(rows.where("NOT wide").select("id", "vector"), queries.where("wide").select("id", "vector"), k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

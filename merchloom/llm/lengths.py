@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from merchloom.llm.arrow import pieces
 from merchloom.llm.tokens import Encoder
+from merchloom.session import cut_lineage, ship_code
 
 #: Lengths per block of the two-level suffix sums.
 BLOCK = 256
@@ -26,6 +27,7 @@ def length_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text") -
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "n_docs"])
 
+    ship_code(docs.sparkSession)
     return docs.select(text_col).mapInArrow(count, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
@@ -36,6 +38,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     min(length, L) over all documents, ``quantile`` the share of documents that fit into L. Sums are taken
     inside blocks of ``BLOCK`` lengths and then over the blocks, so only one row per block meets in one task.
     """
+    histogram = cut_lineage(histogram)  # read twice, and documents are not to be encoded twice
     rows = histogram.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / BLOCK).alias("_block"))
     inside = Window.partitionBy("_block").orderBy(F.desc("n_tokens"))
     tokens = F.col("n_tokens") * F.col("n_docs")

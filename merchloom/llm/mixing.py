@@ -107,7 +107,8 @@ def times(rows: DataFrame, found: DataFrame) -> DataFrame:
     r, c = rows.alias("r"), found.alias("c")
     side = F.broadcast(c) if found.count() <= BROADCAST_SOURCES else c
     within = (F.col("r._key") < F.col("c._cut_key")) | (F.col("r._key") == F.col("c._cut_key")) & (F.col("r._item") <= F.col("c._cut_item"))
-    more = (F.col("r._range") < F.col("c._last_range")) | (F.col("r._range") == F.col("c._last_range")) & F.coalesce(within, F.lit(False))
+    beyond = (F.col("r._range") < F.col("c._last_range")) | (F.col("r._range") == F.col("c._last_range")) & F.coalesce(within, F.lit(False))
+    more = beyond & (F.col("r._size") > 0)  # a text without words is no part of the rest
     return r.join(side, F.col("r._source").eqNullSafe(F.col("c._source"))).select(
         "r.*", "c._source_size", "c._target", (F.col("c._epochs") + F.coalesce(more, F.lit(False)).cast("long")).alias("_times"))
 

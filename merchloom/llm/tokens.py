@@ -38,9 +38,11 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         if not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
             raise ValueError(f"{vocabulary} is not a byte-level vocabulary")
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts that the words alone can't tell: signs beyond the common ones, or a token that is matched as a whole.
+        self.whole = re.compile("|".join([_UNCOMMON.pattern, *map(re.escape, added)]))
         self.word_ids = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=_ranks(vocabulary), special_tokens={})
 
     def __missing__(self, word: str) -> bytes:
@@ -50,7 +52,7 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text, as the tokenizer gives them without special tokens."""
-        if _UNCOMMON.search(text):
+        """Ids of a whole text, as the unchanged tokenizer gives them with ``add_special_tokens=False``."""
+        if self.whole.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, _WORD.findall(text)))

@@ -14,6 +14,4 @@ def docs(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(vocabulary())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(vocabulary())

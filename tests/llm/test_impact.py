@@ -44,6 +44,14 @@ def test_edges(spark):
     assert got(spark, []) == [] and got(spark, [(0, [1.0])]) == []
 
 
+def test_large_components_take_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [70000.0, 1.0]), (2, [1.0, 1.0]), (5, [-3.0e5, 2.0]), (10, [5.0e6, 1.0]), (3, [1.0e-3] * 16_400), (4, [2.0e5, -1.0]), (4, [2.0e5, -1.0]), (15, [0.5])]
+    assert got(spark, rows) == brute(rows, lambda i: i % 5 == 0, 5)
+    assert got(spark, rows, k=2, block_rows=2, query_rows=1) == brute(rows, lambda i: i % 5 == 0, 2)
+    with pytest.raises(Exception, match="does not fit"):
+        got(spark, [(0, [3.0e18]), (1, [3.0e18])])
+
+
 @given(st.integers(1, 60), st.integers(1, 12), st.integers(0, 2**32 - 1), st.sampled_from([1, 3, 40, 5000]), st.integers(1, 7))
 @settings(max_examples=150, deadline=None)
 def test_best_is_exact(n, width, seed, scale, k):

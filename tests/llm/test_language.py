@@ -1,5 +1,8 @@
 """Language identification: held-out accuracy, edges, what it may not read."""
 
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -61,3 +64,39 @@ def test_trigrams_do_not_cross_texts():
     rows = language.trigram_counts([b"ab", b"cd", b"", None])
     assert rows.sum(axis=1).tolist() == [2, 2, 0, 0]
     assert (rows[0] == language.trigram_counts([b"!AB??"])[0]).all()
+
+
+def plain_trigrams(text):
+    """Counts by bucket, from code points one by one."""
+    low = [0] + [language._letters()[ord(c)] for c in text or ""] + [0]
+    line = [c for i, c in enumerate(low) if c or i == 0 or low[i - 1]]
+    line = line if not line or line[-1] == 0 else [*line, 0]
+    counts = Counter()
+    for a, b, c in zip(line, line[1:], line[2:], strict=False):
+        if b:
+            mixed = (int(a) * 0x9E3779B97F4A7C15 + int(b) * 0xC2B2AE3D27D4EB4F + int(c) * 0x165667B19E3779F9) % 2**64
+            counts[((mixed ^ mixed >> 31) * 0xBF58476D1CE4E5B9 % 2**64) >> 52] += 1
+    return counts
+
+
+def plain_prediction(model, text):
+    counts = plain_trigrams(text)
+    if not counts:
+        return "und", 0.0
+    vector = {k: math.log1p(n) * float(model.idf[k]) for k, n in counts.items()}
+    length = math.sqrt(sum(v * v for v in vector.values()))
+    near = [(sum(v * float(c[k]) for k, v in vector.items()) / length, language_) for c, language_ in zip(model.centroids, model.of, strict=True)]
+    best = max(score for score, _ in near)
+    return {model.languages[k] for score, k in near if score > best - 1e-6}, best
+
+
+def test_predictions_against_plain_cosines(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs, ~queries.held_out())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    texts |= {-1: None, -2: "", -3: "12 + 3", -4: "Ünï-cødé the", -5: "a"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for row in language.identify(frame, model).collect():
+        names, score = plain_prediction(model, texts[row.doc_id])
+        assert row.lang_pred == names or row.lang_pred in names
+        assert abs(row.score - min(1.0, max(0.0, score))) < 1e-4

@@ -1,5 +1,7 @@
 """The mix against its SQL and against a plain walk through the keys."""
 
+from collections import Counter
+
 import hashlib
 import math
 from collections import defaultdict
@@ -88,3 +90,12 @@ def test_nothing_to_mix(spark):
     assert mixing.amounts(frame).count() == 0 and mixing.mix(frame).count() == 0
     silent = spark.createDataFrame([(1, None, None, "", 0), (2, "", "a", "", 0)], KINDS)
     assert [r.taken for r in mixing.amounts(silent).collect()] == [0, 0]
+
+
+def test_texts_without_words_follow_the_epochs(spark):
+    rows = [(1, "one two three", "b"), (2, "", "b"), (3, None, "b"), (4, " ", "a"), (5, "w " * 40, "a"), (6, "", None), (7, None, "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = Counter(r.doc_id for r in mixing.mix(frame).collect())
+    # b weighs 2 and is full at three epochs; a takes the rest, less than one epoch; c and null have no word
+    assert times[1] == times[2] == times[3] == 3
+    assert times[4] == times[6] == times[7] == 0 and times[5] <= 1
