@@ -7,15 +7,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from merchloom.plans.reuse import COOLDOWN_DAYS, cooldown_end
 from merchloom.streaming.ingest import batch_log, run_available
 
 KEYS = ("category", "url")
-OUTPUT = "category string, url string, status string, last_used_at timestamp, next_reusable_at timestamp"
-STATE = "last_used bigint"
+OUTPUT = "category string, url string, status string, at timestamp"
+_COOLDOWN_US = COOLDOWN_DAYS * 86_400_000_000
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def record_uses(uses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -46,36 +48,91 @@ def pool_totals(log: DataFrame, now: Column | None = None) -> DataFrame:
     return pool.withColumn("status", F.when(F.col("next_reusable_at") > now, "cooldown").otherwise("reusable"))
 
 
-def _row(key: tuple, last: int, status: str) -> pd.DataFrame:
-    used = pd.Timestamp(last, unit="us")
-    return pd.DataFrame({"category": [key[0]], "url": [key[1]], "status": [status], "last_used_at": [used],
-                         "next_reusable_at": [used + pd.Timedelta(days=COOLDOWN_DAYS)]})
+class CooldownProcessor(StatefulProcessor):
+    """Tells when a URL goes into its cooldown and when it comes out of it.
 
+    The state of a URL is its cooldowns that are not over, as first and last use; uses in any order join and lengthen
+    them. A start or end is told by a timer once the watermark has passed it, when no use can change it any more, so the events
+    don't depend on the batches. The state goes with the last end.
+    """
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Tell when a URL goes into its cooldown and when it comes out of it without a use."""
-    if state.hasTimedOut:
-        (last,) = state.get
-        state.remove()
-        yield _row(key, last, "reusable")
-        return
-    last = state.get[0] if state.exists else None
-    for batch in batches:
-        latest = int(batch["used_at"].astype("datetime64[us]").astype("int64").max())
-        last = latest if last is None else max(last, latest)
-    state.update((last,))
-    end = last // 1000 + COOLDOWN_DAYS * 86_400_000
-    state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-    yield _row(key, last, "cooldown")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "firsts array<bigint>, lasts array<bigint>, told boolean")
+
+    def _held(self) -> tuple[list[list[int]], bool]:
+        if not self.open.exists():
+            return [], False
+        firsts, lasts, told = self.open.get()
+        return [list(span) for span in zip(firsts, lasts, strict=True)], bool(told)
+
+    def _hold(self, spans: list[list[int]], told: bool) -> None:
+        """Keep what is not over; the next timer is its first start or end that was not told."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if not spans:
+            self.open.clear()
+            return
+        self.open.update(([s[0] for s in spans], [s[1] for s in spans], told))
+        self.handle.registerTimer(-(-(spans[0][1] + _COOLDOWN_US if told else spans[0][0]) // 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  named by Spark
+        uses = [int(us) for batch in rows for us in batch["used_at"].dropna().astype("datetime64[us]").astype("int64")]
+        if uses:
+            held, told = self._held()
+            spans: list[list[int]] = []
+            for first, last in sorted([*held, *[[use, use] for use in uses]]):
+                if spans and first <= spans[-1][1] + _COOLDOWN_US:
+                    spans[-1][1] = max(spans[-1][1], last)
+                else:
+                    spans.append([first, last])
+            self._hold(spans, told)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  named by Spark
+        spans, told = self._held()
+        mark, events = timerValues.getCurrentWatermarkInMs() * 1000, []
+        while spans:
+            first, last = spans[0]
+            if not told and first <= mark:
+                events.append(("cooldown", first))
+                told = True
+            if not told or last + _COOLDOWN_US > mark:
+                break
+            events.append(("reusable", last + _COOLDOWN_US))
+            spans, told = spans[1:], False
+        self._hold(spans, told)
+        if events:
+            yield _frame(key, events)
+
+    def close(self) -> None:
+        pass
+
+
+def _frame(key: tuple, events: list[tuple[str, int]]) -> pd.DataFrame:
+    texts = {"category": [key[0]] * len(events), "url": [key[1]] * len(events), "status": [e[0] for e in events]}
+    found = pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in texts.items()})
+    found["at"] = pd.Series([e[1] for e in events], dtype="int64").astype("datetime64[us]")
+    return found
 
 
 def cooldown_events(uses: DataFrame, delay: str = "1 day") -> DataFrame:
-    """(category, url, used_at, matched) rows to an event at each start and end of a cooldown.
+    """(category, url, status, at): an event at each start (``cooldown``) and end (``reusable``) of a cooldown.
 
-    State holds the last use of the URLs in cooldown and is dropped when it ends; totals come from
-    :func:`pool_totals`, which needs none.
+    ``uses`` has (category, url, used_at, matched); uses without a time are left out. Uses may be late by ``delay``, an event is told once the
+    watermark has passed it. The session must use the RocksDB state store, see :func:`record_events`. Totals come from
+    :func:`pool_totals`, which needs no state.
     """
-    return (
-        uses.withWatermark("used_at", delay).groupBy(*KEYS)
-        .applyInPandasWithState(_update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    return uses.withWatermark("used_at", delay).groupBy(*KEYS).transformWithStateInPandas(
+        CooldownProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
+
+
+def record_events(uses: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+    """Log of :func:`cooldown_events`; timers and values live in RocksDB on the executors and are saved with the checkpoint."""
+    conf = uses.sparkSession.conf
+    before = conf.get(_STORE, None)
+    conf.set(_STORE, _ROCKSDB)  # read when the stream starts
+    try:
+        return run_available(cooldown_events(uses, delay), checkpoint, batch_log(path))
+    finally:
+        conf.unset(_STORE) if before is None else conf.set(_STORE, before)

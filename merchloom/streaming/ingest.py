@@ -1,7 +1,7 @@
 """Streaming ingestion: idempotent batch logs, keyed inserts and upserts, daily totals, due rows.
 
 Every sink writes one folder per micro-batch and replaces that folder when the batch is repeated, so
-a restart never doubles rows. Tables keyed by something are read back as the newest row per key.
+a restart never doubles rows. Tables keyed by something are kept in buckets of their key; see :mod:`merchloom.streaming.buckets`.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from merchloom.functions.dates import day_text
-from merchloom.operators.ranking import first_per_key
 from merchloom.operators.sites import schedule_due
+from merchloom.streaming.buckets import KeyedTable
 
 BATCH = "batch_id"
 
@@ -48,40 +48,23 @@ def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(f"{ddl}, {BATCH} BIGINT").parquet(path)
 
 
-def newest(log: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """Newest row per key over all batches."""
-    return first_per_key(log, list(keys), [F.col(BATCH).desc(), *order]).drop(BATCH)
-
-
 def append_buffer(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append every row once."""
     return run_available(stream, checkpoint, batch_log(path))
 
 
-def insert_unseen(stream: DataFrame, keys: Sequence[str], stored: DataFrame | None, path: str, checkpoint: str) -> StreamingQuery:
-    """Insert rows whose key was not seen before, in the stream or in the stored table.
+def insert_unseen(stream: DataFrame, table: KeyedTable, last_first: Sequence[Column], checkpoint: str, known: DataFrame | None = None) -> StreamingQuery:
+    """Insert rows whose key was not seen before, in the table or in ``known``.
 
-    The log of inserted rows is the memory: every batch is reduced to one row per key and joined with the keys of
-    the batches before it. So a key that returns after any time is found, and no state grows beside the log.
+    Of several rows of a key in one batch the last counts, that is the first in ``last_first``; rows without a key are skipped.
+    The table itself is the memory: a key that returns after any time is found, and no state grows beside it.
     """
-    def write(batch: DataFrame, number: int) -> None:
-        fresh = first_per_key(batch, list(keys), [F.col(c) for c in batch.columns])
-        seen = [stored.select(*keys)] if stored is not None else []
-        if number > 0:
-            seen.append(read_log(batch.sparkSession, path, batch.schema).where(F.col(BATCH) < number).select(*keys))
-        for known in seen:
-            fresh = fresh.join(known.distinct(), list(keys), "left_anti")
-        batch_log(path)(fresh, number)
-
-    return run_available(stream, checkpoint, write)
+    return run_available(stream, checkpoint, lambda batch, number: table.insert_absent(batch, number, last_first, known))
 
 
-def upsert_orders(stream: DataFrame, keys: Sequence[str], order: Sequence[Column], path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest row per key of each batch; readers merge the batches with :func:`newest`."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch_log(path)(first_per_key(batch, list(keys), list(order)), number)
-
-    return run_available(stream, checkpoint, write)
+def upsert_orders(stream: DataFrame, table: KeyedTable, order: Sequence[Column], checkpoint: str) -> StreamingQuery:
+    """Keep the newest row per key: later batches replace earlier ones, within a batch the first in ``order`` counts."""
+    return run_available(stream, checkpoint, lambda batch, number: table.put(batch, number, order))
 
 
 def orders_daily(stream: DataFrame, path: str, checkpoint: str, time: str = "order_time", amount: str = "order_amount") -> StreamingQuery:
@@ -97,11 +80,6 @@ def daily_totals(log: DataFrame) -> DataFrame:
     return log.groupBy("d").agg(F.sum("cnt").alias("cnt"), F.sum("revenue").alias("revenue"))
 
 
-def compact(spark: SparkSession, path: str, schema, reduce: Callable[[DataFrame], DataFrame], target: str) -> None:
-    """Write a log's reduced rows to ``target`` as one batch, for readers to go on from there."""
-    reduce(read_log(spark, path, schema)).write.mode("overwrite").parquet(f"{target}/{BATCH}=0")
-
-
 def due_rows(stream: DataFrame, now: Column, path: str, checkpoint: str) -> StreamingQuery:
     """Scheduled rows whose time has come, once per trigger."""
     return run_available(schedule_due(stream, now), checkpoint, batch_log(path))

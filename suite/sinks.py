@@ -12,12 +12,15 @@ from suite import duck, query
 S = duck.strip
 
 
-@query("export_columns", rf"""
-SELECT '' AS sku, regexp_replace({S('title')}, '[\x00-\x1F\x7F]+', '', 'g') AS title, regexp_replace({S('description')}, '[\x00-\x1F\x7F]+', '', 'g') AS description,
-       '' AS sub_description, coalesce(image, '') AS image, '' AS variant_name, '' AS variant_value, trim(category) AS category, lang || ', ' || domain AS tags, CAST(product_id AS VARCHAR) AS product_id FROM v_product
-WHERE length({S('description')}) <= 32760
-UNION ALL SELECT '', regexp_replace({S('title')}, '[\x00-\x1F\x7F]+', '', 'g'), substring(regexp_replace({S('description')}, '[\x00-\x1F\x7F]+', '', 'g'), 1, 32760) || CASE WHEN length(regexp_replace({S('description')}, '[\x00-\x1F\x7F]+', '', 'g')) > 32760 THEN '...(truncated)' ELSE '' END,
-       '', coalesce(image, ''), '', '', trim(category), lang || ', ' || domain, CAST(product_id AS VARCHAR) FROM v_product WHERE length({S('description')}) > 32760
+def _cell(value: str) -> str:
+    """A cell without control characters, cut to what a sheet holds."""
+    clean = rf"regexp_replace({value}, '[\x00-\x1F\x7F]+', '', 'g')"
+    return f"substring({clean}, 1, 32760) || CASE WHEN length({clean}) > 32760 THEN '...(truncated)' ELSE '' END"
+
+
+@query("export_columns", f"""
+SELECT '' AS sku, {_cell(S('title'))} AS title, {_cell(S('description'))} AS description, '' AS sub_description, {_cell("coalesce(image, '')")} AS image,
+       '' AS variant_name, '' AS variant_value, {_cell("trim(category)")} AS category, {_cell("lang || ', ' || domain")} AS tags, CAST(product_id AS VARCHAR) AS product_id FROM v_product
 """)
 def _(t):
     rows = t.v_product.withColumn("tags", F.array("lang", F.lit(" "), "domain"))

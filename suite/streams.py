@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from merchloom.session import scratch_path
 from merchloom.streaming import cooldown as C
 from merchloom.streaming import ingest as I
+from merchloom.streaming.buckets import KeyedTable
 from suite import query
 
 
@@ -40,8 +41,9 @@ def _(t):
     rows = t.events.select("event_id", "user_id", "event_type")
     stored = t.events.where("event_id % 60 = 7").select("user_id", "event_type")
     out = scratch_path(t.spark, "dedup")
-    I.insert_unseen(_files(t, rows, "event_id"), ["user_id", "event_type"], stored, out, out + "-cp")
-    return I.read_log(t.spark, out, rows.schema).select("user_id", "event_type")
+    table = KeyedTable(t.spark, out, rows.schema, ["user_id", "event_type"], buckets=8)
+    I.insert_unseen(_files(t, rows, "event_id"), table, [F.col("event_id").desc()], out + "-cp", stored)
+    return table.rows().select("user_id", "event_type")
 
 
 _USES = """SELECT user_id, ts, event_type = 'click' AS matched FROM {events}
@@ -65,6 +67,24 @@ def _(t):
     return pool.select("category", "url", "use_count", stamp("first_used_at"), stamp("last_used_at"), stamp("next_reusable_at"), "last_matched", "status")
 
 
+@query("stream_cooldown_events", f"""
+WITH e AS (SELECT 'cat' || user_id % 5 AS category, 'https://u' || user_id || '.example' AS url, ts FROM ({_USES.replace("{events}", "events")})),
+s AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY url ORDER BY ts) + INTERVAL 30 DAY THEN 1 ELSE 0 END AS fresh FROM e),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY url ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM s),
+spans AS (SELECT category, url, min(ts) AS first, max(ts) AS last FROM n GROUP BY category, url, island)
+SELECT category, url, 'cooldown' AS status, strftime(first, '%Y-%m-%d %H:%M:%S') AS at FROM spans WHERE first <= (SELECT max(ts) - INTERVAL 60 DAY FROM e)
+UNION ALL SELECT category, url, 'reusable', strftime(last + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') FROM spans
+WHERE last + INTERVAL 30 DAY <= (SELECT max(ts) - INTERVAL 60 DAY FROM e)
+""")
+def _(t):
+    rows = t.sql(f"SELECT concat('cat', user_id % 5) AS category, concat('https://u', user_id, '.example') AS url, CAST(ts AS TIMESTAMP) AS used_at, matched FROM ({_USES})")
+    out = scratch_path(t.spark, "cooldown-events")
+    # files of one part come in any order, so uses are late by what a part spans
+    C.record_events(_files(t, rows, "used_at", 4), out, out + "-cp", "60 days")
+    events = t.spark.read.schema(f"{C.OUTPUT}, {I.BATCH} BIGINT").parquet(out)
+    return events.select("category", "url", "status", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query("stream_orders_upsert", """
 WITH u AS (SELECT o_custkey, o_orderstatus, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) SELECT o_custkey, o_orderstatus, o_totalprice FROM u WHERE rn = 1
 """)
@@ -72,8 +92,9 @@ def _(t):
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     out = scratch_path(t.spark, "upsert")
     newest_first = [F.col("o_orderkey").desc()]
-    I.upsert_orders(_files(t, rows, "o_orderkey"), ["o_custkey"], newest_first, out, out + "-cp")
-    return I.newest(I.read_log(t.spark, out, rows.schema), ["o_custkey"], newest_first).drop("o_orderkey")
+    table = KeyedTable(t.spark, out, rows.schema, ["o_custkey"], buckets=8)
+    I.upsert_orders(_files(t, rows, "o_orderkey"), table, newest_first, out + "-cp")
+    return table.rows().drop("o_orderkey")
 
 
 @query("stream_orders_daily", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, count(*) AS cnt, round(sum(o_totalprice), 2) AS revenue FROM orders GROUP BY 1")

@@ -16,6 +16,7 @@ from merchloom.plans import export
 from merchloom.session import drop_scratch, scratch_path
 from merchloom.sources import readers
 from merchloom.streaming import cooldown, ingest
+from merchloom.streaming.buckets import KeyedTable
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -116,24 +117,86 @@ def test_uses_add_up_across_cooldowns(spark, tmp_path):
 
 
 def test_cooldown_events(spark, tmp_path):
-    batches = [[("c", "u", DAY, True)], [("c", "other", DAY + dt.timedelta(days=80), True)], [("c", "last", DAY + dt.timedelta(days=81), True)]]
+    def use(url, day):
+        return ("c", url, DAY + dt.timedelta(days=day), True)
+
+    # the use of day 25 puts the end off, those of day 300 come after an end
+    batches = [[use("u", 0), use("v", 1)], [use("u", 25)], [use("w", 80)], [use("x", 299), use("v", 300), use("w", 300)], [use("y", 303)]]
     stream = feed(spark, tmp_path, batches, "category string, url string, used_at timestamp, matched boolean")
-    events = cooldown.cooldown_events(stream)
     out = str(tmp_path / "events")
-    ingest.run_available(events, out + "-cp", ingest.batch_log(out))
-    got = {(r.url, r.status) for r in ingest.read_log(spark, out, events.schema).collect()}
-    assert {("u", "cooldown"), ("u", "reusable"), ("other", "cooldown")} <= got and ("other", "reusable") not in got
+    cooldown.record_events(stream, out, out + "-cp")
+    log = spark.read.schema(f"{cooldown.OUTPUT}, batch_id bigint").parquet(out)
+    got = sorted((r.url, (r.at - DAY).days, r.status) for r in log.collect())
+    assert got == [("u", 0, "cooldown"), ("u", 55, "reusable"), ("v", 1, "cooldown"), ("v", 31, "reusable"), ("v", 300, "cooldown"), ("w", 80, "cooldown"),
+                   ("w", 110, "reusable"), ("w", 300, "cooldown"), ("x", 299, "cooldown")]  # y is not yet past the watermark
 
 
-def test_a_key_that_returns_late_is_not_inserted_again(spark, tmp_path):
-    batches = [[("a", 0), ("a", 1)], [("b", 400)], [("a", 800), ("c", 800)]]
+def test_cooldown_survives_a_restart(spark, tmp_path):
+    kind = "category string, url string, used_at timestamp, matched boolean"
+    out = str(tmp_path / "events")
+    for n, (url, day) in enumerate([("u", 0), ("v", 10), ("w", 200), ("w", 202)]):
+        path = str(tmp_path / "in")
+        spark.createDataFrame([("c", url, DAY + dt.timedelta(days=day), True)], kind).coalesce(1).write.mode("append").parquet(path)
+        stream = ingest.read_files(spark, path, spark.createDataFrame([], kind).schema)
+        cooldown.record_events(stream, out, out + "-cp")  # every run is a new query on the old checkpoint
+    log = spark.read.schema(f"{cooldown.OUTPUT}, batch_id bigint").parquet(out)
+    got = sorted((r.url, (r.at - DAY).days, r.status) for r in log.collect())
+    assert got == [("u", 0, "cooldown"), ("u", 30, "reusable"), ("v", 10, "cooldown"), ("v", 40, "reusable"), ("w", 200, "cooldown")]
+
+
+def test_keyless_rows_are_skipped_and_the_last_of_a_batch_counts(spark, tmp_path):
+    batches = [[(None, 1), (None, 2), ("a", 3), ("a", 4)], [(None, 4), ("a", 5), ("", 6), ("b", 7)], [("a", 800), ("c", 800), ("b", 9)]]
     stream = feed(spark, tmp_path, batches, "k string, day int")
-    out = str(tmp_path / "log")
-    ingest.insert_unseen(stream, ["k"], spark.createDataFrame([("c",)], "k string"), out, out + "-cp")
-    log = ingest.read_log(spark, out, stream.schema)
-    assert sorted((r.k, r.day) for r in log.collect()) == [("a", 0), ("b", 400)]
-    ingest.compact(spark, out, stream.schema, lambda df: ingest.newest(df, ["k"]), str(tmp_path / "compact"))
-    assert ingest.read_log(spark, str(tmp_path / "compact"), stream.schema).count() == 2
+    out = str(tmp_path / "table")
+    table = KeyedTable(spark, out, stream.schema, ["k"])
+    ingest.insert_unseen(stream, table, [F.desc("day")], out + "-cp", spark.createDataFrame([("c",)], "k string"))
+    assert sorted((r.k, r.day) for r in table.rows().collect()) == [("a", 4), ("b", 7)]
+
+
+def test_keyed_table_merges_and_reads_only_its_buckets(spark, tmp_path):
+    out = str(tmp_path / "table")
+    kind = spark.createDataFrame([], "k long, v long").schema
+    table = KeyedTable(spark, out, kind, ["k"], buckets=16, merge_every=4)
+    assert table.rows().count() == 0 and table.known_keys([0]) is None
+    want, read, own = {}, [], bucket_of(spark, 7, 16)
+    for n in range(20):
+        rows = [(k, n) for k in (7, 1000 + n, 2000 + n)]
+        table.put(spark.createDataFrame(rows, kind), n, [F.desc("v")])
+        want |= dict(rows)
+        read.append(sum(f"_bucket={own}/" in path for path in table.known_keys([own], n + 1).inputFiles()))
+        assert len(table._folders()) <= 3 * 3
+    assert {r.k: r.v for r in table.rows().collect()} == want
+    assert max(read[10:]) <= max(read[:10]) + 3
+    # a repeated batch changes nothing, an older version can still be read
+    table.put(spark.createDataFrame([(7, 19), (1019, 19), (2019, 19)], kind), 19, [F.desc("v")])
+    assert {r.k: r.v for r in table.rows().collect()} == want
+    table.insert_absent(spark.createDataFrame([(7, 99), (3000, 99), (None, 99)], kind), 20, [F.desc("v")])
+    assert {r.k: r.v for r in table.rows().collect()} == want | {3000: 99}
+
+
+def bucket_of(spark, key, buckets):
+    return spark.range(1).select(F.pmod(F.xxhash64(F.lit(key).cast("long")), F.lit(buckets)).alias("b")).first().b
+
+
+def test_batches_read_no_more_as_the_table_grows(spark, tmp_path):
+    """Twenty batches on one bucket's keys, while the other buckets grow: the bytes read stay those of the bucket."""
+    import os
+
+    out = str(tmp_path / "table")
+    kind = spark.createDataFrame([], "k long, v string").schema
+    table = KeyedTable(spark, out, kind, ["k"], buckets=8, merge_every=4)
+    own = [k for k in range(200) if bucket_of(spark, k, 8) == 3][:10]
+    sizes = []
+    for n in range(20):
+        others = spark.range(n * 1000 + 1000, n * 1000 + 2000).where(F.pmod(F.xxhash64("id"), F.lit(8)) != 3).select(
+            F.col("id").alias("k"), F.lit("x").alias("v"))
+        table.put(others.unionByName(spark.createDataFrame([(k, str(n)) for k in own], kind)), n, [F.col("v")])
+        found = table.known_keys([3]).select("k")
+        assert {r.k for r in found.distinct().collect()} == set(own)
+        paths = found.where(F.col("k").isNotNull()).inputFiles()
+        sizes.append(sum(os.path.getsize(p.removeprefix("file://").replace("file:", "")) for p in paths if "_bucket=3" in p))
+        assert sum("_bucket=3" in p for p in paths) <= 3 * 3
+    assert max(sizes[4:]) <= 3 * max(sizes[:4])
 
 
 def test_late_orders_count(spark, tmp_path):
