@@ -3,7 +3,7 @@
 Two ways with the same results:
 
 * a term list given as Python values is bounded by its author and is evaluated inside the row;
-* a term table of any size is matched by equi-join: word n-grams for whole-word terms, character
+* a term table of any size is matched by equi-join: the rarest word of each whole-word term, character
   grams for terms that may stand inside a word. Neither side is multiplied by the other.
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,6 @@ from merchloom.functions.text import normalize_text
 # one sign that no text word can equal; it keeps phrases from matching across punctuation
 BARRIER = "\u0001"
 MAX_GRAM = 4
-MAX_FIRST_WORDS = 10_000
 
 
 def boundary_words(value: ColumnLike) -> Column:
@@ -149,36 +150,49 @@ class Lexicon:
         return chain.otherwise("")
 
 
+def _anchors(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """``_gram, _size, _word, _offset, _before, _after`` per n-gram that the texts may hold: its rarest word, where it stands, and the words beside it.
+
+    Words are counted over all texts (``words`` has the arrays in ``_w``); an n-gram with a word that no text has is left out.
+    """
+    vocabulary = grams.select(F.explode("_w").alias("_word")).distinct()
+    spoken = words.select(F.explode("_w").alias("_word")).join(vocabulary, "_word").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    each = grams.select("_gram", "_w", F.posexplode("_w").alias("_offset", "_word")).join(spoken, "_word")
+    rarest = each.groupBy("_gram").agg(F.min(F.struct("_n", "_offset", "_word")).alias("_at"), F.count(F.lit(1)).alias("_known"), F.first("_w").alias("_w"))
+    beside = lambda step: F.when(F.col("_at._offset") + step >= 0, F.get("_w", F.col("_at._offset") + step))
+    return rarest.where(F.col("_known") == F.size("_w")).select(
+        "_gram", F.size("_w").alias("_size"), F.col("_at._word").alias("_word"), F.col("_at._offset").alias("_offset"),
+        beside(-1).alias("_before"), beside(1).alias("_after"))
+
+
 def ngram_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame,
                words_of: Callable[[ColumnLike], Column] = boundary_words) -> DataFrame:
     """Distinct (keys, term columns) rows where the term's words stand in the text, for a table of any size.
 
-    Each text yields its distinct n-grams up to the longest term; they meet the terms by equi-join.
+    An index of rare anchors: a term is looked for only where its rarest word stands, the words beside it are compared
+    there and then, and the few places of longer terms that are left are verified on the words of their text. What the texts emit depends
+    on how often anchors occur, not on the number or lengths of the terms. Terms without a word, and null ones, are nowhere.
     """
-    wanted = terms.withColumn("_w", words_of("term"))
-    starts = wanted.select(F.size("_w").alias("size"), F.get("_w", F.lit(0)).alias("first")).distinct()
-    listed = starts.limit(MAX_FIRST_WORDS + 1).collect()
-    if not listed:
-        return _no_hits(texts, keys, terms)
-    few = len(listed) <= MAX_FIRST_WORDS
-    # term lengths are a handful of small numbers whatever the size of the table
-    lengths = sorted({r["size"] for r in (listed if few else starts.select("size").distinct().collect())})
-    firsts = sorted({r["first"] for r in listed})
+    wanted = terms.withColumn("_w", words_of("term")).where("term IS NOT NULL").withColumn("_gram", F.array_join("_w", " "))
     words = texts.select(*keys, words_of(column).alias("_w"))
-
-    def grams_of(w: Column) -> Column:
-        places = F.sequence(F.lit(1), F.size(w))
-        if few:
-            # only places at which some term can begin; a longer list is left to the join alone
-            marked = F.transform(w, lambda word, i: F.when(word.isin(firsts), i + 1))
-            places = F.filter(marked, lambda i: i.isNotNull())
-        sizes = F.array(*[F.lit(n) for n in lengths])
-        runs = F.transform(places, lambda i: F.transform(sizes, lambda n: F.array_join(F.slice(w, i, n), " ")))
-        return F.array_distinct(F.flatten(runs))
-
-    grams = words.select(*keys, F.explode(grams_of(F.col("_w"))).alias("_gram"))
-    phrases = wanted.withColumn("_gram", F.array_join("_w", " ")).drop("_w").distinct()
-    return grams.join(phrases, "_gram").drop("_gram").distinct()
+    anchors = _anchors(words, wanted.select("_gram", "_w").distinct())
+    none = F.array(F.lit(None).cast("string"))
+    size = F.size("_w")
+    shifted = F.arrays_zip(F.col("_w").alias("word"), F.concat(none, F.slice("_w", 1, F.greatest(size - 1, F.lit(0)))).alias("before"),
+                           F.concat(F.slice("_w", 2, F.greatest(size - 1, F.lit(0))), none).alias("after"))
+    places = words.select(*keys, F.posexplode(shifted).alias("_place", "_one")).select(
+        *keys, "_place", F.col("_one.word").alias("_word"), F.col("_one.before").alias("_left"), F.col("_one.after").alias("_right"))
+    beside = (F.col("_before").isNull() | (F.col("_before") == F.col("_left"))) & (F.col("_after").isNull() | (F.col("_after") == F.col("_right")))
+    met = places.join(anchors, "_word").where(beside).select(
+        *keys, "_gram", "_size", (F.col("_place") - F.col("_offset")).alias("_start"),
+        ((F.col("_offset") <= 1) & (F.col("_size") - F.col("_offset") <= 2)).alias("_whole"))
+    longer = met.where("NOT _whole AND _start >= 0").groupBy(*keys).agg(F.collect_set(F.struct("_start", "_size", "_gram")).alias("_open"))
+    own = longer.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_open")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    stands = F.filter("_open", lambda o: F.array_join(F.slice(F.col("_w"), o["_start"] + 1, o["_size"]), " ") == o["_gram"])
+    verified = words.join(own, same).select(*keys, F.explode(F.transform(stands, lambda o: o["_gram"])).alias("_gram"))
+    found = met.where("_whole").select(*keys, "_gram").union(verified).distinct()
+    return found.join(wanted.drop("_w").distinct(), "_gram").drop("_gram").distinct()
 
 
 def _no_hits(texts: DataFrame, keys: list[str], terms: DataFrame, on: Sequence[str] = ()) -> DataFrame:

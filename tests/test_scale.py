@@ -65,7 +65,7 @@ def _words(rng, n, size):
     return ["".join(rng.choice("abcde") for _ in range(rng.randint(1, size))) for _ in range(n)]
 
 
-def test_ngram_hits_equal_brute_force(spark, monkeypatch):
+def test_ngram_hits_equal_brute_force(spark):
     rng = random.Random(1)
     texts = [(i, " ".join(_words(rng, 12, 2)).replace("e", rng.choice(["e", "-", ",", "  "]))) for i in range(60)]
     terms = sorted({" ".join(_words(rng, rng.randint(1, 3), 2)) for _ in range(40)})
@@ -74,8 +74,31 @@ def test_ngram_hits_equal_brute_force(spark, monkeypatch):
 
     want = {(i, w) for i, x in texts for w in terms if re.search(rf"(^|[^a-z0-9]){w.replace('-', ' ')}([^a-z0-9]|$)", x.replace("-", " "))}
     assert {(r["id"], r["term"]) for r in lexicon.ngram_hits(t, ["id"], "x", k).collect()} == want
-    monkeypatch.setattr(lexicon, "MAX_FIRST_WORDS", 0)
-    assert {(r["id"], r["term"]) for r in lexicon.ngram_hits(t, ["id"], "x", k).collect()} == want
+
+
+def test_ngram_hits_edges_and_long_terms(spark):
+    rng = random.Random(4)
+    body = ["".join(rng.choice("abc") for _ in range(3)) for _ in range(400)]
+    texts = [(1, " ".join(body)), (1, "other row of one id stun gun"), (None, "a stun gun here"), (2, None), (3, ""), (4, "stun, gun"), (5, "gun stun gun stun")]
+    terms = [" ".join(body[7:29]), " ".join(body[100:104]), "stun gun", "gun", "never said", " ".join(body[:2] + ["never"]), None, "here"]
+    t = spark.createDataFrame([(*r, "extra") for r in texts], "id int, x string, _w string").drop("_w")
+    k = spark.createDataFrame([(w, n) for n, w in enumerate(terms)] + [("gun", 3)], "term string, n int")
+    got = {(r["id"], r["n"]) for r in lexicon.ngram_hits(t, ["id"], "x", k).collect()}
+    assert got == {(1, 0), (1, 1), (1, 2), (1, 3), (None, 2), (None, 3), (None, 7), (4, 3), (5, 2), (5, 3)}
+    assert lexicon.ngram_hits(t, ["id"], "x", k.limit(0)).count() == 0
+
+
+def test_places_do_not_grow_with_term_lengths(spark):
+    """What the texts emit is decided by the anchors alone: terms of many lengths at one rare word give one row a place."""
+    words = [f"w{i}" for i in range(60)]
+    text = " ".join(words)
+    few = spark.createDataFrame([(" ".join(words[20:23]),)], "term string")
+    many = spark.createDataFrame([(" ".join(words[20:20 + n]),) for n in range(1, 30)], "term string")
+    t = spark.createDataFrame([(i, text if i == 0 else text.replace("w20", "x")) for i in range(40)], "id int, x string")
+    parts = lambda k: lexicon._anchors(t.select("id", lexicon.boundary_words("x").alias("_w")), k.select(
+        lexicon.boundary_words("term").alias("_w")).withColumn("_gram", F.array_join("_w", " ")))
+    assert {r["_word"] for r in parts(few).collect()} == {r["_word"] for r in parts(many).collect()} == {"w20"}
+    assert lexicon.ngram_hits(t, ["id"], "x", many).count() == 29
 
 
 def test_substring_hits_equal_brute_force(spark):
