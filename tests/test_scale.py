@@ -154,6 +154,47 @@ def test_semantic_blocks_agree(spark, monkeypatch):
     assert whole == blocks
 
 
+def test_pivot_join_equals_brute_force(spark, monkeypatch):
+    """Clustered entries in many small blocks, ties, zero vectors, repeated keys; blocks that can't win are not compared."""
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(12, 20))
+    entries = [(f"l{k:03}", (centres[k % 12] + draw.normal(size=20) * 0.05).tolist()) for k in range(150)] + [("zero", [0.0] * 20)]
+    entries += [("a-twin", entries[7][1]), ("z-twin", entries[7][1])]
+    rows = [(k, (centres[k % 3] + draw.normal(size=20) * 0.05).tolist()) for k in range(90)] + [(200, entries[7][1]), (201, [0.0] * 20), (5, entries[9][1])]
+    monkeypatch.setattr(semantic, "BLOCK_VECTORS", 8)
+    monkeypatch.setattr(semantic, "PART_ROWS", 16)
+    monkeypatch.setattr(semantic, "PIVOTS", 5)
+
+    def unit(v):
+        n = np.linalg.norm(v)
+        return np.array(v) / (n or 1.0)
+
+    want = []
+    for key, v in rows:
+        sims = [(-round(float(unit(v) @ unit(w)), 9), label) for label, w in entries]
+        want.append((key, min(sims)[1]))
+    r = spark.createDataFrame(rows, "id long, v array<double>").coalesce(2)
+    i = spark.createDataFrame(entries, "label string, w array<double>")
+    got = sorted((x.id, x.label) for x in semantic.nearest(r, "id", "v", i, "label", "w").collect())
+    assert got == sorted(want)
+    mains = spark.createDataFrame([(f"m{k}", centres[k].tolist()) for k in range(12)], "main string, vector array<double>")
+    paths = i.select(F.concat(F.lit("m"), F.pmod(F.xxhash64("label"), F.lit(12))).alias("main"), F.col("label").alias("path"), (F.length("label") % 3).cast("int").alias("depth"), F.col("w").alias("vector"))
+    top = {x.main: unit(x.vector) for x in mains.collect()}
+    choices = [(x.main, x.path, x.depth, unit(x.vector)) for x in paths.collect()]
+    best = {}
+    for key, v in rows:
+        u, options = unit(v), []
+        for main, path, depth, w in choices:
+            a, b = float(u @ top[main]), float(u @ w)
+            if a >= 0.4:
+                options.append((-((depth if b >= 0.5 else 0) * 10.0 + round((a + b) / 2, 9)), f"{main}\u0001{path}", f"{main}|||{path}"))
+        best.setdefault(key, set()).add(min(options)[2] if options else "Others")
+    found = semantic.classify(r.where("id <> 5"), "id", "v", mains, paths).collect()
+    assert {x.id: x.category for x in found} == {k: next(iter(v)) for k, v in best.items() if k != 5}
+
+
 def test_moved_and_kept_rows_are_the_whole_table(spark, tmp_path):
     from merchloom.sources import sinks
 
