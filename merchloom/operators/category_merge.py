@@ -29,9 +29,9 @@ def with_clean_category(df: DataFrame, column: str) -> DataFrame:
     return keyed.withColumn("cat_key", F.when(F.col("cat_key") == "", "other").otherwise(F.col("cat_key")))
 
 
-def representatives(df: DataFrame, key: str = "cat_key", label: str = "clean_category") -> DataFrame:
-    """Rows per key and its most frequent spelling; the smaller spelling wins a tie."""
-    spellings = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("_n"))
+def representatives(df: DataFrame, key: str = "cat_key", label: str = "clean_category", rows: str | None = None) -> DataFrame:
+    """Rows per key and its most frequent spelling; the smaller spelling wins a tie. ``rows`` names a column of counts."""
+    spellings = df.groupBy(key, label).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("_n"))
     totals = spellings.groupBy(key).agg(F.sum("_n").alias("rows"))
     best = first_per_key(spellings, [key], [F.col("_n").desc(), F.col(label)])
     return totals.join(best.select(key, F.col(label).alias("representative")), key)
@@ -91,10 +91,12 @@ def merge_map(counts: DataFrame, threshold: int = SMALL_CATEGORY) -> DataFrame:
 
 def clean_and_merge(df: DataFrame, column: str, threshold: int = SMALL_CATEGORY) -> DataFrame:
     """Clean every category, drop CJK-only rows, then fold small categories into large ones."""
-    cleaned = with_clean_category(df, column).where(F.col("clean_category") != DROP_ROW)
-    mapping = merge_map(representatives(cleaned), threshold)
-    return cleaned.join(mapping, "cat_key", "left").withColumn(
-        column, F.coalesce("target", "clean_category")).drop("cat_key", "clean_category", "target")
+    # distinct spellings are cleaned, rows only look theirs up
+    raws = df.groupBy(F.col(column).alias("_raw")).agg(F.count(F.lit(1)).alias("_rows"))
+    cleaned = cut_lineage(with_clean_category(raws, "_raw").where(F.col("clean_category") != DROP_ROW))
+    mapping = merge_map(representatives(cleaned, rows="_rows"), threshold)
+    final = cleaned.join(mapping, "cat_key", "left").select("_raw", F.coalesce("target", "clean_category").alias("_final"))
+    return df.join(final, F.col(column).eqNullSafe(F.col("_raw"))).withColumn(column, F.col("_final")).drop("_raw", "_final")
 
 
 def small_categories(df: DataFrame, column: str, threshold: int) -> DataFrame:

@@ -40,8 +40,8 @@ def content_words(value: ColumnLike) -> F.Column:
     )
 
 
-def word_overlap(df: DataFrame, title: str, nodes: DataFrame, anti: bool = False) -> DataFrame:
-    """Rows whose title is a node or shares a content word with one (``anti``: the others).
+def overlap_flag(df: DataFrame, title: str, nodes: DataFrame, name: str = "hit") -> DataFrame:
+    """Add whether the title is a node or shares a content word with one.
 
     Both tests are equi-joins on distinct titles: first title to name or word, then rows to titles. Words
     travel with a hash of their title.
@@ -54,7 +54,13 @@ def word_overlap(df: DataFrame, title: str, nodes: DataFrame, anti: bool = False
         names.select(F.unhex(F.sha2("key", 256)).alias("_title"))
         .union(keys.join(words, "key", "left_semi").select("_title")).distinct()
     )
-    return df.withColumn("_title", title_id).join(matched, "_title", "left_anti" if anti else "left_semi").drop("_title")
+    found = df.withColumn("_title", title_id).join(matched.withColumn("_hit", F.lit(True)), "_title", "left")
+    return found.withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_title", "_hit")
+
+
+def word_overlap(df: DataFrame, title: str, nodes: DataFrame, anti: bool = False) -> DataFrame:
+    """Rows whose title is a node or shares a content word with one (``anti``: the others)."""
+    return overlap_flag(df, title, nodes, "_overlaps").where(F.col("_overlaps") != F.lit(anti)).drop("_overlaps")
 
 
 def flatten_taxonomy(lines: DataFrame) -> DataFrame:
@@ -67,29 +73,43 @@ def flatten_taxonomy(lines: DataFrame) -> DataFrame:
     )
 
 
-MAX_LEVELS = 1000
+def _rounds(rows: DataFrame) -> int:
+    """Rounds of doubling after which every chain of parents has met its root, or never will."""
+    return max(1, rows.count()).bit_length() + 1
+
+
+def _rooted(kids: DataFrame) -> DataFrame:
+    """Ids with a chain of parents to a root, by pointer doubling: each round an id points to what its pointer pointed to."""
+    state, left = cut_lineage(kids.select("id", "up").distinct()), _rounds(kids)
+    while left and not state.where("up IS NOT NULL").isEmpty():
+        ahead = state.select(F.col("id").alias("up"), F.col("up").alias("_next"))
+        moved = state.where("up IS NOT NULL").join(ahead, "up").select("id", F.col("_next").alias("up"))
+        state = cut_lineage(state.where("up IS NULL").union(moved).distinct())
+        left -= 1
+    return state.where("up IS NULL").select("id").distinct()
 
 
 def parent_paths(nodes: DataFrame) -> DataFrame:
-    """Path of titles from the root for every (id, parent, name) row that hangs on a root.
+    """Path of titles from the root, and depth, for every (id, parent, name) row that hangs on a root.
 
-    Walks down one level per join until a level is empty; each level is cut off, so no level repeats the
-    joins above it. A row that no chain of parents ties to a root is in :func:`rootless`. More than
-    ``MAX_LEVELS`` levels mean that ids repeat in a cycle, and are refused.
+    Pointer doubling: in each round a row takes over the path and the pointer of the row it points to, so a tree of depth d takes
+    about log2(d) joins. A row that no chain of parents ties to a root, cycles among them, is in :func:`rootless`.
+    Ids that repeat inside a cycle that hangs on a root have paths without end and are refused.
     """
-    kids = nodes.select("id", "parent", "name")
-    level = cut_lineage(kids.where(F.col("parent").isNull() | (strip("parent") == "") | (F.col("parent") == "0")).select(
-        "id", F.col("name").alias("path"), F.lit(1).alias("depth")))
-    found, depth = level, 1
-    while not level.isEmpty():
-        depth += 1
-        if depth > MAX_LEVELS:
-            raise ValueError(f"more than {MAX_LEVELS} levels: do ids repeat in a cycle?")
-        up = level.select(F.col("id").alias("parent"), F.col("path").alias("_up"))
-        level = cut_lineage(kids.join(up, "parent").select(
-            "id", F.concat_ws(" > ", "_up", "name").alias("path"), F.lit(depth).alias("depth")))
-        found = found.unionByName(level)
-    return found
+    no_parent = F.col("parent").isNull() | (strip("parent") == "") | (F.col("parent") == "0")
+    kids = cut_lineage(nodes.select("id", "name", F.when(~no_parent, F.col("parent")).alias("up")))
+    rooted = _rooted(kids).withColumnRenamed("id", "up")
+    rows = kids.where("up IS NULL").unionByName(kids.join(rooted, "up", "left_semi").select("id", "name", "up"))
+    state, left = cut_lineage(rows.select("id", F.col("name").alias("path"), F.lit(1).alias("depth"), "up")), _rounds(rows)
+    while not state.where("up IS NOT NULL").isEmpty():
+        if not left:
+            raise ValueError("paths without end: do ids repeat in a cycle?")
+        ahead = state.select(F.col("id").alias("up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"), F.col("up").alias("_next"))
+        moved = state.where("up IS NOT NULL").join(ahead, "up").select(
+            "id", F.concat_ws(" > ", "_path", "path").alias("path"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_next").alias("up"))
+        state = cut_lineage(state.where("up IS NULL").union(moved))
+        left -= 1
+    return state.drop("up")
 
 
 def rootless(nodes: DataFrame, paths: DataFrame) -> DataFrame:

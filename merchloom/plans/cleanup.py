@@ -14,6 +14,7 @@ from merchloom.functions.text import clean_description, clean_tags, clean_title
 from merchloom.operators import category_merge as M
 from merchloom.operators import dedup, rules, taxonomy
 from merchloom.operators.lexicon import Lexicon
+from merchloom.session import cut_lineage
 
 PRICES = ("discount_price", "original_price")
 
@@ -101,6 +102,7 @@ def staging_to_clean(df: DataFrame, prohibited: Lexicon) -> DataFrame:
 
 def merge_clean(kept: DataFrame, threshold: int = M.SMALL_CATEGORY) -> DataFrame:
     """Kept rows with their cleaned category, small ones folded into large ones."""
+    kept = cut_lineage(kept)  # counted and joined, and no verdict is given twice
     mapping = M.merge_map(M.representatives(kept), threshold)
     return kept.join(mapping, "cat_key", "left").withColumn(
         "category", F.coalesce("target", "clean_category")).drop("cat_key", "clean_category", "target")
@@ -127,13 +129,13 @@ def bulk_cleanup(df: DataFrame, prohibited: Lexicon) -> DataFrame:
 def full_cleanup(df: DataFrame, prohibited: Lexicon, threshold: int = M.SMALL_CATEGORY) -> DataFrame:
     """Bulk clean-up, then category clean-up and merge of what is left."""
     kept = bulk_cleanup(df, prohibited).where("verdict = ''").drop("verdict", "match_field", "match_keyword")
-    return M.clean_and_merge(kept, "category", threshold)
+    return M.clean_and_merge(cut_lineage(kept), "category", threshold)
 
 
 def collection_filter(collections: DataFrame, title: str, nodes: DataFrame) -> DataFrame:
     """Collections whose title fits the taxonomy go on as ``filtered``, the others stay ``unfiltered``."""
-    hit = taxonomy.word_overlap(collections, title, nodes).withColumn("stage", F.lit("filtered"))
-    return hit.unionByName(taxonomy.word_overlap(collections, title, nodes, anti=True).withColumn("stage", F.lit("unfiltered")))
+    flagged = taxonomy.overlap_flag(collections, title, nodes, "_fits")
+    return flagged.withColumn("stage", F.when(F.col("_fits"), "filtered").otherwise("unfiltered")).drop("_fits")
 
 
 def discover(results: DataFrame, existing: DataFrame, min_products: int, url: str = "url", order: str = "result_id") -> DataFrame:

@@ -45,8 +45,7 @@ SELECT doc_id, title IN (SELECT node FROM n) OR len(list_intersect(regexp_split_
 def _(t):
     nodes = t.sql("SELECT DISTINCT p_name AS node FROM {part} WHERE p_size = 3")
     titles = t.sql("SELECT doc_id, concat(trim(text), ' ', p_name) AS title FROM {documents} JOIN {part} ON p_partkey = doc_id")
-    hit = taxonomy.word_overlap(titles, "title", nodes).select("doc_id", F.lit(True).alias("hit"))
-    return hit.unionByName(taxonomy.word_overlap(titles, "title", nodes, anti=True).select("doc_id", F.lit(False).alias("hit")))
+    return taxonomy.overlap_flag(titles, "title", nodes).select("doc_id", "hit")
 
 
 @query("merge_map_apply", """

@@ -57,6 +57,19 @@ def test_chain_of_twelve_and_rootless_rows(spark):
     assert {r.id for r in taxonomy.rootless(nodes, paths).collect()} == {"lost", "below"}
 
 
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = taxonomy.cut_lineage
+    monkeypatch.setattr(taxonomy, "cut_lineage", lambda df: rounds.append(1) or real(df))
+    nodes = spark.range(1, 1201).select(F.col("id").cast("string").alias("id"), (F.col("id") - 1).cast("string").alias("parent"), F.concat(F.lit("n"), "id").alias("name"))
+    loop = spark.createDataFrame([("x", "y", "x"), ("y", "x", "y"), ("z", "x", "z"), ("self", "self", "s"), ("lost", "nowhere", "l")], "id string, parent string, name string")
+    paths = taxonomy.parent_paths(nodes.unionByName(loop))
+    deepest = paths.orderBy(F.desc("depth")).first()
+    assert (paths.count(), deepest.depth, deepest.path.count(">")) == (1200, 1200, 1199) and deepest.path.startswith("n1 > n2 > n3")
+    assert len(rounds) <= 2 * 13 + 3
+    assert {r.id for r in taxonomy.rootless(nodes.unionByName(loop), paths).collect()} == {"x", "y", "z", "self", "lost"}
+
+
 def test_trees_of_any_depth(spark):
     tree = '{"a": ["k1"], "b": {"c": "k2"}, "d": {"e": {"f": {"g": {"h": ["k3", "k4"]}}}}, "z": {}, "n": null}'
     frame = spark.createDataFrame([(1, tree), (2, "{broken"), (3, None)], "id int, tree string")
