@@ -69,8 +69,9 @@ class Lexicon:
     def hits(self, value: ColumnLike) -> Column:
         """Terms found in the text, in order of first occurrence, without rescued ones.
 
-        The text is split into words once. Its n-grams are looked up in the set of terms of n words, so the
-        plan and the work per text do not grow with the list; only CJK terms are searched one by one.
+        The text is split into words once. A term is looked up by its first word, once per place, and the safe contexts of
+        what was found in a map, so the plan and the work per text grow neither with the list nor with the contexts; only CJK terms
+        are searched one by one.
         """
         terms = sorted({t.lower().replace("-", " ").strip() for t in self.terms} - {""})
         named: dict[str, list[str]] = {}
@@ -79,30 +80,39 @@ class Lexicon:
                 named.setdefault(_plain_words(term), []).append(term)
         entry = "array<struct<at:int,term:string>>"
 
-        def grams(words: Column, n: int, plain: list[str]) -> Column:
-            if n == 1:
-                return F.filter(words, lambda w: w.isin(plain))
-            heads = sorted({p.split(" ")[0] for p in plain})
-            places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(heads), i + 1)), lambda i: i.isNotNull())
-            return F.filter(F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " ")), lambda g: g.isin(plain))
+        by_first: dict[str, list[str]] = {}
+        for plain in named:
+            by_first.setdefault(plain.split(" ")[0], []).append(plain)
+
+        def seen_in(words: Column) -> Column:
+            """Terms whose words stand together: looked up by their first word, once per place where one begins."""
+            single = sorted(p for p in named if " " not in p)
+            longer = {first: [p for p in plains if " " in p] for first, plains in by_first.items()}
+            longer = {first: plains for first, plains in longer.items() if plains}
+            parts = [F.filter(words, lambda w: w.isin(single))] if single else []
+            if longer:
+                entries = F.create_map(*[x for first, plains in longer.items() for x in (F.lit(first), F.array(*[
+                    F.struct(F.lit(p).alias("p"), F.lit(len(p.split(" "))).alias("n")) for p in plains]))])
+                places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(list(longer)), i + 1)), lambda i: i.isNotNull())
+                runs = F.transform(places, lambda i: F.filter(F.element_at(entries, F.element_at(words, i)),
+                                                              lambda e: F.array_join(F.slice(words, i, e["n"]), " ") == e["p"]))
+                parts.append(F.transform(F.flatten(runs), lambda e: e["p"]))
+            return F.array_distinct(F.concat(*parts))
 
         def found(texts: Column) -> Column:
             parts = [F.array().cast(entry)]
             if named:
-                by_size: dict[int, list[str]] = {}
-                for plain in named:
-                    by_size.setdefault(len(plain.split(" ")), []).append(plain)
-                seen = F.array_distinct(F.concat(*[grams(texts["list"], n, plain) for n, plain in by_size.items()]))
+                seen = seen_in(texts["list"])
                 names = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(t) for t in x]) for pair in named.items() for x in pair])
                 parts.append(F.flatten(F.transform(seen, lambda p: F.transform(F.element_at(names, p), lambda t: F.struct(
                     F.position(F.concat(F.lit(" "), p, F.lit(" ")), texts["words"]).alias("at"), t.alias("term"))))))
             parts += [F.array(F.struct(F.instr(texts["raw"], t).alias("at"), F.lit(t).alias("term"))) for t in terms if _is_cjk(t)]
             hit = F.filter(F.concat(*parts), lambda e: e["at"] > 0)
-            for term in terms:
-                phrases = [p.lower().replace("-", " ") for p in self._safe_phrases(term)]
-                if phrases:
-                    rescued = any_of([F.contains(texts["raw"], F.lit(p)) for p in phrases])
-                    hit = F.filter(hit, lambda e: ~((e["term"] == term) & rescued))  # noqa: B023  used at once
+            safe = {term: [p.lower().replace("-", " ") for p in self._safe_phrases(term)] for term in terms}
+            safe = {term: phrases for term, phrases in safe.items() if phrases}
+            if safe:  # only what was found is looked up
+                phrases_of = F.create_map(*[x for term, phrases in safe.items() for x in (F.lit(term), F.array(*[F.lit(p) for p in phrases]))])
+                hit = F.filter(hit, lambda e: ~F.coalesce(F.exists(F.try_element_at(phrases_of, e["term"]), lambda p: F.contains(texts["raw"], p)), F.lit(False)))
             return F.transform(F.array_sort(hit), lambda e: e["term"])
 
         raw = F.replace(F.lower(text_or_empty(value)), F.lit("-"), F.lit(" "))

@@ -14,6 +14,8 @@ from merchloom.session import cut_lineage
 
 LOOSE_SHARE = 0.6
 LOOSE_WORD = 4
+#: Signs that words of the dictionary meet by; a pair of words is then compared in full.
+HEAD = 3
 DESC_LABEL_LIMIT = 4
 _NONE = "array<string>"
 TITLE_POINTS, CATEGORY_POINTS, DESC_POINTS = 2, 3, 1
@@ -43,8 +45,8 @@ def label_ids(texts: DataFrame, key: str, text: str, rules: DataFrame) -> DataFr
 
     A category is hit strictly when one of its keywords stands in the text as whole words. Where it is
     not, it is hit loosely: a one-word keyword by prefix or stem of a text word, a longer one when
-    enough of its words do so. Prefixes are spelled out on both sides, so all tests are equi-joins.
-    Words travel with the key of their text, never with the text.
+    enough of its words do so. The distinct words of all texts meet the distinct words of all keywords once, in a
+    dictionary; occurrences only look their word up in it. Words travel with the key of their text, never with the text.
     """
     t = texts.select(F.col(key).alias("_t"), F.col(text).alias("_x")).where("_x <> ''")
     k = rules.select("category", normalize_text("keyword", "stem").alias("term")).where("term <> ''").distinct()
@@ -55,29 +57,43 @@ def label_ids(texts: DataFrame, key: str, text: str, rules: DataFrame) -> DataFr
     tw = t.select("_t", F.posexplode(_words("_x")).alias("_i", "_w"))
     kw = k.select("category", "term", F.size(_words("term")).alias("_n"), F.posexplode(_words("term")).alias("_j", "_k"))
 
-    def prefixes(word: Column, last: Column) -> Column:
-        return F.explode(F.transform(F.sequence(F.lit(1), last), lambda n: F.substring(word, F.lit(1), n)))
-
-    longer = kw.select("category", "term", "_n", "_j", "_k", F.col("_k").alias("_p"))
-    text_side = tw.select("_t", "_i", "_w", prefixes(F.col("_w"), F.length("_w")).alias("_p"))
-    starts = text_side.join(longer, "_p").select("_t", "category", "term", "_n", "_i", "_j", "_w", "_k")
-    key_side = kw.where(F.length("_k") > 1).select("category", "term", "_n", "_j", "_k", prefixes(F.col("_k"), F.length("_k") - 1).alias("_w"))
-    begun = tw.join(key_side, "_w").select("_t", "category", "term", "_n", "_i", "_j", "_w", "_k")
-    touching = starts.unionByName(begun)
-    long_words = (F.length("_w") >= LOOSE_WORD) & (F.length("_k") >= LOOSE_WORD)
-    one_word = touching.where((F.col("_n") == 1) & long_words).select("_t", "category")
-    same_stem = (
-        tw.where(F.length("_w") >= LOOSE_WORD).withColumn("_s", _stem("_w"))
-        .join(kw.where((F.col("_n") == 1) & (F.length("_k") >= LOOSE_WORD)).withColumn("_s", _stem("_k")), "_s").select("_t", "category")
-    )
+    met = _dictionary(tw.select("_w").distinct(), kw.select("_k").distinct())
+    whole = F.col("_prefix") & (F.length("_w") >= LOOSE_WORD) & (F.length("_k") >= LOOSE_WORD)
+    known = met.join(kw, "_k")
+    # a one-word keyword is decided by the word alone, whatever stands around it
+    alone = known.where((F.col("_n") == 1) & (whole | F.col("_stem"))).select("_w", "category").distinct()
+    one_word = tw.select("_t", "_w").distinct().join(alone, "_w").select("_t", "category")
+    touching = tw.join(known.where("_n > 1 AND _prefix").select("_w", "category", "term", "_n", "_j"), "_w")
     several = (
-        touching.where("_n > 1").groupBy("_t", "category", "term", "_n").agg(F.count(F.lit(1)).alias("_pairs"))
+        touching.groupBy("_t", "category", "term", "_n").agg(F.count(F.lit(1)).alias("_pairs"))
         .where(F.col("_pairs") >= F.greatest(F.lit(1.0), F.col("_n") * LOOSE_SHARE)).select("_t", "category")
     )
-    hits = strict.unionByName(one_word).unionByName(same_stem).unionByName(several).distinct()
+    hits = strict.unionByName(one_word).unionByName(several).distinct()
     return hits.withColumnRenamed("_t", key)
 
 
+def _dictionary(words: DataFrame, keys: DataFrame) -> DataFrame:
+    """``_w, _k, _prefix, _stem``: pairs of distinct words where one begins with the other, or both have one stem.
+
+    Words meet by their first ``HEAD`` signs and are then compared in full; a shorter word, of which there are few, meets
+    the longer ones as their beginning. All of this grows with the number of distinct words only.
+    """
+    def by_head(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
+        """Pairs where ``x`` begins with ``y``."""
+        head = lambda c: F.substring(c, 1, HEAD)
+        full = a.where(F.length(x) >= HEAD).withColumn("_h", head(x)).join(b.where(F.length(y) >= HEAD).withColumn("_h", head(y)), "_h").where(
+            F.startswith(F.col(x), F.col(y))).select(x, y)
+        starts = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length(x), F.lit(HEAD - 1))), lambda n: F.substring(F.col(x), F.lit(1), n)))
+        return full.union(a.select(x, starts.alias(y)).join(b.where(F.length(y) < HEAD), y).select(x, y))
+
+    begun = by_head(words, "_w", keys, "_k").select("_w", "_k").union(by_head(keys, "_k", words, "_w").where("_k <> _w").select("_w", "_k"))
+    long_words, long_keys = words.where(F.length("_w") >= LOOSE_WORD), keys.where(F.length("_k") >= LOOSE_WORD)
+    stems = long_words.withColumn("_s", _stem("_w")).join(long_keys.withColumn("_s", _stem("_k")), "_s").select("_w", "_k")
+    both = begun.withColumn("_prefix", F.lit(True)).unionByName(stems.withColumn("_prefix", F.lit(False)))
+    return both.groupBy("_w", "_k").agg(F.max("_prefix").alias("_prefix"), F.min("_prefix").alias("_all")).select(
+        "_w", "_k", "_prefix", (~F.col("_all")).alias("_stem"))
+
+
 def label_lists(hits: DataFrame, text: str, name: str) -> DataFrame:
     """Sorted list of categories per distinct text or key; as long as the rule list has categories."""
     return hits.groupBy(text).agg(F.array_sort(F.collect_set("category")).alias(name))

@@ -299,6 +299,17 @@ def _(t):
     return M.mismatch_scan(_expected_items(t), "id", t.spark.sql(_ALIASES), t.spark.sql(_KEYWORDS), quick=False).select("id", "expected", "predicted", "top_score", "second_score")
 
 
+@query("mismatch_scan_rules", f"""WITH {_MISMATCH_SQL},
+un AS (SELECT id FROM mm WHERE NOT pass AND id NOT IN (SELECT id FROM mi)),
+dx AS (SELECT id, {_STEMMED('description')} AS norm FROM it WHERE id IN (SELECT id FROM un)), {multi_sql('dm', 'SELECT norm FROM dx')},
+dk AS (SELECT norm FROM dm GROUP BY 1 HAVING count(*) <= 4),
+{judge_sql('qj', "SELECT id, f, target FROM hi WHERE id IN (SELECT id FROM un) UNION ALL SELECT id, 'd', dm.category FROM dx JOIN dm USING (norm) WHERE norm IN (SELECT norm FROM dk)")}
+SELECT id, expected, predicted, top_score, second_score FROM mi
+UNION ALL SELECT id, expected, predicted, CAST(top AS BIGINT), CAST(second AS BIGINT) FROM qj WHERE NOT {_PASS} AND top >= 3 AND top - second >= 1 AND es < 3""")
+def _(t):
+    return M.mismatch_scan(_expected_items(t), "id", t.spark.sql(_ALIASES), t.spark.sql(_KEYWORDS)).select("id", "expected", "predicted", "top_score", "second_score")
+
+
 @query("relocate_mismatches", f"""
 WITH {_MISMATCH_SQL}
 SELECT it.id, CASE WHEN mi.id IS NULL THEN source_table WHEN predicted = 'Jewelry' AND source_table <> 'ring store' THEN 'ring store' WHEN predicted = 'Mini' AND source_table <> 'small' THEN 'small' WHEN predicted = 'Deals' AND source_table <> 'Promo_12' THEN 'Promo_12'
