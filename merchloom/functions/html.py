@@ -108,14 +108,17 @@ def _first(cells: Column, keep) -> Column:
 
 
 def order_row(row: ColumnLike, statuses: tuple[str, ...] = ()) -> Column:
-    """Fields of one captured order table row; the id is NULL when the row is no order.
+    """Fields of one captured order table row, and ``kept``: whether it is an order.
 
     Two layouts are read. Either the row's own id names the order, or its cells do: a link to the order's
-    edit page, cells with classes for date and total. A row of headings is an order only if it says so.
+    edit page, cells with classes for date and total. A row of headings is an order only if it says so; any other
+    row is one if it has an id or a status.
     """
     html = col(row)
     cells = elements(html, "td")
     marked = F.startswith(attribute(html, "id"), F.lit("order-")) | F.contains(attribute(html, "class"), F.lit("type-shop_order"))
+    marked = marked | F.contains(F.lower(inner_text(html)), F.lit("order_number"))
+    # Where the shop software's addresses hold an order's number.
     link = F.regexp_extract(unescape(html), r"""(?is)<a\s[^>]*href\s*=\s*["'][^"']*(?:action=edit&id=|[?&]post=)(\d+)""", 1)
     spoken = F.regexp_extract(inner_text(F.regexp_replace(html, "<", " <")), r"#?(\d{3,})", 1)
     named = F.regexp_extract(attribute(html, "id"), r"^order-(\d+)", 1)
@@ -133,11 +136,15 @@ def order_row(row: ColumnLike, statuses: tuple[str, ...] = ()) -> Column:
     badge = _first(elements(html, "mark"), column_named("order-status"))
     price = inner_text(_first(cells, column_named("order_total", "order-total", "total")))
     money = F.regexp_extract_all(price, F.lit(r"(\d[\d,]*\.\d{2})"), 1)
+    status = F.coalesce(F.lower(strip(inner_text(badge))), status_key(row_status(html, statuses)) if statuses else F.lit(""))
+    shown = marked | ~F.contains(F.lower(html), F.lit("<th"))
+    number = F.when(shown, order_id.try_cast("bigint"))
     return F.struct(
-        F.when(marked | ~F.contains(F.lower(html), F.lit("<th")), order_id.try_cast("bigint")).alias("order_id"),
+        number.alias("order_id"),
         F.when(moment != "", F.concat_ws(" ", moment, hour)).otherwise(F.nullif(said, F.lit(""))).alias("order_time"),
-        F.coalesce(F.lower(strip(inner_text(badge))), status_key(row_status(html, statuses)) if statuses else F.lit("")).alias("order_status"),
+        status.alias("order_status"),
         F.coalesce(F.replace(F.get(money, F.size(money) - 1), F.lit(","), F.lit("")).try_cast("double"), F.lit(0.0)).alias("order_amount"),
+        (shown & (inner_text(html) != "") & (number.isNotNull() | (status != ""))).alias("kept"),
     )
 
 

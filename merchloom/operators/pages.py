@@ -65,12 +65,12 @@ def nav_tree(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
 
 def order_rows(pages: DataFrame, html: str) -> DataFrame:
-    """Order table rows of each page; rows without an order id are dropped."""
+    """Order table rows of each page; rows with neither an order id nor a status are dropped."""
     rows = F.regexp_extract_all(col(html), F.lit(r"(?s)(<tr[^>]*>.*?</tr>)"), 1)
     return (
         pages.select(*[c for c in pages.columns if c != html], F.explode(rows).alias("_row"))
-        .select("*", H.order_row("_row", tuple(ORDER_STATUS_LABELS)).alias("_o")).drop("_row").select("*", "_o.*").drop("_o")
-        .where("order_id IS NOT NULL")
+        .select("*", H.order_row("_row", tuple(ORDER_STATUS_LABELS)).alias("_o")).drop("_row").where("_o.kept")
+        .select("*", "_o.order_id", "_o.order_time", "_o.order_status", "_o.order_amount").drop("_o")
     )
 
 
@@ -100,7 +100,7 @@ def status_counts(html: ColumnLike) -> Column:
 def filtered_total(html: ColumnLike, status: str) -> Column:
     """Number of orders of a status: what the page shows, else its counter, else its rows of that status."""
     rows = F.transform(H.elements(html, "tr"), lambda row: H.order_row(row, tuple(ORDER_STATUS_LABELS)))
-    own = F.filter(rows, lambda r: r["order_id"].isNotNull() & (status_key(r["order_status"]) == status))
+    own = F.filter(rows, lambda r: r["kept"] & (status_key(r["order_status"]) == status))
     return F.coalesce(visible_count(html), F.try_element_at(status_counts(html), F.lit(status)), F.size(own).cast("bigint"))
 
 

@@ -100,13 +100,15 @@ _CELL_PAGE = """
 SELECT o_orderkey, concat('<table><tr><th>Order</th><th>order total 12345</th></tr>',
   "<tr class='iedit status-wc-on-hold'><td class=order_number><a href='/wp-admin/post.php?post=", o_orderkey * 3, "&amp;action=edit'>#77 A B</a></td><td class='column-order_date'><time title=x datetime='",
   date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss"), "+02:00'>soon</time></td><td class='order-total'>$9.99 <b>", format_number(o_totalprice, 2), "</b></td></tr>",
-  '<tr><td>a</td><td>Refunded #', 1000 + o_orderkey, '</td><td class="order_date">2024-05-06 07:08</td></tr></table>') AS html FROM {orders_spread}
+  '<tr><td>a</td><td>Refunded #', 1000 + o_orderkey, '</td><td class="order_date">2024-05-06 07:08</td></tr>',
+  '<tr class="status-wc-failed"><td>no number</td></tr><tr><td>neither</td></tr></table>') AS html FROM {orders_spread}
 """
 
 
 @query("parse_order_cells", """
 SELECT o_orderkey * 3 AS order_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS order_time, 'on-hold' AS order_status, o_totalprice AS order_amount, 1 AS on_hold FROM orders
 UNION ALL SELECT 1000 + o_orderkey, '2024-05-06 07:08', 'refunded', 0.0, 1 FROM orders
+UNION ALL SELECT NULL, NULL, 'failed', 0.0, 1 FROM orders
 """)
 def _(t):
     pages = t.sql(_CELL_PAGE)
