@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchloom.functions.base import text_or_empty
 from merchloom.functions.text import strip_html, title_words
 from merchloom.functions.urls import parse_price_first
 from merchloom.operators import rules as R
-from merchloom.operators.ranking import first_rows, top_per_group
+from merchloom.operators.ranking import first_rows, running_sum, top_per_group
 
 NO_TITLE_SCORE = -9999
 
@@ -35,6 +35,7 @@ def with_quality(df: DataFrame, title: str = "title", category: str = "category"
     if variant_name is not None and variant_value is not None:
         has_variant = (text_or_empty(variant_name) != "") & (text_or_empty(variant_value) != "")
     several = F.coalesce(image_count, F.lit(1)) > 1 if image_count is not None else F.lit(False)
+    # Points per feature.
     points = (
         F.when(words < 3, -500).when(words >= 5, 120).otherwise(40)
         + F.when(distinct >= 4, 100).when(distinct >= 2, 40).otherwise(0)
@@ -70,8 +71,7 @@ def category_counts(df: DataFrame, category: str = "category") -> DataFrame:
 def allocate_quota(counts: DataFrame, total: int, minimum: int, maximum: int) -> DataFrame:
     """Rows each category may export: ``minimum`` each while the budget lasts, the rest in the same order.
 
-    Categories are taken by size, then name. At most ``total // minimum`` of them can get anything,
-    so the running sum below covers no more rows than the caller's own budget allows.
+    Categories are taken by size, then name. What those before a category have taken is a parallel prefix sum.
     """
     if minimum < 1:
         raise ValueError("minimum must be at least 1")
@@ -79,12 +79,9 @@ def allocate_quota(counts: DataFrame, total: int, minimum: int, maximum: int) ->
     order = [F.col("count").desc(), F.col("name")]
     eligible = counts.where(F.col("count") >= minimum)
     chosen = first_rows(eligible, order, places) if places else eligible.limit(0)
-    window = Window.orderBy(*order)
-    ranked = chosen.select(
-        "name", "count", F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"),
-        (F.least(F.col("count"), F.lit(maximum)) - minimum).alias("_room"))
-    before = F.coalesce(F.sum("_room").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    extra = F.greatest(F.lit(0), F.least(F.col("_room"), F.lit(total) - F.col("_n") * minimum - before))
+    room = chosen.select("name", "count", (F.least(F.col("count"), F.lit(maximum)) - minimum).alias("_room"))
+    ranked = running_sum(room, order, "_room", "_before", "_n")
+    extra = F.greatest(F.lit(0), F.least(F.col("_room"), F.lit(total) - F.col("_n") * minimum - F.col("_before")))
     return ranked.select("name", "count", (extra + minimum).cast("bigint").alias("allocated"))
 
 

@@ -60,6 +60,26 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, start: Column |
     )
 
 
+def running_sum(df: DataFrame, order: Sequence[Column], value: str, before: str, rows: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before in a total order, and the number of all rows, without a global window.
+
+    Parallel prefix sums: ranges are summed on their own, then moved by the sums of the ranges before them. Only one row per
+    partition is added up in a single task.
+    """
+    placed = cut_lineage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_place", _INDEX_BITS))
+    sums = placed.groupBy("_part").agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_count"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"), F.sum("_count").over(Window.partitionBy()).alias(rows))
+    within = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per shuffle partition, so the broadcast cannot grow with the data
+    return (
+        placed.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(offsets), "_part")
+        .withColumn(before, F.col("_own") + F.col("_offset")).drop("_place", "_part", "_own", "_offset")
+    )
+
+
 DRIVER_LIMIT = 10_000
 
 

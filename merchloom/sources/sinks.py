@@ -17,6 +17,7 @@ REQUIRED_COLUMNS = (
     "variant_name", "variant_value", "category",
 )
 KEPT, MOVED = "kept", "moved"
+VERSION = "_version"
 
 
 def export_columns(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
@@ -94,15 +95,16 @@ def replace_table(df: DataFrame, root: str, version: int) -> str:
 
     A plan may still read the current version while the next is written, so nothing is overwritten.
     """
-    path = f"{root.rstrip('/')}/v{version:08d}"
+    path = f"{root.rstrip('/')}/{VERSION}={version}"
     df.write.mode("errorifexists").parquet(path)
     return path
 
 
 def current_table(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete version of a table written by :func:`replace_table`."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = sorted(str(s.getPath()) for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/v*"))
-                  if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return spark.read.parquet(done[-1])
+    """The newest version of a table written by :func:`replace_table`; a version's files appear when its job is committed.
+
+    A table that has no version yet is Spark's error of a missing path.
+    """
+    versions = spark.read.parquet(root)
+    newest = versions.agg(F.max(VERSION)).first()[0]  # from the folders' names; no file is read
+    return versions.where(F.col(VERSION) == newest).drop(VERSION)

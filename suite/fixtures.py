@@ -103,9 +103,6 @@ FROM {supplier}
 }
 
 
-SMALL_TABLE_BYTES = 256 << 20
-
-
 def _template(sql: str) -> str:
     return re.sub(r"\{(\w+?)(_spread)?\}", r"\1", sql)
 
@@ -133,14 +130,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """The table; one that fits into a few splits is dealt out to all cores.
+        """The table; one that is read in fewer splits than there are cores is dealt out to all cores.
 
-        Text work is bound by the processor, and a single small file would keep one core busy. Large
-        tables have splits enough and are passed on as they are.
+        Text work is bound by the processor, and a single small file would keep one core busy.
         """
-        df = self.table(name)
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return df.repartition(self.spark.sparkContext.defaultParallelism) if size <= SMALL_TABLE_BYTES else df
+        df, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     def sql(self, sql: str) -> DataFrame:
         """Run SQL whose ``{name}`` placeholders are tables or views."""

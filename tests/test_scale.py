@@ -195,6 +195,31 @@ def test_pivot_join_equals_brute_force(spark, monkeypatch):
     assert {x.id: x.category for x in found} == {k: next(iter(v)) for k, v in best.items() if k != 5}
 
 
+def test_running_sums_have_no_global_window(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randint(0, 9), rng.choice([None, 1, 2, 50])) for i in range(500)]
+    frame = spark.createDataFrame(rows, "id int, g int, v int").repartition(7)
+    found = ranking.running_sum(frame, [F.col("g").desc(), F.col("id")], "v", "before", "n")
+    want, total = {}, 0
+    for i, _, v in sorted(rows, key=lambda r: (-r[1], r[0])):
+        want[i] = total
+        total += v or 0
+    assert {r.id: (r.before, r.n) for r in found.collect()} == {i: (b, 500) for i, b in want.items()}
+    assert ranking.running_sum(frame.limit(0), [F.col("g").desc()], "v", "before", "n").count() == 0
+
+
+def test_newest_version_of_a_table(spark, tmp_path):
+    from merchloom.sources import sinks
+
+    root = str(tmp_path / "t")
+    for version in (1, 2, 10):
+        sinks.replace_table(spark.range(version).withColumn("v", F.lit(version)), root, version)
+    assert sinks.current_table(spark, root).groupBy("v").count().collect()[0][:] == (10, 10)
+    assert sinks.current_table(spark, root).columns == ["id", "v"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        sinks.current_table(spark, str(tmp_path / "none"))
+
+
 def test_moved_and_kept_rows_are_the_whole_table(spark, tmp_path):
     from merchloom.sources import sinks
 
