@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes that one step of vectorised work holds; a longer text makes a piece of its own.
 PIECE_BYTES = 2 << 20
@@ -15,18 +16,22 @@ BLANKS = b" \t\n\r\x0b\x0c"
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Cut batches into runs of rows with at most ``limit`` text bytes and ``rows`` rows, each with its texts as bytes."""
+    """Cut batches into runs of rows with at most ``limit`` text bytes and ``rows`` rows, each with its texts as bytes; only one is copied at a time."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary()).to_pylist()
+        column = batch.column(batch.schema.get_field_index(text_col))
+        sizes = pc.binary_length(column).fill_null(0).to_pylist()
         start = held = 0
-        for i, text in enumerate(texts):
-            size = len(text) if text else 0
+
+        def cut(end: int, start: int, batch=batch, column=column) -> tuple[pa.RecordBatch, list[bytes | None]]:
+            return batch.slice(start, end - start), column.slice(start, end - start).cast(pa.large_binary()).to_pylist()
+
+        for i, size in enumerate(sizes):
             if held and held + size > limit or i - start == rows:
-                yield batch.slice(start, i - start), texts[start:i]
+                yield cut(i, start)
                 start, held = i, 0
             held += size
-        if start < len(texts) or not texts:
-            yield batch.slice(start), texts[start:]
+        if start < len(sizes) or not sizes:
+            yield cut(len(sizes), start)
 
 
 def code_points(data: bytes) -> np.ndarray:

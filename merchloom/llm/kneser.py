@@ -8,8 +8,8 @@ Lines fall into two folds by a hash of their symbols, and a line is scored by th
 therefore never vouches for itself, and neither do its copies or a passage that many texts share.
 
 Scoring. Texts are read in blocks of ``BLOCK_ROWS`` rows of a file, which are the same however a read is split. Each block names its
-distinct n-grams; these meet the model in a join; probabilities come back to the block as sorted arrays of n-grams, just ahead of
-the block's texts in one sorted stream, and each symbol finds its own by binary search.
+distinct n-grams; these meet the model in a join; probabilities come back to the block as sorted arrays of n-grams, packed by the tasks
+of the join, just ahead of the block's texts in one sorted stream, and each symbol finds its own by binary search.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ ORDER = 4
 BITS = 16
 #: Chance of a symbol below the unigrams: all units alike.
 FLOOR = 2.0 ** -BITS
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 #: Text bytes of one step of vectorised work.
 STEP_BYTES = 1 << 19
 #: Distinct n-grams that a task holds before it passes their counts on.
@@ -159,6 +159,54 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return codes[starts], np.add.reduceat(counts, starts)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of sorted arrays per block and fold for what a task holds of ``block, fold, gram, cost``."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def packed() -> pa.RecordBatch:
+        block, fold, gram, cost = (np.concatenate([h[k] for h in held]) for k in range(4))
+        order = np.lexsort((gram, fold, block))
+        block, fold, gram, cost = block[order], fold[order], gram[order], cost[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (fold[1:] != fold[:-1])]))
+        ends = [*cuts[1:], len(block)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([
+            pa.array(block[cuts]), pa.array(fold[cuts]), pa.array([gram[a:b].astype("<i8").tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+            pa.array([cost[a:b].astype("<f4").tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], ["block", "fold", "grams", "costs"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(k).to_numpy() for k in range(4)))
+        if sum(len(h[0]) for h in held) >= HELD:
+            yield packed()
+    if held:
+        yield packed()
+
+
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block, row, text`` as bundles of one block: rows, lengths of texts (-1 for a null) and all texts compressed together."""
+    codec = pa.Codec("zstd")
+    for part, texts in pieces(batches, "text", STEP_BYTES):
+        blocks = part.column(0).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(blocks) else np.zeros(0, np.int64)
+        offsets = pa.array([*cuts, len(blocks)], pa.int32())
+        ends = [*cuts[1:], len(blocks)]
+        whole = [b"".join(t or b"" for t in texts[a:b]) for a, b in zip(cuts, ends, strict=True)]
+        lengths = pa.array([-1 if t is None else len(t) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([
+            pa.array(blocks[cuts]), pa.ListArray.from_arrays(offsets, part.column(1)), pa.ListArray.from_arrays(offsets, lengths),
+            pa.array([codec.compress(w, asbytes=True) for w in whole], pa.binary())], ["block", "rows", "lengths", "texts"])
+
+
+def _unbundled(lengths: list[int], texts: bytes) -> list[bytes | None]:
+    whole = pa.Codec("zstd").decompress(texts, sum(n for n in lengths if n > 0), asbytes=True) if texts else b""
+    out, at = [], 0
+    for n in lengths:
+        out.append(None if n < 0 else whole[at:at + n])
+        at += max(n, 0)
+    return out
+
+
 def _low(gram: Column | str, order: int) -> Column:
     """The last ``order`` symbols of an n-gram."""
     gram = F.col(gram) if isinstance(gram, str) else gram
@@ -181,12 +229,12 @@ def _discounts(level: DataFrame) -> DataFrame:
 
 
 def fit(counts: DataFrame) -> dict[str, list[DataFrame]]:
-    """The model of every fold from ``fold, gram, n``: tables ``fold, gram, p`` and ``fold, context, weight`` per order, lowest first.
+    """The model of every fold from a written table ``fold, gram, n``: tables ``fold, gram, p`` and ``fold, context, weight`` per order, lowest first.
 
     The highest order has counts, lower ones the number of symbols seen in front. ``p`` is interpolated; after a
     context, what is left for unseen symbols is ``weight`` times their chance one order below.
     """
-    levels = {ORDER: stored(counts, "grams")}
+    levels = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
         above = levels[order + 1]
         levels[order] = stored(above.groupBy("fold", _low("gram", order).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
@@ -225,27 +273,32 @@ def look_up(model: dict[str, list[DataFrame]], asked: DataFrame, order: int = OR
     return rows.select("fold", "gram", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * F.col("under")).alias("p"))
 
 
-def scored(docs: DataFrame, text_col: str, finish: Callable[[list[bytes | None]], list[pa.Array]] | None = None, more: str = "") -> DataFrame:
-    """The rows of ``docs`` with ``_cost``, minus the log chance of a text's symbols, and ``_letters``, the number of its letters.
+def scored(docs: DataFrame, text_col: str, carried: Sequence[str], finish: Callable[[list[bytes | None]], list[pa.Array]] | None = None,
+           more: str = "") -> DataFrame:
+    """The ``carried`` columns of ``docs`` with ``_cost``, minus the log chance of a text's symbols, and ``_letters``, the number of its letters.
 
-    The model is counted over the texts of ``docs``. ``finish`` may give further columns, named in ``more``, from the texts of
+    The model is counted over the texts of ``docs``; a text is moved once, to its block. ``finish`` may give further columns, named in ``more``, from the texts of
     a piece. A null text is empty and costs nothing. The result should be written before it is used twice.
     """
     rows = placed(docs)
     counted = stored(count_blocks(rows, text_col), "counts")
     # a line is scored by the model of the other fold
-    model = fit(counted.groupBy((1 - F.col("fold")).cast("tinyint").alias("fold"), "gram").agg(F.sum("n").alias("n")))
-    asked = counted.select("fold", "gram").distinct()
-    cost = look_up(model, asked).select("fold", "gram", (-F.log("p")).alias("cost"))
-    answers = counted.select("block", "fold", "gram").distinct().join(cost, ["fold", "gram"])
+    other = (1 - F.col("fold")).cast("tinyint").alias("fold")
+    grams_of = stored(counted.groupBy("fold", "gram").agg(F.sum("n").alias("n")), "grams")
+    cost = look_up(fit(grams_of.select(other, "gram", "n")), grams_of.select("fold", "gram")).select("fold", "gram", (-F.log("p")).cast("float").alias("cost"))
+    answers = counted.select("block", "fold", "gram").join(cost, ["fold", "gram"]).select("block", "fold", "gram", "cost").mapInArrow(
+        _pack, "block long, fold tinyint, grams binary, costs binary")
 
-    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    whole = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried) if c != text_col])
     texts = rows.select(F.col("_block").alias("block"), whole.alias("row"), F.col(text_col).alias("text"))
+    kind = f"array<{texts.schema['row'].dataType.simpleString()}>"
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    kind = texts.schema["row"].dataType
-    both = answers.select("block", "fold", "gram", "cost", none("row", kind), none("text", "string")).unionByName(
-        texts.select("block", F.lit(2).cast("tinyint").alias("fold"), none("gram", "long"), none("cost", "double"), "row", "text"))
-    ordered = both.repartition("block").sortWithinPartitions("block", "fold", "gram")
+    bundles = texts.mapInArrow(_bundle, f"block long, rows {kind}, lengths array<long>, texts binary")
+    both = answers.select("*", none("rows", kind), none("lengths", "array<long>"), none("texts", "binary")).unionByName(
+        bundles.select("block", F.lit(2).cast("tinyint").alias("fold"), none("grams", "binary"), none("costs", "binary"), "rows", "lengths", "texts"))
+    # as many partitions as blocks, so that a task's share does not grow with the corpus
+    blocks = max(1, counted.select("block").distinct().count())
+    ordered = both.repartition(blocks, "block").sortWithinPartitions("block", "fold")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, list] = {}
@@ -258,30 +311,35 @@ def scored(docs: DataFrame, text_col: str, finish: Callable[[list[bytes | None]]
                 if blocks[start] != block:
                     block, tables = blocks[start], {}
                 if folds[start] < 2:
-                    tables.setdefault(int(folds[start]), []).append((part.column(2).to_numpy(), part.column(3).to_numpy()))
+                    tables.setdefault(int(folds[start]), []).append([part.column(k).to_pylist() for k in (2, 3)])
                     continue
                 for fold, parts in tables.items():
                     if isinstance(parts, list):
-                        tables[fold] = tuple(np.concatenate([p[k] for p in parts]) for k in range(2))
-                for piece, found in pieces(iter([part]), "text", STEP_BYTES):
+                        keys, values = (np.frombuffer(b"".join(x for p in parts for x in p[k]), kind) for k, kind in enumerate(("<i8", "<f4")))
+                        order = np.argsort(keys)
+                        tables[fold] = keys[order], values[order].astype(np.float64)
+                for at in range(part.num_rows):
+                    found = _unbundled(part.column(5)[at].as_py(), part.column(6)[at].as_py())
                     codes, folds_of, sizes, letters = grams(found)
                     costs = np.zeros(len(codes))
                     for fold in (0, 1):
                         mine = np.flatnonzero(folds_of == fold)
                         if len(mine):
-                            keys, values = tables[fold]
-                            at = np.searchsorted(keys, codes[mine])
-                            if at.max() == len(keys) or (keys[at] != codes[mine]).any():
+                            keys, values = tables.get(fold, (np.zeros(0, np.int64), np.zeros(0)))
+                            spot = np.searchsorted(keys, codes[mine])
+                            if spot.max() == len(keys) or (keys[spot] != codes[mine]).any():
                                 raise RuntimeError("a block holds an n-gram that was not counted: the files have changed")
-                            costs[mine] = values[at]
+                            costs[mine] = values[spot]
                     cost = np.zeros(len(sizes))
                     full = np.flatnonzero(sizes)
                     cost[full] = _sums(costs, (np.cumsum(sizes) - sizes)[full], np.float64)
+                    own = [pa.array(found, pa.binary()).cast(pa.string())] if text_col in carried else []
                     yield pa.RecordBatch.from_arrays(
-                        [piece.column(4), pa.array(cost), pa.array(letters), *(finish(found) if finish else [])],
-                        ["row", "_cost", "_letters", *names])
+                        [part.column(4).slice(at, 1).flatten(), *own, pa.array(cost), pa.array(letters), *(finish(found) if finish else [])],
+                        ["row", *["text"][:len(own)], "_cost", "_letters", *names])
 
     names = [part.split()[0] for part in more.split(", ")] if more else []
-    schema = f"row {kind.simpleString()}, _cost double, _letters long" + (f", {more}" if more else "")
+    own = "text string, " if text_col in carried else ""
+    schema = f"row {texts.schema['row'].dataType.simpleString()}, {own}_cost double, _letters long" + (f", {more}" if more else "")
     return ordered.mapInArrow(run, schema).select(
-        *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)], "_cost", "_letters", *names)
+        *[F.col("text" if c == text_col else f"row.c{i}").alias(c) for i, c in enumerate(carried)], "_cost", "_letters", *names)

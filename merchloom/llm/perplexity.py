@@ -79,10 +79,10 @@ def _base_columns(texts: list[bytes | None]) -> list[pa.Array]:
     return [*[pa.array([b[k] for b in found], pa.int64()) for k in range(5)], pa.array([base_failed(b[0], b[4]) for b in found], pa.bool_())]
 
 
-def _scored(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with base statistics and log perplexity under names with an underscore, written once."""
+def _scored(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
+    """The carried columns with base statistics and log perplexity under names with an underscore, written once."""
     ship_code(docs.sparkSession)
-    rows = kneser.scored(docs, text_col, _base_columns, _SCORES)
+    rows = kneser.scored(docs, text_col, carried, _base_columns, _SCORES)
     perplexity = F.when(F.col("_letters") > 0, F.col("_cost") / F.col("_letters"))
     return stored(rows.withColumn("_log_perplexity", perplexity).drop("_cost"), "scores")
 
@@ -93,7 +93,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts fail the base rules. Repeated rows and ids count as often as they occur.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return _scored(narrow, "text").select(
+    return _scored(narrow, "text", ["doc_id", "lang"]).select(
         "doc_id", "lang", *[F.col(f"_{c}").alias(c) for c in (*_STATS, "letters", "base_failed", "log_perplexity")])
 
 
@@ -143,5 +143,5 @@ def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", width:
     names = [f"c{i}" for i in range(len(docs.columns))]
     inner = docs.toDF(*names)
     text, lang = (names[docs.columns.index(c)] for c in (text_col, lang_col))
-    rows = _scored(inner, text).withColumnsRenamed({f"_{c}": c for c in ("letters", "base_failed", "log_perplexity")}).withColumn("lang", F.col(lang))
+    rows = _scored(inner, text, names).withColumnsRenamed({f"_{c}": c for c in ("letters", "base_failed", "log_perplexity")}).withColumn("lang", F.col(lang))
     return judge(rows, width).where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
