@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,17 +60,20 @@ def scratch_count(spark: SparkSession) -> int:
     return len(_SCRATCH.get(spark.sparkContext.applicationId, []))
 
 
-def drop_scratch(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+def drop_scratch(spark: SparkSession, since: int = 0, until: int | None = None, read: Sequence[str] = ()) -> int:
     """Delete the scratch tables of this application, once nothing reads them any more; gives their number.
 
-    ``since`` and ``until`` are marks: only paths handed out between them are deleted.
+    ``since`` and ``until`` are marks: only paths handed out between them are deleted, and none that a file in ``read`` lies in.
     """
     held = _SCRATCH.get(spark.sparkContext.applicationId, [])
     paths, jvm, conf = held[since:until], spark._jvm, spark._jsc.hadoopConfiguration()
+    names = {path.rsplit("/", 1)[-1] for path in paths if path}  # a name has a random part
+    kept = {name for name in names if any(f"/{name}/" in file for file in read)}
+    paths = [path if path.rsplit("/", 1)[-1] not in kept else "" for path in paths]
     for path in filter(None, paths):
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
-    held[since:until] = [""] * len(paths)  # marks stay valid
+    held[since:until] = ["" if path in paths else path for path in held[since:until]]  # marks stay valid
     return sum(map(bool, paths))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from merchloom.plans.reuse import COOLDOWN_DAYS, cooldown_end
+from merchloom.session import ship_code
 from merchloom.streaming.ingest import batch_log, run_available
 
 KEYS = ("category", "url")
@@ -129,6 +130,7 @@ def cooldown_events(uses: DataFrame, delay: str = "1 day") -> DataFrame:
 
 def record_events(uses: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
     """Log of :func:`cooldown_events`; timers and values live in RocksDB on the executors and are saved with the checkpoint."""
+    ship_code(uses.sparkSession)
     conf = uses.sparkSession.conf
     before = conf.get(_STORE, None)
     conf.set(_STORE, _ROCKSDB)  # read when the stream starts
