@@ -123,11 +123,10 @@ def judge(stats: DataFrame, width: float = WIDTH, allowance: float = ALLOWANCE)
 
     A text without a letter has no perplexity and lies outside. A language of which no document passes the base rules has no band.
     """
-    found = bands(stats)
+    found = stored(bands(stats), "bands")  # its size is known then, and a small one goes to the documents
     whole = found.where("octave IS NULL").select(*[F.col(c).alias(f"whole_{c}") for c in ("lang", "middle", "low", "high")])
     parts = found.where((F.col("octave").isNotNull()) & (F.col("documents") >= LEAST_DOCUMENTS)).select(
         *[F.col(c).alias(f"part_{c}") for c in ("lang", "octave", "middle", "low", "high")])
-    # few rows a language on the right: Spark sends them to the documents
     rows = stats.join(whole, F.col("lang").eqNullSafe(F.col("whole_lang")), "left").join(
         parts, F.col("lang").eqNullSafe(F.col("part_lang")) & (_octave(F.col("letters")) == F.col("part_octave")), "left")
     middle, low, high = (F.coalesce(f"part_{c}", f"whole_{c}") for c in ("middle", "low", "high"))
