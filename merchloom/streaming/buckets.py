@@ -30,6 +30,8 @@ class KeyedTable:
 
     ``buckets`` bounds what a batch reads: about its share of the table for every bucket its keys fall into. Choose it
     by the rows that are expected; it must not change afterwards. Rows with a null or blank key are never stored.
+    Of several rows of a key the first in ``order`` stands, whichever batch brought it; where that leaves a tie, or without
+    an order, the one of the latest batch.
     """
 
     spark: SparkSession
@@ -38,6 +40,7 @@ class KeyedTable:
     keys: Sequence[str]
     buckets: int = 64
     merge_every: int = 8
+    order: Sequence[Column] = ()
 
     def _folders(self, before: int | None = None) -> list[tuple[str, int]]:
         """(name, level) of the folders of the newest version, or of the newest one before a version."""
@@ -65,7 +68,7 @@ class KeyedTable:
         return whole
 
     def _newest(self, rows: DataFrame) -> DataFrame:
-        return first_per_key(rows, [BUCKET, *self.keys], [F.desc(FOLDER)]).drop(FOLDER)
+        return first_per_key(rows, [BUCKET, *self.keys], [*self.order, F.desc(FOLDER)]).drop(FOLDER)
 
     def _write(self, rows: DataFrame, name: str) -> None:
         # a task per bucket at most, so a batch leaves one file a bucket
@@ -109,7 +112,7 @@ class KeyedTable:
         self._commit(self._bucketed(newest), version, self._folders(version))
 
     def rows(self) -> DataFrame:
-        """One row per key, the newest."""
+        """One row per key, the newest or the first in ``order``."""
         stored = self._stored(self._folders())
         if stored is None:
             return self.spark.createDataFrame([], self.schema)

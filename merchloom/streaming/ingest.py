@@ -62,9 +62,9 @@ def insert_unseen(stream: DataFrame, table: KeyedTable, last_first: Sequence[Col
     return run_available(stream, checkpoint, lambda batch, number: table.insert_absent(batch, number, last_first, known))
 
 
-def upsert_orders(stream: DataFrame, table: KeyedTable, order: Sequence[Column], checkpoint: str) -> StreamingQuery:
-    """Keep the newest row per key: later batches replace earlier ones, within a batch the first in ``order`` counts."""
-    return run_available(stream, checkpoint, lambda batch, number: table.put(batch, number, order))
+def upsert_orders(stream: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Keep the newest row per key, the first in the table's ``order``; rows may come in any order and in any batch."""
+    return run_available(stream, checkpoint, lambda batch, number: table.put(batch, number, table.order))
 
 
 def orders_daily(stream: DataFrame, path: str, checkpoint: str, time: str = "order_time", amount: str = "order_amount") -> StreamingQuery:

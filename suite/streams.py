@@ -91,9 +91,9 @@ WITH u AS (SELECT o_custkey, o_orderstatus, o_totalprice, row_number() OVER (PAR
 def _(t):
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     out = scratch_path(t.spark, "upsert")
-    newest_first = [F.col("o_orderkey").desc()]
-    table = KeyedTable(t.spark, out, rows.schema, ["o_custkey"], buckets=8)
-    I.upsert_orders(_files(t, rows, "o_orderkey"), table, newest_first, out + "-cp")
+    # files of one part come in any order, so what comes later may be older
+    table = KeyedTable(t.spark, out, rows.schema, ["o_custkey"], buckets=8, order=[F.col("o_orderkey").desc()])
+    I.upsert_orders(_files(t, rows, "o_orderkey"), table, out + "-cp")
     return table.rows().drop("o_orderkey")
 
 

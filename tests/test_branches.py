@@ -116,6 +116,15 @@ def test_small_categories_get_one_public_label(spark):
     assert (got[3], got[6], got[7]) == ("big", " ", None)
 
 
+def test_upserts_that_come_out_of_order(spark, tmp_path):
+    kind = "n long, k long, v string"
+    batches = [[(5, 1, "newest"), (1, 2, "old")], [(3, 1, "late"), (4, 2, "newest")], [(2, 1, "later"), (0, 3, "only")]] + [[(-n, 1, "last")] for n in range(3)]
+    stream, out = feed(spark, tmp_path, batches, kind), str(tmp_path / "out")
+    table = KeyedTable(spark, out, stream.schema, ["k"], buckets=2, merge_every=3, order=[F.desc("n")])
+    ingest.upsert_orders(stream, table, out + "-cp")
+    assert sorted((r.k, r.v) for r in table.rows().collect()) == [(1, "newest"), (2, "newest"), (3, "only")]
+
+
 def test_uses_add_up_across_cooldowns(spark, tmp_path):
     def use(day):
         return ("c", "u", DAY + dt.timedelta(days=day), day == 61)
