@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from merchloom.functions.base import ColumnLike, any_of, col, collapse_ws, strip, text_or_empty
+from merchloom.functions.base import ColumnLike, any_of, col, collapse_ws, let, strip, text_or_empty
 from merchloom.functions.dates import status_key
 
 # Navigation titles that name no category.
@@ -82,8 +82,8 @@ def _whole(digits: Column) -> Column:
 def count_text(value: ColumnLike) -> Column:
     """Number in brackets, else the first whole number."""
     numbers = F.regexp_extract_all(col(value), F.lit(r"(\(\d+\)|\b\d+\b)"), 1)
-    bracketed = F.filter(numbers, lambda n: F.startswith(n, F.lit("(")))
-    return _whole(F.coalesce(F.get(bracketed, F.lit(0)), F.get(numbers, F.lit(0))))
+    return let(numbers, lambda found: _whole(F.coalesce(
+        F.get(F.filter(found, lambda n: F.startswith(n, F.lit("("))), F.lit(0)), F.get(found, F.lit(0)))))
 
 
 def page_total(value: ColumnLike) -> Column:
@@ -103,8 +103,20 @@ def result_total(html: ColumnLike) -> Column:
     return F.coalesce(*[F.nullif(_whole(found), F.lit(0).cast("bigint")) for found in worded])
 
 
-def _first(cells: Column, keep) -> Column:
-    return F.get(F.filter(cells, keep), F.lit(0))
+def _filled(value: Column) -> Column:
+    """The text, NULL if it is empty."""
+    return let(value, lambda text: F.when(text != "", text))
+
+
+def _classed(html: ColumnLike, name: str) -> Column:
+    """All elements of a name, each with its class."""
+    return F.transform(elements(html, name), lambda cell: F.struct(cell.alias("html"), attribute(cell, "class").alias("class")))
+
+
+def _first(cells: Column, *names: str) -> Column:
+    """The first of some elements whose class holds one of the names."""
+    kept = F.filter(cells, lambda cell: any_of([F.contains(cell["class"], F.lit(name)) for name in names]))
+    return F.get(kept, F.lit(0))["html"]
 
 
 def order_row(row: ColumnLike, statuses: tuple[str, ...] = ()) -> Column:
@@ -112,51 +124,71 @@ def order_row(row: ColumnLike, statuses: tuple[str, ...] = ()) -> Column:
 
     Two layouts are read. Either the row's own id names the order, or its cells do: a link to the order's
     edit page, cells with classes for date and total. A row of headings is an order only if it says so; any other
-    row is one if it has an id or a status.
+    row is one if it has an id or a status. Whatever is used more than once is bound, so that a row's tags are searched once.
     """
-    html = col(row)
-    cells = elements(html, "td")
-    marked = F.startswith(attribute(html, "id"), F.lit("order-")) | F.contains(attribute(html, "class"), F.lit("type-shop_order"))
-    marked = marked | F.contains(F.lower(inner_text(html)), F.lit("order_number"))
-    # Where the shop software's addresses hold an order's number.
-    link = F.regexp_extract(unescape(html), r"""(?is)<a\s[^>]*href\s*=\s*["'][^"']*(?:action=edit&id=|[?&]post=)(\d+)""", 1)
-    spoken = F.regexp_extract(inner_text(F.regexp_replace(html, "<", " <")), r"#?(\d{3,})", 1)
-    named = F.regexp_extract(attribute(html, "id"), r"^order-(\d+)", 1)
-    order_id = F.coalesce(*[F.nullif(found, F.lit("")) for found in (named, link, F.when(F.size(cells) > 2, spoken))])
-
-    def column_named(*names: str):
-        return lambda cell: any_of([F.contains(attribute(cell, "class"), F.lit(name)) for name in names])
-
-    dated = F.coalesce(_first(cells, column_named("order_date", "order-date")), html)
-    clock = F.get(elements(dated, "time"), F.lit(0))
-    said = F.coalesce(F.nullif(attribute(clock, "datetime"), F.lit("")), F.nullif(inner_text(clock), F.lit("")),
-                      inner_text(_first(cells, column_named("order_date", "order-date"))))
-    moment = F.regexp_extract(said, r"^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d(?::\d\d)?)", 1)
-    hour = F.regexp_extract(said, r"^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d(?::\d\d)?)", 2)
-    badge = _first(elements(html, "mark"), column_named("order-status"))
-    price = inner_text(_first(cells, column_named("order_total", "order-total", "total")))
-    money = F.regexp_extract_all(price, F.lit(r"(\d[\d,]*\.\d{2})"), 1)
-    status = F.coalesce(F.lower(strip(inner_text(badge))), status_key(row_status(html, statuses)) if statuses else F.lit(""))
-    shown = marked | ~F.contains(F.lower(html), F.lit("<th"))
-    number = F.when(shown, order_id.try_cast("bigint"))
-    return F.struct(
-        number.alias("order_id"),
-        F.when(moment != "", F.concat_ws(" ", moment, hour)).otherwise(F.nullif(said, F.lit(""))).alias("order_time"),
-        status.alias("order_status"),
-        F.coalesce(F.replace(F.get(money, F.size(money) - 1), F.lit(","), F.lit("")).try_cast("double"), F.lit(0.0)).alias("order_amount"),
-        (shown & (inner_text(html) != "") & (number.isNotNull() | (status != ""))).alias("kept"),
-    )
+    def read(html: Column) -> Column:
+        return F.struct(html.alias("html"), attribute(html, "id").alias("id"), inner_text(html).alias("text"), _classed(html, "td").alias("cells"))
+
+    def dated(r: Column) -> Column:
+        cell = _first(r["cells"], "order_date", "order-date")
+
+        def said(at: Column) -> Column:
+            return F.coalesce(_filled(attribute(at["clock"], "datetime")), _filled(inner_text(at["clock"])), inner_text(at["cell"]))
+
+        return let(let(cell, lambda c: F.struct(c.alias("cell"), F.get(elements(F.coalesce(c, r["html"]), "time"), F.lit(0)).alias("clock"))), said)
+
+    def time_text(said: Column) -> Column:
+        layout = r"^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d(?::\d\d)?)"
+        moment = F.regexp_extract(said, layout, 1)
+        return let(moment, lambda day: F.when(day != "", F.concat_ws(" ", day, F.regexp_extract(said, layout, 2))).otherwise(F.when(said != "", said)))
+
+    def number(r: Column) -> Column:
+        html = r["html"]
+        # Where the shop software's addresses hold an order's number.
+        link = F.regexp_extract(unescape(html), r"""(?is)<a\s[^>]*href\s*=\s*["'][^"']*(?:action=edit&id=|[?&]post=)(\d+)""", 1)
+        spoken = F.regexp_extract(inner_text(F.regexp_replace(html, "<", " <")), r"#?(\d{3,})", 1)
+        named = F.regexp_extract(r["id"], r"^order-(\d+)", 1)
+        return F.coalesce(_filled(named), _filled(link), F.when(F.size(r["cells"]) > 2, _filled(spoken))).try_cast("bigint")
+
+    def shown(r: Column) -> Column:
+        marked = F.startswith(r["id"], F.lit("order-")) | F.contains(attribute(r["html"], "class"), F.lit("type-shop_order"))
+        marked = marked | F.contains(F.lower(r["text"]), F.lit("order_number"))
+        return marked | ~F.contains(F.lower(r["html"]), F.lit("<th"))
+
+    def amount(r: Column) -> Column:
+        price = inner_text(_first(r["cells"], "order_total", "order-total", "total"))
+        money = F.regexp_extract_all(price, F.lit(r"(\d[\d,]*\.\d{2})"), 1)
+        return F.coalesce(F.replace(let(money, lambda m: F.get(m, F.size(m) - 1)), F.lit(","), F.lit("")).try_cast("double"), F.lit(0.0))
+
+    def found(r: Column) -> Column:
+        badge = _first(_classed(r["html"], "mark"), "order-status")
+        status = F.coalesce(F.lower(strip(inner_text(badge))), status_key(_row_status(r["html"], r["text"], statuses)) if statuses else F.lit(""))
+        parts = let(shown(r), lambda s: F.struct(s.alias("shown"), F.when(s, number(r)).alias("number"), status.alias("status")))
+        return let(parts, lambda f: F.struct(
+            f["number"].alias("order_id"),
+            let(dated(r), time_text).alias("order_time"),
+            f["status"].alias("order_status"),
+            amount(r).alias("order_amount"),
+            (f["shown"] & (r["text"] != "") & (f["number"].isNotNull() | (f["status"] != ""))).alias("kept"),
+        ))
+
+    return let(let(col(row), read), found)
 
 
 def row_status(row: ColumnLike, statuses: tuple[str, ...]) -> Column:
     """Status of a captured row from its class, else from its text."""
-    html = col(row)
+    return let(col(row), lambda html: _row_status(html, inner_text(html), statuses))
+
+
+def _row_status(html: Column, text: Column, statuses: tuple[str, ...]) -> Column:
+    def by_text(lowered: Column) -> Column:
+        chain = F.when(F.lit(False), "")
+        for status in statuses:
+            chain = chain.when(F.contains(lowered, F.lit(status)), status)
+        return chain.otherwise("")
+
     by_class = F.regexp_extract(html, r"""class=["'][^"']*\bstatus-([a-z0-9-]+)""", 1)
-    chain = F.when(by_class != "", by_class)
-    text = F.lower(inner_text(html))
-    for status in statuses:
-        chain = chain.when(F.contains(text, F.lit(status)), status)
-    return chain.otherwise("")
+    return let(by_class, lambda name: F.when(name != "", name).otherwise(let(F.lower(text), by_text)))
 
 
 def detect_platform(html: ColumnLike, meta_json: ColumnLike, products_json: ColumnLike, version_text: ColumnLike) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchloom.functions import html as H
-from merchloom.functions.base import ColumnLike, col, strip
+from merchloom.functions.base import ColumnLike, col, let, strip
 from merchloom.functions.dates import ORDER_STATUS_LABELS, status_key
 from merchloom.functions.urls import collection_handle
 
@@ -64,47 +64,63 @@ def nav_tree(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return best.select(key, "level1", F.when(child, F.col("_title")).otherwise(F.col("level1")).alias("level2"), "url", "handle")
 
 
+def _kept_rows(found: Column) -> Column:
+    """The orders among captured table rows; each row is read once."""
+    return F.filter(F.transform(found, lambda row: H.order_row(row, tuple(ORDER_STATUS_LABELS))), lambda r: r["kept"])
+
+
 def order_rows(pages: DataFrame, html: str) -> DataFrame:
     """Order table rows of each page; rows with neither an order id nor a status are dropped."""
     rows = F.regexp_extract_all(col(html), F.lit(r"(?s)(<tr[^>]*>.*?</tr>)"), 1)
-    return (
-        pages.select(*[c for c in pages.columns if c != html], F.explode(rows).alias("_row"))
-        .select("*", H.order_row("_row", tuple(ORDER_STATUS_LABELS)).alias("_o")).drop("_row").where("_o.kept")
-        .select("*", "_o.order_id", "_o.order_time", "_o.order_status", "_o.order_amount").drop("_o")
-    )
+    others = [c for c in pages.columns if c != html]
+    return pages.select(*others, F.explode(_kept_rows(rows)).alias("_o")).select(
+        *others, "_o.order_id", "_o.order_time", "_o.order_status", "_o.order_amount")
+
+
+def _said(html: ColumnLike, word: str, pattern: str) -> Column:
+    """First group of a pattern that no text without the word fits; such texts are not searched."""
+    page = col(html)
+    return F.when(F.contains(F.lower(page), F.lit(word)), F.regexp_extract(page, pattern, 1)).otherwise("")
 
 
 def status_counts(html: ColumnLike) -> Column:
     """Map of order status to its counter in the status list of a captured page."""
-    listing = F.regexp_extract(col(html), r"(?is)<ul[^>]*subsubsub[^>]*>(.*?)</ul>", 1)
+    listing = _said(html, "subsubsub", r"(?is)<ul[^>]*subsubsub[^>]*>(.*?)</ul>")
     items = F.regexp_extract_all(listing, F.lit(r"(?is)(<li[^>]*>.*?</li>)"), 1)
     known = list(ORDER_STATUS_LABELS)
 
-    def entry(item: Column) -> Column:
-        by_class = status_key(F.regexp_extract(item, r"""<li[^>]*class=["']([^"' ]+)""", 1))
+    def name(item: Column) -> Column:
+        def by_link(href: Column) -> Column:
+            all_page = F.contains(href, F.lit("page=wc-orders")) | F.contains(href, F.lit("post_type=shop_order"))
+            return let(status_key(F.regexp_extract(href, r"status=([a-z0-9-]+)", 1)), lambda s: F.when(s != "", s).when(all_page, "all"))
+
         href = F.regexp_extract(item, r"""href=["']([^"']*)["']""", 1)
-        by_href = status_key(F.regexp_extract(href, r"status=([a-z0-9-]+)", 1))
-        all_page = F.contains(href, F.lit("page=wc-orders")) | F.contains(href, F.lit("post_type=shop_order"))
-        name = F.when(by_class.isin(*known), by_class).when(by_href != "", by_href).when(all_page, "all")
-        return F.struct(name.alias("key"), H.count_text(H.inner_text(item)).alias("value"))
+        by_class = status_key(F.regexp_extract(item, r"""<li[^>]*class=["']([^"' ]+)""", 1))
+        return let(by_class, lambda s: F.when(s.isin(*known), s).otherwise(let(href, by_link)))
+
+    def entry(item: Column) -> Column:
+        return F.struct(name(item).alias("key"), H.count_text(H.inner_text(item)).alias("value"))
 
     pairs = F.filter(F.transform(items, entry), lambda e: e["key"].isin(*known) & e["value"].isNotNull())
+
     # a status may be listed twice: its last counter stands
-    def last(name: str) -> Column:
-        counters = F.filter(pairs, lambda e: e["key"] == name)
-        return F.struct(F.lit(name).alias("key"), F.try_element_at(counters, F.lit(-1))["value"].alias("value"))
+    def last(found: Column, key: str) -> Column:
+        counters = F.filter(found, lambda e: e["key"] == key)
+        return F.struct(F.lit(key).alias("key"), F.try_element_at(counters, F.lit(-1))["value"].alias("value"))
+
+    def counters(found: Column) -> Column:
+        return F.map_from_entries(F.filter(F.array(*[last(found, key) for key in known]), lambda e: e["value"].isNotNull()))
 
-    return F.map_from_entries(F.filter(F.array(*[last(name) for name in known]), lambda e: e["value"].isNotNull()))
+    return let(pairs, counters)
 
 
 def filtered_total(html: ColumnLike, status: str) -> Column:
     """Number of orders of a status: what the page shows, else its counter, else its rows of that status."""
-    rows = F.transform(H.elements(html, "tr"), lambda row: H.order_row(row, tuple(ORDER_STATUS_LABELS)))
-    own = F.filter(rows, lambda r: r["kept"] & (status_key(r["order_status"]) == status))
+    own = F.filter(_kept_rows(H.elements(html, "tr")), lambda r: status_key(r["order_status"]) == status)
     return F.coalesce(visible_count(html), F.try_element_at(status_counts(html), F.lit(status)), F.size(own).cast("bigint"))
 
 
 def visible_count(html: ColumnLike) -> Column:
     """The number of rows that the page says it shows; NULL when it does not."""
-    shown = F.regexp_extract(col(html), r"""(?is)<[^>]*class=["'][^"']*\bdisplaying-num\b[^>]*>(.*?)</""", 1)
+    shown = _said(html, "displaying-num", r"""(?is)<[^>]*class=["'][^"']*\bdisplaying-num\b[^>]*>(.*?)</""")
     return H.count_text(H.inner_text(shown))

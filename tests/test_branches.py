@@ -10,6 +10,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from merchloom.functions import html
 from merchloom.functions import text as T
 from merchloom.operators import category_merge, fuzzy, keyed, lexicon, multilabel, pages, semantic, taxonomy
 from merchloom.plans import export
@@ -125,6 +126,14 @@ def test_upserts_that_come_out_of_order(spark, tmp_path):
     assert sorted((r.k, r.v) for r in table.rows().collect()) == [(1, "newest"), (2, "newest"), (3, "only")]
 
 
+def test_captured_rows_are_read_once(spark):
+    """Searches written out per row: what is used more than once is bound."""
+    page = F.col("html")
+    for found, most in ((pages.filtered_total(page, "on-hold"), 60), (html.order_row(page, ("pending", "failed")), 40), (pages.status_counts(page), 20)):
+        text = spark.createDataFrame([], "html string").select(found.alias("v"))._jdf.queryExecution().analyzed().toString()
+        assert text.lower().count("regexp") <= most
+
+
 def test_uses_add_up_across_cooldowns(spark, tmp_path):
     def use(day):
         return ("c", "u", DAY + dt.timedelta(days=day), day == 61)
