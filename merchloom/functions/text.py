@@ -93,7 +93,9 @@ def normalize_text(value: ColumnLike, mode: str) -> Column:
     if mode == "stem":
         text = collapse_ws(F.regexp_replace(text, r"""[&/,;:\-•·()（）\[\]"“”'’`]+""", " "))
         for pattern, replacement in STEM_GROUPS:
-            start = "" if pattern == "s" else WORD_START
+            # the first sign decides at most places, before anything is looked up behind it
+            first = "".join(sorted({word[0] for word in pattern.strip("()").split("|")}))
+            start = "" if pattern == "s" else f"(?=[{first}]){WORD_START}"
             text = F.regexp_replace(text, f"{start}{pattern}{WORD_END}", replacement)
         return text
     raise ValueError(f"mode must be one of {NORMALIZE_MODES}, not {mode!r}")

@@ -134,6 +134,12 @@ def test_captured_rows_are_read_once(spark):
         assert text.lower().count("regexp") <= most
 
 
+def test_stem_groups_look_at_the_first_sign_first(spark):
+    row = spark.createDataFrame([("Tote Bags, äbags bags9 baby-wipes flip flops games",)], "x string").select(T.normalize_text("x", "stem").alias("v"))
+    assert row.first()["v"] == "bag äbag bags9 diaper shoe toy"
+    assert row._jdf.queryExecution().analyzed().toString().count("(?=[") == len(T.STEM_GROUPS) - 1
+
+
 def test_uses_add_up_across_cooldowns(spark, tmp_path):
     def use(day):
         return ("c", "u", DAY + dt.timedelta(days=day), day == 61)
