@@ -44,8 +44,11 @@ def inner_text(html: ColumnLike) -> Column:
 
 
 def is_garbage_title(title: ColumnLike) -> Column:
-    text = F.lower(text_or_empty(title))
-    return (text == "") | any_of([(text == t) | text.startswith(t + " ") | text.startswith(t + "-") for t in GARBAGE_TITLES])
+    """Whether a title is blank or begins with one that names no category; it is trimmed and lowered once."""
+    def garbage(text: Column) -> Column:
+        return (text == "") | text.isin(*GARBAGE_TITLES) | any_of([text.startswith(t + end) for t in GARBAGE_TITLES for end in " -"])
+
+    return let(F.lower(text_or_empty(title)), garbage)
 
 
 def is_garbage_collection(title: ColumnLike, handle: ColumnLike) -> Column:

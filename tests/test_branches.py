@@ -140,6 +140,13 @@ def test_stem_groups_look_at_the_first_sign_first(spark):
     assert row._jdf.queryExecution().analyzed().toString().count("(?=[") == len(T.STEM_GROUPS) - 1
 
 
+def test_garbage_titles_are_trimmed_once(spark):
+    titles = [(None, True), (" ", True), (" Sale", True), ("new in", True), ("Gift-card", False), ("giftcard-x", True), ("newer", False), ("all products x", True)]
+    rows = spark.createDataFrame(titles, "t string, want boolean").select(html.is_garbage_title("t").alias("v"), "want")
+    assert all(r.v == r.want for r in rows.collect())
+    assert rows._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+
+
 def test_uses_add_up_across_cooldowns(spark, tmp_path):
     def use(day):
         return ("c", "u", DAY + dt.timedelta(days=day), day == 61)
