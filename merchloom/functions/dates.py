@@ -38,7 +38,7 @@ def in_week_of(value: ColumnLike, moment: Column) -> Column:
 
 def status_key(value: ColumnLike) -> Column:
     """Lower-case status without its ``wc-`` / ``status-`` prefix."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text_or_empty(value)), "^wc-", ""), "^status-", "")
+    return F.regexp_replace(F.lower(text_or_empty(value)), "^(?:wc-)?(?:status-)?", "")
 
 
 # The order statuses that count as real, and those that do not count as valid.

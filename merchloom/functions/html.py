@@ -27,12 +27,25 @@ SHOP_INDICATORS = (
 
 
 def unescape(value: ColumnLike) -> Column:
-    """The five markup entities and the no-break space."""
-    text = col(value)
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                         ("&#039;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """The five markup entities and the no-break space; a text without ``&`` stays as it is."""
+    def replaced(text: Column) -> Column:
+        for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+                             ("&#039;", "'"), ("&amp;", "&")):
+            text = F.replace(text, F.lit(entity), F.lit(char))
+        return text
+
+    return let(col(value), lambda text: F.when(F.contains(text, F.lit("&")), replaced(text)).otherwise(text))
+
+
+def any_case(word: str) -> str:
+    """Pattern of a word in any case of its ASCII letters, without lowering the text; its first sign is a class, which is skipped to fast."""
+    first = word[0]
+    return f"[{first.lower()}{first.upper()}](?i:{word[1:]})"
+
+
+def until(end: str) -> str:
+    """Pattern of all up to the next tag that fits ``end``: a run of other signs at a time, without backtracking."""
+    return rf"[^<]*+(?:<(?!{end})[^<]*+)*+"
 
 
 def html_title(html: ColumnLike) -> Column:
@@ -75,7 +88,8 @@ def attribute(tag: ColumnLike, name: str) -> Column:
 
 def elements(html: ColumnLike, name: str) -> Column:
     """All elements of a name that do not hold one of the same name."""
-    return F.regexp_extract_all(col(html), F.lit(rf"(?is)(<{name}\b[^>]*>.*?</{name}\s*>)"), 1)
+    end = rf"/{name}\s*>"
+    return F.regexp_extract_all(col(html), F.lit(rf"(?i)(<{name}\b[^>]*>{until(end)}<{end})"), 1)
 
 
 def _whole(digits: Column) -> Column:
@@ -85,8 +99,14 @@ def _whole(digits: Column) -> Column:
 def count_text(value: ColumnLike) -> Column:
     """Number in brackets, else the first whole number."""
     numbers = F.regexp_extract_all(col(value), F.lit(r"(\(\d+\)|\b\d+\b)"), 1)
-    return let(numbers, lambda found: _whole(F.coalesce(
-        F.get(F.filter(found, lambda n: F.startswith(n, F.lit("("))), F.lit(0)), F.get(found, F.lit(0)))))
+    return let(numbers, lambda found: F.btrim(F.coalesce(
+        F.get(F.filter(found, lambda n: F.startswith(n, F.lit("("))), F.lit(0)), F.get(found, F.lit(0))), F.lit("()")).try_cast("bigint"))
+
+
+def count_inside(html: ColumnLike) -> Column:
+    """:func:`count_text` of :func:`inner_text`: neither white space nor other entities hold or join digits."""
+    text = F.regexp_replace(col(html), r"<[^>]*>", "")
+    return count_text(F.replace(F.replace(text, F.lit("&#39;"), F.lit("'")), F.lit("&#039;"), F.lit("'")))
 
 
 def page_total(value: ColumnLike) -> Column:
@@ -155,8 +175,8 @@ def order_row(row: ColumnLike, statuses: tuple[str, ...] = ()) -> Column:
 
     def shown(r: Column) -> Column:
         marked = F.startswith(r["id"], F.lit("order-")) | F.contains(attribute(r["html"], "class"), F.lit("type-shop_order"))
-        marked = marked | F.contains(F.lower(r["text"]), F.lit("order_number"))
-        return marked | ~F.contains(F.lower(r["html"]), F.lit("<th"))
+        marked = marked | r["text"].rlike(any_case("order_number"))
+        return marked | ~r["html"].rlike("<[tT][hH]")
 
     def amount(r: Column) -> Column:
         price = inner_text(_first(r["cells"], "order_total", "order-total", "total"))

@@ -71,7 +71,7 @@ def _kept_rows(found: Column) -> Column:
 
 def order_rows(pages: DataFrame, html: str) -> DataFrame:
     """Order table rows of each page; rows with neither an order id nor a status are dropped."""
-    rows = F.regexp_extract_all(col(html), F.lit(r"(?s)(<tr[^>]*>.*?</tr>)"), 1)
+    rows = F.regexp_extract_all(col(html), F.lit(f"(<tr[^>]*>{H.until('/tr>')}</tr>)"), 1)
     others = [c for c in pages.columns if c != html]
     return pages.select(*others, F.explode(_kept_rows(rows)).alias("_o")).select(
         *others, "_o.order_id", "_o.order_time", "_o.order_status", "_o.order_amount")
@@ -80,13 +80,13 @@ def order_rows(pages: DataFrame, html: str) -> DataFrame:
 def _said(html: ColumnLike, word: str, pattern: str) -> Column:
     """First group of a pattern that no text without the word fits; such texts are not searched."""
     page = col(html)
-    return F.when(F.contains(F.lower(page), F.lit(word)), F.regexp_extract(page, pattern, 1)).otherwise("")
+    return F.when(page.rlike(H.any_case(word)), F.regexp_extract(page, pattern, 1)).otherwise("")
 
 
 def status_counts(html: ColumnLike) -> Column:
     """Map of order status to its counter in the status list of a captured page."""
-    listing = _said(html, "subsubsub", r"(?is)<ul[^>]*subsubsub[^>]*>(.*?)</ul>")
-    items = F.regexp_extract_all(listing, F.lit(r"(?is)(<li[^>]*>.*?</li>)"), 1)
+    listing = _said(html, "subsubsub", f"(?i)<ul[^>]*subsubsub[^>]*>({H.until('/ul>')})</ul>")
+    items = F.regexp_extract_all(listing, F.lit(f"(?i)(<li[^>]*>{H.until('/li>')}</li>)"), 1)
     known = list(ORDER_STATUS_LABELS)
 
     def name(item: Column) -> Column:
@@ -99,7 +99,7 @@ def status_counts(html: ColumnLike) -> Column:
         return let(by_class, lambda s: F.when(s.isin(*known), s).otherwise(let(href, by_link)))
 
     def entry(item: Column) -> Column:
-        return F.struct(name(item).alias("key"), H.count_text(H.inner_text(item)).alias("value"))
+        return F.struct(name(item).alias("key"), H.count_inside(item).alias("value"))
 
     pairs = F.filter(F.transform(items, entry), lambda e: e["key"].isin(*known) & e["value"].isNotNull())
 
@@ -123,4 +123,4 @@ def filtered_total(html: ColumnLike, status: str) -> Column:
 def visible_count(html: ColumnLike) -> Column:
     """The number of rows that the page says it shows; NULL when it does not."""
     shown = _said(html, "displaying-num", r"""(?is)<[^>]*class=["'][^"']*\bdisplaying-num\b[^>]*>(.*?)</""")
-    return H.count_text(H.inner_text(shown))
+    return H.count_inside(shown)

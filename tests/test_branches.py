@@ -366,3 +366,16 @@ def test_normalised_titles_meet_phrases(spark):
     titles = spark.createDataFrame([("Red  RING!",), ("blue hat",), (None,)], "t string")
     phrases = spark.createDataFrame([("red Ring",), ("xy",)], "phrase string")
     assert [r.t for r in fuzzy.strong_matches(titles, "t", phrases).collect()] == ["Red  RING!"]
+
+
+def test_long_captured_rows_are_read_without_backtracking(spark):
+    """A row of any number of tags is one run of the pattern, and counters read as inner text does."""
+    many = "<b>x</b>" * 60_000
+    items = ["<li>a &#39;(7)&nbsp;</li>", "<li><b>1</b>2 (3)</li>", "<li>&#039; 5&lt;6</li>", "<li>&amp;#39;</li>", "<li>( 8 )\n9</li>", "<li>none &#39;</li>", "<LI\n>4</li>"]
+    rows = spark.createDataFrame([(f"<table><tr id='order-5'><TD>{many}</TD\n></tr><tr>open",)], "html string")
+    (found,) = rows.select(html.elements("html", "td").alias("cells"), F.col("html")).collect()
+    assert [len(c) for c in found.cells] == [len(many) + len("<TD></TD\n>")]
+    assert [r.order_id for r in pages.order_rows(rows, "html").collect()] == [5]
+    counted = spark.createDataFrame([(i,) for i in items], "html string").select(html.count_inside("html").alias("a"), html.count_text(html.inner_text("html")).alias("b"))
+    assert [(r.a, r.b) for r in counted.collect()] == [(7, 7), (3, 3), (5, 5), (39, 39), (8, 8), (None, None), (4, 4)]
+    assert "(?s)" not in rows.select(html.elements("html", "td"), pages.status_counts("html"))._jdf.queryExecution().analyzed().toString()
