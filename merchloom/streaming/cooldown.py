@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.streaming import StreamingQuery
 
 from merchloom.plans.reuse import COOLDOWN_DAYS, cooldown_end
-from merchloom.session import ship_code
+from merchloom.session import drop_scratch, scratch_count, scratch_path
 from merchloom.streaming.ingest import batch_log, run_available
 
 KEYS = ("category", "url")
 OUTPUT = "category string, url string, status string, at timestamp"
 _COOLDOWN_US = COOLDOWN_DAYS * 86_400_000_000
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def record_uses(uses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -49,92 +43,54 @@ def pool_totals(log: DataFrame, now: Column | None = None) -> DataFrame:
     return pool.withColumn("status", F.when(F.col("next_reusable_at") > now, "cooldown").otherwise("reusable"))
 
 
-class CooldownProcessor(StatefulProcessor):
-    """Tells when a URL goes into its cooldown and when it comes out of it.
+OPEN = "category string, url string, first bigint, last bigint, told boolean, mark bigint"
 
-    The state of a URL is its cooldowns that are not over, as first and last use; uses in any order join and lengthen
-    them. A start or end is told by a timer once the watermark has passed it, when no use can change it any more, so the events
-    don't depend on the batches. The state goes with the last end.
-    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "firsts array<bigint>, lasts array<bigint>, told boolean")
-
-    def _held(self) -> tuple[list[list[int]], bool]:
-        if not self.open.exists():
-            return [], False
-        firsts, lasts, told = self.open.get()
-        return [list(span) for span in zip(firsts, lasts, strict=True)], bool(told)
-
-    def _hold(self, spans: list[list[int]], told: bool) -> None:
-        """Keep what is not over; the next timer is its first start or end that was not told."""
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if not spans:
-            self.open.clear()
-            return
-        self.open.update(([s[0] for s in spans], [s[1] for s in spans], told))
-        self.handle.registerTimer(-(-(spans[0][1] + _COOLDOWN_US if told else spans[0][0]) // 1000))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  named by Spark
-        uses = [int(us) for batch in rows for us in batch["used_at"].dropna().astype("datetime64[us]").astype("int64")]
-        if uses:
-            held, told = self._held()
-            spans: list[list[int]] = []
-            for first, last in sorted([*held, *[[use, use] for use in uses]]):
-                if spans and first <= spans[-1][1] + _COOLDOWN_US:
-                    spans[-1][1] = max(spans[-1][1], last)
-                else:
-                    spans.append([first, last])
-            self._hold(spans, told)
-        yield from ()
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  named by Spark
-        spans, told = self._held()
-        mark, events = timerValues.getCurrentWatermarkInMs() * 1000, []
-        while spans:
-            first, last = spans[0]
-            if not told and first <= mark:
-                events.append(("cooldown", first))
-                told = True
-            if not told or last + _COOLDOWN_US > mark:
-                break
-            events.append(("reusable", last + _COOLDOWN_US))
-            spans, told = spans[1:], False
-        self._hold(spans, told)
-        if events:
-            yield _frame(key, events)
-
-    def close(self) -> None:
-        pass
-
-
-def _frame(key: tuple, events: list[tuple[str, int]]) -> pd.DataFrame:
-    texts = {"category": [key[0]] * len(events), "url": [key[1]] * len(events), "status": [e[0] for e in events]}
-    found = pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in texts.items()})
-    found["at"] = pd.Series([e[1] for e in events], dtype="int64").astype("datetime64[us]")
-    return found
-
-
-def cooldown_events(uses: DataFrame, delay: str = "1 day") -> DataFrame:
-    """(category, url, status, at): an event at each start (``cooldown``) and end (``reusable``) of a cooldown.
-
-    ``uses`` has (category, url, used_at, matched); uses without a time are left out. Uses may be late by ``delay``, an event is told once the
-    watermark has passed it. The session must use the RocksDB state store, see :func:`record_events`. Totals come from
-    :func:`pool_totals`, which needs no state.
-    """
-    return uses.withWatermark("used_at", delay).groupBy(*KEYS).transformWithStateInPandas(
-        CooldownProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
+def _spans(points: DataFrame) -> DataFrame:
+    """Cooldowns out of first and last uses, in microseconds: what begins before another one ends lengthens it."""
+    by_key = Window.partitionBy(*KEYS).orderBy("first", "last")
+    reach = F.max("last").over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("first") > reach + _COOLDOWN_US, 1).otherwise(0)).over(by_key.rowsBetween(Window.unboundedPreceding, 0))
+    marked = points.withColumn("_reach", reach).withColumn("_island", island)
+    return marked.groupBy(*KEYS, "_island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("told").alias("told")).drop("_island")
 
 
 def record_events(uses: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Log of :func:`cooldown_events`; timers and values live in RocksDB on the executors and are saved with the checkpoint."""
-    ship_code(uses.sparkSession)
-    conf = uses.sparkSession.conf
-    before = conf.get(_STORE, None)
-    conf.set(_STORE, _ROCKSDB)  # read when the stream starts
-    try:
-        return run_available(cooldown_events(uses, delay), checkpoint, batch_log(path))
-    finally:
-        conf.unset(_STORE) if before is None else conf.set(_STORE, before)
+    """Log of (category, url, status, at): an event at each start (``cooldown``) and end (``reusable``) of a cooldown.
+
+    ``uses`` has (category, url, used_at, matched); uses without a time are left out. Uses in any order join and lengthen the cooldowns
+    that are not over; these are a small table per batch beside the checkpoint, so a repeated batch finds what the one before it left. Uses may be
+    late by ``delay``; an event is told once the newest use less the delay has passed it, when no use can change it any more, so the events
+    don't depend on the batches. A use that comes later than that is left out. Totals come from :func:`pool_totals`.
+    """
+    held = f"{checkpoint}-open"
+    seconds = " + ".join(f"extract({unit} FROM CAST(INTERVAL {delay} AS INTERVAL DAY TO SECOND)) * {n}" for unit, n in (("DAY", 86_400), ("HOUR", 3_600), ("MINUTE", 60), ("SECOND", 1)))
+    late = F.expr(f"CAST(({seconds}) * 1000000 AS BIGINT)")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, since = batch.sparkSession, scratch_count(batch.sparkSession)
+        before = spark.read.schema(OPEN).parquet(f"{held}/{number - 1}") if number else spark.createDataFrame([], OPEN)
+        # the mark goes with the table, as a row without a key
+        old = before.where("mark IS NOT NULL").agg(F.max("mark").alias("mark")).first()["mark"]
+        us = F.unix_micros("used_at")
+        timed = batch.where("used_at IS NOT NULL")
+        newest = timed.agg(F.max(us - late).alias("mark")).first()["mark"]
+        mark = max((m for m in (old, newest) if m is not None), default=None)
+        if old is not None:
+            timed = timed.where(us > old)
+        fresh = timed.groupBy(*KEYS, us.alias("first")).agg(F.lit(False).alias("told")).select(*KEYS, "first", F.col("first").alias("last"), "told")
+        place = scratch_path(spark, "cooldowns")  # read twice
+        _spans(fresh.unionByName(before.where("mark IS NULL").drop("mark"))).write.parquet(place)
+        spans = spark.read.parquet(place)
+        passed = lambda at: F.coalesce(at <= F.lit(mark).cast("long"), F.lit(False))
+        end = F.col("last") + _COOLDOWN_US
+        begun = F.when(~F.col("told") & passed(F.col("first")), F.struct(F.lit("cooldown").alias("status"), F.timestamp_micros("first").alias("at")))
+        over = F.when(passed(end), F.struct(F.lit("reusable").alias("status"), F.timestamp_micros(end).alias("at")))
+        events = spans.select(*KEYS, F.explode(F.array_compact(F.array(begun, over))).alias("_e")).select(*KEYS, "_e.status", "_e.at")
+        batch_log(path)(events, number)
+        left = spans.where(~passed(end)).select(*KEYS, "first", "last", (F.col("told") | passed(F.col("first"))).alias("told"), F.lit(None).cast("long").alias("mark"))
+        note = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields[:-1]], F.lit(mark).cast("long").alias("mark"))
+        left.unionByName(note).write.mode("overwrite").parquet(f"{held}/{number}")
+        drop_scratch(spark, since, since + 1)
+
+    return run_available(uses, checkpoint, write)

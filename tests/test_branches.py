@@ -379,3 +379,19 @@ def test_long_captured_rows_are_read_without_backtracking(spark):
     counted = spark.createDataFrame([(i,) for i in items], "html string").select(html.count_inside("html").alias("a"), html.count_text(html.inner_text("html")).alias("b"))
     assert [(r.a, r.b) for r in counted.collect()] == [(7, 7), (3, 3), (5, 5), (39, 39), (8, 8), (None, None), (4, 4)]
     assert "(?s)" not in rows.select(html.elements("html", "td"), pages.status_counts("html"))._jdf.queryExecution().analyzed().toString()
+
+
+def test_cooldown_events_run_without_python_state(spark, tmp_path):
+    """Uses of many keys are joined by Spark; one at the very end of a cooldown lengthens it, one past the mark is left out, a repeat changes nothing."""
+    def use(url, day):
+        return ("c", url, DAY + dt.timedelta(days=day), True)
+
+    keys = [use(f"k{n}", n % 7) for n in range(3000)]
+    batches = [[*keys, use("u", 0), use("u", 60), use("u", 30), ("c", "u", None, True)], [use("v", 200), use("u", 61), use("u", 20)], [use("v", 230), use("late", 100)]]
+    stream = feed(spark, tmp_path, batches, "category string, url string, used_at timestamp, matched boolean")
+    out = str(tmp_path / "events")
+    query = cooldown.record_events(stream, out, out + "-cp", "2 days 12 hours")
+    assert not any(p["stateOperators"] for p in query.recentProgress)
+    got = sorted((r.url, (r.at - DAY).days, r.status) for r in spark.read.schema(f"{cooldown.OUTPUT}, batch_id bigint").parquet(out).collect())
+    assert [g for g in got if g[0] in ("u", "v", "late")] == [("u", 0, "cooldown"), ("u", 91, "reusable"), ("v", 200, "cooldown")]
+    assert len(got) == 2 * 3000 + 3
