@@ -50,8 +50,10 @@ def best_category(small: DataFrame, large: DataFrame) -> DataFrame:
     g = large.select(F.col("category").alias("target")).distinct().withColumn("_lk", category_key("target")).withColumn(
         "_lc", key_text("_lk")).withColumn("_lw", F.array_distinct(squeeze_words("_lc")))
     # distinct categories feed every tier: worked out once, not once per tier
-    g = cut_lineage(g.where("_lc <> ''"))
-    s = cut_lineage(s)
+    # few bytes, but many pairs: dealt out to all cores, where a small table would stay in one partition
+    cores = s.sparkSession.sparkContext.defaultParallelism
+    g = cut_lineage(g.where("_lc <> ''").repartition(cores, "target"))
+    s = cut_lineage(s.repartition(cores, "category"))
     usable = s.where("_sk <> ''")
     equal = usable.join(g, usable["_sk"] == g["_lk"]).select("category", "target", F.lit(1).alias("_tier"), F.lit(0.0).alias("_score"))
     inside = substring_hits(g.select("target", "_lk"), ["target"], "_lk", usable.select("category", F.col("_sk").alias("term")))
