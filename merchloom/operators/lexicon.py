@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from merchloom.functions.base import NOT_ALNUM_BLANK, ColumnLike, col, let, text_or_empty
 from merchloom.functions.text import normalize_text
+from merchloom.session import stored
 
 # one sign that no text word can equal; it keeps phrases from matching across punctuation
 BARRIER = "\u0001"
@@ -164,8 +165,9 @@ def _anchors(words: DataFrame, grams: DataFrame) -> DataFrame:
     """``_gram, _size, _word, _offset, _before, _after`` per n-gram that the texts may hold: its rarest word, where it stands, and the words beside it.
 
     Words are counted over all texts (``words`` has the arrays in ``_w``); an n-gram with a word that no text has is left out.
+    The vocabulary is stored, so that it goes to the texts by its size and their words are not dealt out.
     """
-    vocabulary = grams.select(F.explode("_w").alias("_word")).distinct()
+    vocabulary = stored(grams.select(F.explode("_w").alias("_word")).distinct(), "vocabulary")
     spoken = words.select(F.explode("_w").alias("_word")).join(vocabulary, "_word").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
     each = grams.select("_gram", "_w", F.posexplode("_w").alias("_offset", "_word")).join(spoken, "_word")
     rarest = each.groupBy("_gram").agg(F.min(F.struct("_n", "_offset", "_word")).alias("_at"), F.count(F.lit(1)).alias("_known"), F.first("_w").alias("_w"))
@@ -182,10 +184,11 @@ def ngram_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame,
     An index of rare anchors: a term is looked for only where its rarest word stands, the words beside it are compared
     there and then, and the few places of longer terms that are left are verified on the words of their text. What the texts emit depends
     on how often anchors occur, not on the number or lengths of the terms. Terms without a word, and null ones, are nowhere.
+    Anchors and the places met are stored: their sizes are known before the texts are read, which stay where they are beside a small table.
     """
     wanted = terms.withColumn("_w", words_of("term")).where("term IS NOT NULL").withColumn("_gram", F.array_join("_w", " "))
     words = texts.select(*keys, words_of(column).alias("_w"))
-    anchors = _anchors(words, wanted.select("_gram", "_w").distinct())
+    anchors = stored(_anchors(words, wanted.select("_gram", "_w").distinct()), "anchors")
     none = F.array(F.lit(None).cast("string"))
     size = F.size("_w")
     shifted = F.arrays_zip(F.col("_w").alias("word"), F.concat(none, F.slice("_w", 1, F.greatest(size - 1, F.lit(0)))).alias("before"),
@@ -193,9 +196,9 @@ def ngram_hits(texts: DataFrame, keys: list[str], column: str, terms: DataFrame,
     places = words.select(*keys, F.posexplode(shifted).alias("_place", "_one")).select(
         *keys, "_place", F.col("_one.word").alias("_word"), F.col("_one.before").alias("_left"), F.col("_one.after").alias("_right"))
     beside = (F.col("_before").isNull() | (F.col("_before") == F.col("_left"))) & (F.col("_after").isNull() | (F.col("_after") == F.col("_right")))
-    met = places.join(anchors, "_word").where(beside).select(
+    met = stored(places.join(anchors, "_word").where(beside).select(
         *keys, "_gram", "_size", (F.col("_place") - F.col("_offset")).alias("_start"),
-        ((F.col("_offset") <= 1) & (F.col("_size") - F.col("_offset") <= 2)).alias("_whole"))
+        ((F.col("_offset") <= 1) & (F.col("_size") - F.col("_offset") <= 2)).alias("_whole")), "places")
     longer = met.where("NOT _whole AND _start >= 0").groupBy(*keys).agg(F.collect_set(F.struct("_start", "_size", "_gram")).alias("_open"))
     own = longer.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_open")
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])

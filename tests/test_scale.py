@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from merchloom.functions import similarity as S
 from merchloom.operators import category_merge, dedup, fuzzy, lexicon, quality, ranking, semantic
 from merchloom.operators.orders import in_month
+from merchloom.session import scratch_path
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -75,6 +76,25 @@ def test_ngram_hits_equal_brute_force(spark):
     want = {(i, w) for i, x in texts for w in terms if re.search(rf"(^|[^a-z0-9]){w.replace('-', ' ')}([^a-z0-9]|$)", x.replace("-", " "))}
     assert {(r["id"], r["term"]) for r in lexicon.ngram_hits(t, ["id"], "x", k).collect()} == want
 
+def test_ngram_hits_leave_the_words_where_they_are(spark):
+    """Vocabulary and anchors turn out small only when counted; no word of a text is shuffled to meet them."""
+    path = scratch_path(spark, "texts")
+    spark.range(4000).selectExpr("id", "concat_ws(' ', transform(sequence(0, 59), i -> concat('w', (id * 61 + i) % 9973))) AS x").write.parquet(path)
+    t, k = spark.read.parquet(path), spark.createDataFrame([(f"w{i} w{i + 1}",) for i in range(40)], "term string")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    held = {name: spark.conf.get(name, None) for name in names}
+    spark.conf.set(names[0], "100KB")  # texts are larger, what is looked for is not
+    spark.conf.set(names[1], "100KB")
+    try:
+        found = lexicon.ngram_hits(t, ["id"], "x", k)
+        rows, ran = found.collect(), plan(found)
+    finally:
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    want = {(i, f"w{n % 9973} w{n % 9973 + 1}") for i in range(4000) for n in range(i * 61, i * 61 + 59) if n % 9973 < 40}
+    assert {(r["id"], r["term"]) for r in rows} == want
+    assert "hashpartitioning(_word" not in ran
+
 
 def test_ngram_hits_edges_and_long_terms(spark):
     rng = random.Random(4)
