@@ -165,6 +165,15 @@ def _packed_queries(rows: DataFrame, query_rows: int) -> tuple[DataFrame, int]:
     return dealt.groupBy("part").applyInArrow(pack, "part long, query_width int, query_ids binary, queries binary"), parts
 
 
+def _pairs(held: DataFrame, asked: DataFrame, blocks: int) -> DataFrame:
+    """Every block with every part of the queries, which is repeated for each block.
+
+    Spark takes the repeated parts to be as small as one copy of them and would send them all through the driver, hence the hint.
+    """
+    repeated = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    return held.join(repeated.hint("merge"), "block")
+
+
 def exact(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, vec_id, score``: the ``k`` best of each block of rows for each query, with whole numbers of any size.
 
@@ -173,8 +182,7 @@ def exact(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     left, blocks = _dealt(rows, WIDE_ROWS, "block")
     right, _ = _dealt(queries, WIDE_ROWS, "part")
     left = left.groupBy("block").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    right = right.groupBy("part").agg(F.collect_list(F.struct("id", "vector")).alias("queries")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    right = right.groupBy("part").agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +197,7 @@ def exact(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     raise ValueError("a score does not fit into a long")
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
-    return left.join(right, "block").select("rows", "queries").mapInArrow(search, "query_id long, vec_id long, score long")
+    return _pairs(left, right, blocks).select("rows", "queries").mapInArrow(search, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -206,8 +214,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     queries = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")).withColumn("wide", wide(F.col("vector")))
     index, blocks = build_index(rows.where("NOT wide").select("id", "vector"), block_rows)
     asked, parts = _packed_queries(queries.where("NOT wide").select("id", "vector"), query_rows)
-    # the index stays where it is; only queries are repeated
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +227,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(query_ids[q]), pa.array(ids[r]), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
 
-    near = index.join(right, "block").drop("block", "part").mapInArrow(search, "query_id long, vec_id long, score long")
+    # only queries are repeated
+    near = _pairs(index, asked, blocks).drop("block", "part").mapInArrow(search, "query_id long, vec_id long, score long")
     large = rows.where("wide").select("id", "vector")
     if not large.isEmpty():
         near = near.union(exact(large, queries.select("id", "vector"), k)).union(

@@ -52,6 +52,15 @@ def test_large_components_take_part(spark):
         got(spark, [(0, [3.0e18]), (1, [3.0e18])])
 
 
+def test_repeated_queries_do_not_pass_the_driver(spark):
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(60)] + [(61, [70000.0, 1.0]), (65, [5.0e6, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = impact.top_k(frame, F.col("vec_id") % 5 == 0, block_rows=7, query_rows=3)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, lambda i: i % 5 == 0, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()  # as it ran
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 3
+
+
 @given(st.integers(1, 60), st.integers(1, 12), st.integers(0, 2**32 - 1), st.sampled_from([1, 3, 40, 5000]), st.integers(1, 7))
 @settings(max_examples=150, deadline=None)
 def test_best_is_exact(n, width, seed, scale, k):
